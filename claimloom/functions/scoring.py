@@ -12,6 +12,11 @@ from claimloom import vocab as V
 EXACT = "decimal(20,12)"
 
 
+def four_places(c: Column) -> Column:
+    """Rounded half up as a decimal, so binary noise at a tie cannot tip it."""
+    return F.round(c.cast(EXACT), 4).cast("double")
+
+
 def unit(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 

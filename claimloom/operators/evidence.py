@@ -186,14 +186,15 @@ def evidence_for_claims(
 ) -> DataFrame:
     """Best k passages of every chosen (claim_id, doc_id), labelled.
 
-    claims as built by ``claim_queries``; docs(doc_id, body).  Passages are cut and tokenised
-    once per document that was chosen at all.  Few pairs are broadcast to the corpus scan; many
+    claims as built by ``claim_queries``; chosen holds at most DOCUMENTS_PER_CLAIM documents of
+    each claim; docs(doc_id, body).  Passages are cut and tokenised once per document that was chosen at all.  Few pairs are broadcast to the corpus scan; many
     meet it in a salted join, since one popular document may be chosen by very many claims.
     """
     pairs = chosen.select("claim_id", "doc_id")
     profiles = query_profiles(claims).drop("probes")
     facts = claims.select("claim_id", "claim_text", "claim_tokens", "language")
-    small = fits_broadcast(pairs, broadcast_pairs)
+    # `chosen` holds a bounded number of documents per claim, so counting claims bounds it
+    small = fits_broadcast(claims.select("claim_id"), broadcast_pairs // V.DOCUMENTS_PER_CLAIM)
     wanted = pairs.select("doc_id").distinct()
     read = docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
     passages = passages_of(read)

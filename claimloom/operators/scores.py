@@ -109,7 +109,7 @@ def score_claims(
 def claim_breakdown(scores: DataFrame) -> DataFrame:
     """One JSON-ready struct per claim, factors rounded to four places."""
     rounded = [
-        F.round(F.col(name), 4).alias(name)
+        S.four_places(F.col(name)).alias(name)
         for name in (
             "confidence_score", "support_score", "contradiction_score", "coverage_score", "net",
             "total_weight", "applied_penalty",
@@ -131,7 +131,7 @@ def evidence_breakdown(evidence: DataFrame, origin_key: str = "item") -> DataFra
         "relationship",
         origin_of(origin_key).alias("cluster"),
         *[
-            F.round(F.col(name).cast("double"), 4).alias(name)
+            S.four_places(F.col(name)).alias(name)
             for name in ("relevance", "source_factor", "temporal_factor", "directness", "weight")
             if name in evidence.columns or name in ("source_factor", "weight")
         ],

@@ -32,7 +32,7 @@ def verify(
     documents: DataFrame,
     sources: DataFrame,
     origin_key: str = "item",
-    materialize: bool = False,
+    materialize: bool = True,
 ) -> Verification:
     """submissions(submission_id, text, ...) against documents(doc_id, body, title, source, url,
     canonical_url, published_at, created_at) and sources(source, source_name, source_type,
