@@ -132,10 +132,12 @@ def report(claim_scores: DataFrame, evidence: DataFrame) -> DataFrame:
     )
     nested = evidence.groupBy("claim_id").agg(F.sort_array(F.collect_list(item)).alias("evidence"))
     joined = claim_scores.join(nested, "claim_id", "left")
-    listed = F.coalesce(F.col("evidence"), F.array())
-    for side, name in (("SUPPORTS", "supporting"), ("CONTRADICTS", "contradicting")):
-        joined = joined.withColumn(name, F.filter("evidence", lambda e, s=side: e["relationship"] == s))
-    return joined
+    def side(name: str) -> Column:
+        return F.filter("evidence", lambda e: e["relationship"] == name)
+
+    return joined.withColumn("supporting", side("SUPPORTS")).withColumn(
+        "contradicting", side("CONTRADICTS")
+    )
 
 
 def evidence_listing(
