@@ -106,7 +106,7 @@ def ipv4_value(name: Column) -> Column:
         lambda acc, v: F.when((acc >= 0) & v.between(0, 255), acc * 256 + v).otherwise(F.lit(-1)),
     )
     last = F.element_at(parts, -1)
-    room = F.shiftleft(F.lit(1).cast("long"), (8 * (5 - n)).cast("int"))
+    room = F.pow(F.lit(256.0), 5 - n).cast("long")
     bare_octal = (n == 1) & name.rlike("^0[0-9]+$")  # a lone run of digits is decimal
     value = F.when(
         n.between(1, 4) & (leading >= 0) & (last >= 0) & (last < room), leading * room + last
