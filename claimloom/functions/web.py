@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimloom import vocab as V
-from claimloom.functions.text import decode_entities, find_all, strip
+from claimloom.functions.text import bind, decode_entities, find_all, strip
 
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
@@ -98,26 +98,39 @@ def _number_part(p: Column) -> Column:
 
 def ipv4_value(name: Column) -> Column:
     """An IPv4 literal in any spelling (dotted, short, decimal, hex, octal) as a number."""
-    parts = F.transform(F.split(name, r"\."), _number_part)
-    n = F.size(parts)
-    leading = F.aggregate(
-        F.slice(parts, 1, F.greatest(n - 1, F.lit(0))),
-        F.lit(0).cast("long"),
-        lambda acc, v: F.when((acc >= 0) & v.between(0, 255), acc * 256 + v).otherwise(F.lit(-1)),
-    )
-    last = F.element_at(parts, -1)
-    room = F.pow(F.lit(256.0), 5 - n).cast("long")
-    bare_octal = (n == 1) & name.rlike("^0[0-9]+$")  # a lone run of digits is decimal
-    value = F.when(
-        n.between(1, 4) & (leading >= 0) & (last >= 0) & (last < room), leading * room + last
-    )
+
+    def packed(parts: Column) -> Column:
+        n = F.size(parts)
+        leading = F.aggregate(
+            F.slice(parts, 1, F.greatest(n - 1, F.lit(0))),
+            F.lit(0).cast("long"),
+            lambda acc, v: F.when((acc >= 0) & v.between(0, 255), acc * 256 + v).otherwise(F.lit(-1)),
+        )
+        # the last part fills whatever room is left: 127.1 is 127.0.0.1
+        room = F.pow(F.lit(256.0), 5 - n).cast("long")
+        return bind(
+            F.struct(leading.alias("lead"), F.element_at(parts, -1).alias("last"), room.alias("room"), n.alias("n")),
+            lambda v: F.when(
+                v["n"].between(1, 4) & (v["lead"] >= 0) & (v["last"] >= 0) & (v["last"] < v["room"]),
+                v["lead"] * v["room"] + v["last"],
+            ),
+        )
+
+    # a lone run of digits is decimal even with a leading zero
     whole = F.when(name.rlike("^[0-9]{1,18}$"), name.try_cast("long"))
-    value = F.when(bare_octal, F.when(whole < 2**32, whole)).otherwise(value)
+    value = F.when(name.rlike("^0[0-9]+$"), F.when(whole < 2**32, whole)).otherwise(
+        bind(F.transform(F.split(name, r"\."), _number_part), packed)
+    )
     return F.when(name.rlike("^[0-9a-fx.]+$"), value)
 
 
 def ipv4_class(value: Column) -> Column:
-    """'' for a public IPv4 number, else why it is blocked; ranges are fixed values."""
+    """'' for a public IPv4 number, else why it is blocked."""
+    return bind(value, _ipv4_class)
+
+
+def _ipv4_class(value: Column) -> Column:
+    # The ranges.
 
     def inside(*blocks: str) -> Column:
         test = F.lit(False)
@@ -161,7 +174,11 @@ def url_audit(df: DataFrame, url_col: str = "url") -> DataFrame:
                 .otherwise(F.regexp_extract("_place", "^[^:]*", 0))
             ),
         )
-        .withColumn("_port", F.regexp_extract("_place", r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1))
+        .withColumn(
+            "_port",
+            F.when(F.col("_place").startswith("["), F.regexp_extract("_place", r"^\[[^\]]*\]:(.*)$", 1))
+            .otherwise(F.regexp_extract("_place", "^[^:]*:(.*)$", 1)),
+        )
         .withColumn("_trimmed", F.rtrim(strip(F.col("_name")), F.lit(".")))
         .withColumn(
             "_host",

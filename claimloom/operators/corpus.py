@@ -174,9 +174,9 @@ def cluster_assignment(documents: DataFrame) -> DataFrame:
     hot keys are read off the cluster sizes already counted.
     """
     keyed = documents.withColumn("cluster_key", cluster_key())
-    clusters = origin_clusters(documents).select("cluster_key")
+    clusters = origin_clusters(documents).select("cluster_key", F.col("member_count").alias("n"))
     return salted_join(
-        keyed.select("doc_id", "cluster_key"), clusters, "cluster_key", ["doc_id"]
+        keyed.select("doc_id", "cluster_key"), clusters.select("cluster_key"), "cluster_key", ["doc_id"], counts=clusters
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimloom.functions import text as X
-from claimloom.operators.skew import salted_join
+from claimloom.operators.skew import key_counts, salted_join
 
 HASH_BITS = 60
 
@@ -36,13 +36,10 @@ def keyword_leg(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     asked = X.unnest(queries, ["query_id"], F.array_distinct(plain_tokens(F.col("text"))), "term")
     wanted = tf.join(asked.select("term").distinct(), "term", "left_semi")
     total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    idf = (
-        wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("total", total)
-        .select("term", F.ln(F.col("total") / F.col("df")).alias("idf"))
-    )
+    df = key_counts(wanted, "term")
+    idf = df.withColumn("total", total).select("term", F.ln(F.col("total") / F.col("n")).alias("idf"))
     scored = (
-        salted_join(wanted, asked.join(idf, "term"), "term", ["doc_id"])
+        salted_join(wanted, asked.join(idf, "term"), "term", ["doc_id"], counts=df)
         .groupBy("query_id", "doc_id")
         .agg(F.sum((F.col("tf") * F.col("idf")).cast("decimal(24,10)")).cast("double").alias("score"))
     )
@@ -168,7 +165,7 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float = 0.5) ->
     freq = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
     def prefix(df: DataFrame, key: str) -> DataFrame:
-        listed = salted_join(X.unnest(df, [key], F.col("grams"), "gram"), freq, "gram", [key])
+        listed = salted_join(X.unnest(df, [key], F.col("grams"), "gram"), freq, "gram", [key], counts=freq)
         # a title's own grams: a short list by nature
         ordered = listed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("o"))
         size = F.size("o")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from claimloom import vocab as V
 from claimloom.functions import text as X
 from claimloom.functions import web as U
-from claimloom.operators.skew import fits_broadcast, salted_join
+from claimloom.operators.skew import fits_broadcast, key_counts, salted_join
+from claimloom.session import cut_lineage
 
 # Claims below this number have their token lists sent to every task (some kilobytes each).
 BROADCAST_CLAIMS = 20_000
@@ -129,15 +130,15 @@ def relevance(
     else:
         postings = X.unnest(texts, ["doc_id"], F.col("probes"), "probe")
         index = X.unnest(profiles, ["claim_id"], F.col("probes"), "probe")
-        found = (
-            salted_join(postings, index, "probe", ["doc_id"])
-            .select("claim_id", "doc_id")
-            .distinct()
+        # the pairs are narrow rows read three times below: write them once
+        found = cut_lineage(
+            salted_join(postings, index, "probe", ["doc_id"]).select("claim_id", "doc_id").distinct()
         )
         with_text = salted_join(found, texts.drop("probes"), "doc_id", ["claim_id"])
-        pairs = scored(
-            salted_join(with_text, profiles.drop("probes"), "claim_id", ["doc_id"]), min_score
+        met = salted_join(
+            with_text, profiles.drop("probes"), "claim_id", ["doc_id"], counts=key_counts(found, "claim_id")
         )
+        pairs = scored(met, min_score)
     return pairs.select("claim_id", "doc_id", "score")
 
 

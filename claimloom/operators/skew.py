@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it owns more than 1/HOT_KEYS of the rows, so there are fewer than HOT_KEYS
-# of them: the broadcast of hot keys is bounded however large the data grows.
-HOT_KEYS = 1000
+from claimloom.session import cut_lineage
+
+# A key with more rows than this is spread over several tasks.
+HOT_ROWS = 200_000
+# At most this many hot keys are broadcast; the row threshold rises until they fit.
+MAX_HOT_KEYS = 500_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -24,14 +27,23 @@ def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """(key, fanout) for keys above 1/HOT_KEYS of all rows; counted map-side before the shuffle."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    share = counts.agg(F.greatest(F.sum("n") / HOT_KEYS, F.lit(1.0)).alias("s")).scalar()
-    return (
-        counts.withColumn("share", share)
-        .where(F.col("n") > F.col("share"))
-        .select(key, F.ceil(F.col("n") / F.col("share")).cast("int").alias("fanout"))
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    """(key, n), counted map-side before the shuffle."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def hot_keys(counts: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """(key, fanout) for keys above hot_rows, or None when there are none.
+
+    The few hot keys are checkpointed, so counting happens once and plans stay flat.
+    """
+    hot = cut_lineage(counts.where(F.col("n") > hot_rows).select(key, "n"))
+    if hot.isEmpty():
+        return None
+    while not fits_broadcast(hot.where(F.col("n") > hot_rows), MAX_HOT_KEYS):
+        hot_rows *= 10
+    return hot.where(F.col("n") > hot_rows).select(
+        key, F.ceil(F.col("n") / hot_rows).cast("int").alias("fanout")
     )
 
 
@@ -41,12 +53,17 @@ def salted_join(
     key: str,
     spread_by: list[str],
     how: str = "inner",
-    hot: DataFrame | None = None,
+    counts: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join where `many` may hold hot keys: their rows are spread over `fanout` salts by the hash
     of `spread_by`, and the matching rows of `other` are copied once per salt.  Every pair of
-    rows still meets exactly once."""
-    hot = F.broadcast(hot_keys(many, key) if hot is None else hot)
+    rows still meets exactly once.  `counts` (key, n) saves the counting pass when the caller
+    already knows the key sizes."""
+    hot = hot_keys(key_counts(many, key) if counts is None else counts, key, hot_rows)
+    if hot is None:
+        return many.join(other, key, how)
+    hot = F.broadcast(hot)
     left = (
         many.join(hot, key, "left")
         .withColumn(
