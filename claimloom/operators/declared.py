@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimloom.functions import text as X
-from claimloom.operators.skew import key_counts, salted_join
+from claimloom.operators.skew import fits_broadcast, key_counts, salted_join
+from claimloom.session import cut_lineage
 
 HASH_BITS = 60
 
@@ -30,18 +31,25 @@ def keyword_leg(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     Term counts are aggregated before the join; a term of the whole corpus has idf near zero and
     still counts, exactly as it should.
     """
-    tf = X.unnest(docs, ["doc_id"], plain_tokens(F.col("text")), "term").groupBy("doc_id", "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
     asked = X.unnest(queries, ["query_id"], F.array_distinct(plain_tokens(F.col("text"))), "term")
-    wanted = tf.join(asked.select("term").distinct(), "term", "left_semi")
+    vocabulary = asked.select("term").distinct()
+    if fits_broadcast(vocabulary, 2_000_000):
+        vocabulary = F.broadcast(vocabulary)
+    # read three times below, so written once: (doc, term) counts of the asked terms only
+    wanted = cut_lineage(
+        X.unnest(docs, ["doc_id"], plain_tokens(F.col("text")), "term")
+        .join(vocabulary, "term", "left_semi")
+        .groupBy("doc_id", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
     total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     df = key_counts(wanted, "term")
     idf = df.withColumn("total", total).select("term", F.ln(F.col("total") / F.col("n")).alias("idf"))
     scored = (
         salted_join(wanted, asked.join(idf, "term"), "term", ["doc_id"], counts=df)
         .groupBy("query_id", "doc_id")
-        .agg(F.sum((F.col("tf") * F.col("idf")).cast("decimal(24,10)")).cast("double").alias("score"))
+        # whole millionths: the sum is exact in any order and stays on longs
+        .agg((F.sum(F.floor(F.col("tf") * F.col("idf") * 1e6 + 0.5)) / 1e6).alias("score"))
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -95,16 +103,19 @@ def rrf_merge(legs: list[DataFrame], k: int = 60) -> DataFrame:
 
 @F.pandas_udf(T.LongType())
 def _simhash(tokens: pd.Series) -> pd.Series:
-    weights = (1 << np.arange(HASH_BITS, dtype=np.int64)).astype(np.int64)
-
-    def one(words) -> int:
-        if words is None or len(words) == 0:
-            return 0
-        raw = np.array([int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in words], dtype=np.int64)
-        bits = (raw[:, None] & weights) != 0
-        return int(weights[(2 * bits.sum(axis=0)) > len(words)].sum())
-
-    return tokens.map(one)
+    sizes = tokens.map(lambda t: 0 if t is None else len(t)).to_numpy(dtype=np.int64)
+    out = np.zeros(len(tokens), dtype=np.int64)
+    filled = np.flatnonzero(sizes)
+    if len(filled) == 0:
+        return pd.Series(out)
+    words = np.concatenate([np.asarray(tokens.iloc[i], dtype=object) for i in filled])
+    codes, distinct = pd.factorize(words)
+    hashes = np.array([int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in distinct], dtype=np.int64)[codes]
+    starts = np.concatenate([[0], np.cumsum(sizes[filled])[:-1]])
+    for bit in range(HASH_BITS):
+        ones = np.add.reduceat((hashes >> bit) & 1, starts)
+        out[filled] |= (2 * ones > sizes[filled]).astype(np.int64) << bit
+    return pd.Series(out)
 
 
 def simhash(tokens: Column) -> Column:
@@ -119,7 +130,9 @@ def near_hashes(rows: DataFrame, key: str, value: str, max_distance: int = 3) ->
     Equal hashes are collapsed first, so a thousand copies are one value and never a million
     pairs.  max_distance + 1 bands guarantee that a near pair agrees on one band.
     """
-    values = rows.groupBy(value).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    values = cut_lineage(
+        rows.groupBy(value).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    )
     n = max_distance + 1
     width = HASH_BITS // n
     banded = values.select(

@@ -474,7 +474,7 @@ _TOK = "regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_\\x{{0980}}-\\x{{09ff}
 def _sql_keyword(name: str, items: str) -> str:
     return f"""{name}_q AS (SELECT query_id, unnest(list_distinct({_TOK.format(t='text')})) AS term FROM {items}),
 {name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-  SELECT query_id, doc_id, sum((tf * idf)::DECIMAL(24,10))::DOUBLE AS score FROM {name}_q JOIN tf USING (term) JOIN idf USING (term) GROUP BY ALL) QUALIFY rank <= 10)"""
+  SELECT query_id, doc_id, sum(floor(tf * idf * 1e6 + 0.5)::BIGINT)::DOUBLE / 1e6 AS score FROM {name}_q JOIN tf USING (term) JOIN idf USING (term) GROUP BY ALL) QUALIFY rank <= 10)"""
 
 
 _TF = f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format(t='text')}) AS term FROM documents) GROUP BY ALL),
