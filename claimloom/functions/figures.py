@@ -256,7 +256,7 @@ def comparable_numbers(text: Column) -> Column:
 def general_format(x: Column) -> Column:
     """A double in six significant digits, trailing zeros dropped, like C's ``%g``."""
     exponent = F.floor(F.log10(F.abs(x))).cast("int")
-    rounded = F.round(x / F.pow(F.lit(10.0), exponent), 5)
+    rounded = F.bround(x / F.pow(F.lit(10.0), exponent), 5)
     carry = F.abs(rounded) >= 10
     exponent = F.when(carry, exponent + 1).otherwise(exponent)
     mantissa = F.when(carry, rounded / 10).otherwise(rounded)
@@ -271,7 +271,7 @@ def general_format(x: Column) -> Column:
         F.lpad(F.abs(exponent).cast("string"), 2, "0"),
     )
     decimals = F.greatest(F.lit(0), F.lit(5) - exponent)
-    fixed = trimmed(F.format_string("%.10f", F.round(x * F.pow(F.lit(10.0), decimals)) / F.pow(F.lit(10.0), decimals)))
+    fixed = trimmed(F.format_string("%.10f", F.bround(x * F.pow(F.lit(10.0), decimals), 0) / F.pow(F.lit(10.0), decimals)))
     return F.when(x == 0, "0").when((exponent < -4) | (exponent >= 6), scientific).otherwise(fixed)
 
 
