@@ -177,21 +177,20 @@ def tokenize(text: Column) -> Column:
     stop word and must stay.
     """
     prepared = F.lower(F.translate(text, V.BENGALI_DIGITS + _STEMMED, "0123456789"))
-    stop = list(V.STOP_WORDS_EN + V.STOP_WORDS_BN)
-
-    def kept(found: Column) -> Column:
-        return F.filter(found, lambda t: ~t.isin(stop))
-
+    bengali = prepared.rlike(BENGALI)
     marked = F.regexp_replace(
         F.regexp_replace(prepared, _IES, "$1y" + _STEMMED), _ENDING, "$1" + _STEMMED
     )
-    joined = F.array_join(kept(find_all(marked, _TOKEN_CHAR + "{2,}" + _STEMMED + "?")), " ")
-    latin = F.filter(F.split(F.translate(joined, _STEMMED, ""), " "), lambda t: t != "")
+    found = F.when(bengali, find_all(prepared, _TOKEN_CHAR + "{2,}")).otherwise(
+        find_all(marked, _TOKEN_CHAR + "{2,}" + _STEMMED + "?")
+    )
+    stop = list(V.STOP_WORDS_EN + V.STOP_WORDS_BN)
+    kept = F.filter(found, lambda t: ~t.isin(stop))
+    latin = F.split(F.translate(F.array_join(kept, " "), _STEMMED, ""), " ")
     mixed = F.transform(
-        kept(find_all(prepared, _TOKEN_CHAR + "{2,}")),
-        lambda t: F.when(t.rlike(BENGALI), _stem_bengali(t)).otherwise(_stem_english(t)),
+        kept, lambda t: F.when(t.rlike(BENGALI), _stem_bengali(t)).otherwise(_stem_english(t))
     )
-    return F.when(prepared.rlike(BENGALI), mixed).otherwise(latin)
+    return F.when(bengali, mixed).otherwise(F.filter(latin, lambda t: t != ""))
 
 
 def is_number_token(t: Column) -> Column:
