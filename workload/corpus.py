@@ -595,3 +595,24 @@ ORACLES = {
     "report": _FLAG + """, e AS (SELECT claim_id, count(*) AS n, array_to_string(list_transform(list_sort(list({'r': display_rank, 'd': doc_id}) FILTER (relationship = 'SUPPORTS')), lambda x: x.d), ',') AS sd FROM evidence GROUP BY 1)
       SELECT claim_id, sequence, verdict, coalesce(e.n, 0) AS n_evidence, coalesce(sd, '') AS supporting_docs FROM claim_scores LEFT JOIN e USING (claim_id)""",
 }
+
+
+def _claims_parsed_sql() -> str:
+    from workload.texts import _D1, _D2, _D3, _MONEY, _NUM, _PCT, _REL, _sql_entities, _sql_scaled
+
+    def n(pattern: str) -> str:
+        return f"len(regexp_extract_all(text, '{pattern}'))"
+
+    blanked = f"regexp_replace(regexp_replace(text, '{_MONEY}', '¤', 'g'), '{_PCT}', '¤', 'g')"
+    numbers = f"list_zip(regexp_extract_all({blanked}, '{_NUM}', 1), regexp_extract_all({blanked}, '{_NUM}', 2))"
+    kept = f"list_filter({numbers}, lambda z: NOT ({_sql_scaled('z[1]', 'z[2]')} BETWEEN 1900 AND 2100 AND z[2] = '' AND NOT contains(z[1], '.')))"
+    raws = f"list_concat(list_concat(list_concat(regexp_extract_all(text, '{_D1}'), regexp_extract_all(text, '{_D2}')), regexp_extract_all(text, '{_D3}')), regexp_extract_all(text, '{_REL}'))"
+    years = "list_distinct(regexp_extract_all(text, '\\b(1[89]\\d{2}|20\\d{2})\\b'))"
+    loose = f"len(list_filter({years}, lambda y: len(list_filter({raws}, lambda d: contains(d, y))) = 0))"
+    return f"""WITH {CLAIMS}, ct AS (SELECT claim_id, claim_text AS text FROM claims),
+      e AS (SELECT claim_id, count(*) AS n FROM ({_sql_entities('ct', 'claim_id')}) GROUP BY 1)
+      SELECT claim_id, {n(_MONEY)} AS n_money, {n(_PCT)} AS n_percentages, len({kept}) AS n_numbers, len({raws}) + {loose} AS n_dates, coalesce(e.n, 0) AS n_entities
+      FROM ct LEFT JOIN e USING (claim_id)"""
+
+
+ORACLES["claims_parsed"] = _claims_parsed_sql()
