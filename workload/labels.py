@@ -133,7 +133,7 @@ judged AS (SELECT *, len(cc) > 0 AS conflict, cc[1] AS claim_value, list_filter(
   list_sort(list_intersect(cv, pv)) AS same, {_sql_markers(V.NEGATION_EN + V.NEGATION_BN)} AS negations, {_sql_markers(V.CONFIRMATION_EN)} AS confirmations FROM facts)"""
 
 _BRANCH = "CASE WHEN conflict AND overlap >= 0.25 AND NOT contains(passage, '1999.5') THEN 1 WHEN negations >= 1 AND overlap >= 0.3 THEN 2 WHEN len(same) > 0 AND overlap >= 0.25 THEN 3 WHEN overlap >= 0.5 AND confirmations >= 1 THEN 4 WHEN overlap >= 0.65 THEN 5 ELSE 6 END"
-_REPLY_SQL = f"""replies AS (SELECT DISTINCT l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey AS evidence_id, l_partkey % {len(_REPLIES)} AS k FROM lineitem),
+_REPLY_SQL = f"""replies AS (SELECT l_orderkey||'-'||l_linenumber||'-'||l_partkey||'-'||l_suppkey AS evidence_id, l_partkey % {len(_REPLIES)} AS k FROM lineitem),
 parsed AS (SELECT evidence_id, CASE k WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'CONTRADICTS' END AS relationship, CASE k WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.5::DOUBLE END AS directness,
   CASE k WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 0.5::DOUBLE END AS confidence, CASE k WHEN 0 THEN 'match R' WHEN 1 THEN 'other figure R' END AS reason FROM replies)"""
 
@@ -152,7 +152,7 @@ ORACLES = {
     "label_json_parse": f"WITH {_REPLY_SQL} SELECT * FROM parsed",
     "label_override": W._W + f""", {_REPLY_SQL} SELECT ev.evidence_id, claim_id, coalesce(p.relationship, ev.relationship) AS relationship, round(coalesce(p.directness, ev.directness), 6) AS directness,
         coalesce(reason, 'lexical') AS rationale, coalesce(confidence, 0.4::DOUBLE) AS label_confidence, CASE WHEN p.relationship IS NULL THEN 'lexical' ELSE 'llm' END AS classifier
-      FROM ev LEFT JOIN parsed p ON p.evidence_id = ev.evidence_id""",
+      FROM ev LEFT JOIN (SELECT DISTINCT * FROM parsed) p ON p.evidence_id = ev.evidence_id""",
     "fallback_article": """WITH c AS (SELECT doc_id, 'u'||(doc_id % 400) AS url, source, CASE WHEN doc_id % 7 <> 0 THEN substr(text, 1, 50) END AS summary FROM documents)
       SELECT doc_id, c.url, coalesce(CASE WHEN page_id % 2 = 0 THEN 'T' END, source) AS title, coalesce(substr(html, 1, 40), summary) AS body, NULL::VARCHAR AS canonical_url
       FROM c LEFT JOIN pages ON 'u'||page_id = c.url WHERE coalesce(substr(html, 1, 40), summary) IS NOT NULL""",
