@@ -224,8 +224,9 @@ def cluster_assignment(spark, sf):
 def document_upsert(spark, sf):
     d = documents(spark, sf)
     key = F.concat(F.lit("https://x.example.org/"), (F.col("doc_id") % 100).cast("string"))
-    stored = d.where(F.col("doc_id") < 100).select(
-        key.alias("key"), "url", "title", F.substring("body", 1, 300).alias("excerpt"), F.lit("stored").alias("content_hash")
+    oldest = d.groupBy(key.alias("key")).agg(F.min_by(F.struct("url", "title", "body"), "doc_id").alias("d"))
+    stored = oldest.select(
+        "key", "d.url", "d.title", F.substring("d.body", 1, 300).alias("excerpt"), F.lit("stored").alias("content_hash")
     )
     new = d.select(
         F.col("doc_id").alias("arrival_no"), F.concat(key, F.lit("/")).alias("url"), F.lit(None).cast("string").alias("canonical_url"), "title", "body"
@@ -235,8 +236,8 @@ def document_upsert(spark, sf):
 
 def source_upsert(spark, sf):
     d = table(spark, sf, "documents")
-    stored = table(spark, sf, "supplier").where(F.col("s_suppkey") % 3 == 0).select(
-        F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("domain"), F.col("s_name").alias("name"), F.lit("UNKNOWN").alias("source_type")
+    stored = table(spark, sf, "supplier").select(
+        F.concat(F.lit("src"), (F.col("s_suppkey") * 2).cast("string")).alias("domain"), F.col("s_name").alias("name"), F.lit("UNKNOWN").alias("source_type")
     )
     kind = F.when(F.col("doc_id") % 4 == 0, "UNKNOWN").otherwise(F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.col("doc_id") % 11 + 1).cast("int")))
     new = d.select(F.col("doc_id").alias("arrival_no"), F.col("source").alias("domain"), F.when(F.col("doc_id") % 2 == 0, F.upper("source")).alias("name"), kind.alias("source_type"))
@@ -309,8 +310,8 @@ def headline_gate(spark, sf):
 def _candidates(spark, sf) -> DataFrame:
     scores = R.relevance(claims(spark, sf), tokened(spark, sf), min_score=V.CANDIDATE_MIN_SCORE)
     facts = documents(spark, sf).select("doc_id", "source", F.concat(F.lit("https://x.example.org/"), (F.col("doc_id") % 50).cast("string")).alias("url"), "canonical_url")
-    even = scores.where(F.col("doc_id") % 2 == 0).withColumn("score", F.col("score"))
-    both = R.union_candidates(("RSS_CORPUS", scores), ("DIRECT_URL", even))
+    second = scores.withColumn("score", F.col("score") * 0.9)
+    both = R.union_candidates(("RSS_CORPUS", scores), ("DIRECT_URL", second))
     return both.join(facts, "doc_id")
 
 
@@ -488,7 +489,7 @@ origins AS (SELECT * FROM voices WHERE coalesce(text, '') <> '')"""
 
 _CAND = _REL + f""", scores AS (SELECT * FROM rel WHERE score >= 0.12),
 cand AS (SELECT s.*, provider, provider_no, 'https://x.example.org/'||(doc_id % 50) AS url FROM (
-   SELECT *, 'RSS_CORPUS' AS provider, 0 AS provider_no FROM scores UNION ALL SELECT *, 'DIRECT_URL', 1 FROM scores WHERE doc_id % 2 = 0) s),
+   SELECT claim_id, doc_id, score, 'RSS_CORPUS' AS provider, 0 AS provider_no FROM scores UNION ALL SELECT claim_id, doc_id, score * 0.9::DOUBLE, 'DIRECT_URL', 1 FROM scores) s),
 top AS (SELECT *, row_number() OVER (PARTITION BY claim_id, provider ORDER BY score DESC, doc_id) AS provider_rank FROM cand)"""
 
 _P = "(?is)<p(?:\\s[^>]*)?>"
@@ -555,7 +556,7 @@ ORACLES = {
       f AS (SELECT key, arg_min(url, arrival_no) AS url, arg_min(title, arrival_no) AS title FROM r GROUP BY key),
       l AS (SELECT key, excerpt, content_hash FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY (size > 2000)::INT DESC, CASE WHEN size > 2000 THEN arrival_no ELSE size END DESC, arrival_no) = 1)
       SELECT key, url, title, excerpt, content_hash FROM f JOIN l USING (key)""",
-    "source_upsert": f"""WITH r AS (SELECT 'src'||s_suppkey AS domain, s_name AS name, 'UNKNOWN' AS t, -1 AS n FROM supplier WHERE s_suppkey % 3 = 0
+    "source_upsert": f"""WITH r AS (SELECT 'src'||(s_suppkey * 2) AS domain, s_name AS name, 'UNKNOWN' AS t, -1 AS n FROM supplier
         UNION ALL SELECT source, CASE WHEN doc_id % 2 = 0 THEN upper(source) END, CASE WHEN doc_id % 4 = 0 THEN 'UNKNOWN' ELSE ([{quoted(_TYPES)}])[doc_id % 11 + 1] END, doc_id FROM documents)
       SELECT domain, arg_min(coalesce(name, domain), n) AS name, coalesce(arg_min(t, n) FILTER (t <> 'UNKNOWN'), 'UNKNOWN') AS source_type FROM r GROUP BY domain""",
     "primary_suffix_join": f"""WITH d AS (SELECT DISTINCT CASE page_id % 4 WHEN 0 THEN reg WHEN 1 THEN host||'.'||reg WHEN 2 THEN 'not'||reg ELSE host END AS domain

@@ -311,7 +311,7 @@ _META = ["Made with Stable Diffusion XL", "plain", "DALL-E 3 by OpenAI", "midjou
 
 def media_signals(spark, sf):
     n = F.col("page_id")
-    meta = table(spark, sf, "pages").where(n % 6 != 5).select(
+    meta = table(spark, sf, "pages").select(
         n.alias("media_id"), F.element_at(F.array(*[F.lit(m) for m in _META]), (n % 5 + 1).cast("int")).alias("metadata_text"),
         F.when(n % 3 == 0, "Canon ").alias("make"), F.when(n % 3 == 0, " EOS 5D").alias("model"), (n % 3 == 0).alias("has_exif"),
         F.when(n % 4 == 0, "Adobe Photoshop 25").when(n % 4 == 1, "scanner").alias("software"),
@@ -542,7 +542,7 @@ ORACLES = {
           WHEN kind = 'IMAGE' AND declared_type <> '' AND trim(split_part(declared_type, ';', 1)) NOT IN (detected_type, 'application/octet-stream') THEN 'type_mismatch'
           WHEN {_MARK_SQL} THEN 'polyglot' END AS refusal FROM d""",
     "media_signals": f"""WITH {_FILES_SQL}, m AS (SELECT page_id AS media_id, ['Stable Diffusion', NULL, 'DALL-E', 'Midjourney', NULL][page_id % 5 + 1] AS generator, page_id % 3 = 0 AS cam,
-        CASE page_id % 4 WHEN 0 THEN 'Adobe Photoshop 25' WHEN 1 THEN 'scanner' END AS software, CASE WHEN page_id % 7 = 0 THEN ('2023-0'||(page_id % 9 + 1)||'-15 10:20:30')::TIMESTAMP END AS cap FROM pages WHERE page_id % 6 <> 5),
+        CASE page_id % 4 WHEN 0 THEN 'Adobe Photoshop 25' WHEN 1 THEN 'scanner' END AS software, CASE WHEN page_id % 7 = 0 THEN ('2023-0'||(page_id % 9 + 1)||'-15 10:20:30')::TIMESTAMP END AS cap FROM pages),
       f AS (SELECT media_id, media_id % 2 = 1 AND media_id % 7 = 0 AS has_c2pa, generator, coalesce(cam, FALSE) AS cam, software, cap FROM files LEFT JOIN m USING (media_id))
       SELECT media_id, generator, has_c2pa, CASE WHEN generator IS NOT NULL THEN 'declared_generator' WHEN has_c2pa THEN 'provenance_present' ELSE 'undetermined' END AS assessment,
         strftime(cap, '%Y-%m-%d %H:%M:%S') AS captured_at,
