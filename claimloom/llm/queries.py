@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import exact_dedup
-from claimloom.llm.shared import table
+from claimloom.llm import exact_dedup, fingerprints, language, packing, warc
+from claimloom.llm.shared import scratch, table
 
 _WHITE_SQL = r"'[\x20\x09-\x0D]+'"
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.copies(table(spark, sf_dir, "documents"))
     return found.select(
@@ -30,8 +38,34 @@ SELECT doc_id,
 FROM d
 """
 
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.trained_on_the_rest(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), with_text=False)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.read(spark, path, payloads=False).where("record_type <> 'gap'")
+    page = F.regexp_extract("record_id", r"^<urn:page:(-?\d+)>$", 1)
+    first = F.regexp_extract("refers_to", r"^<urn:page:(-?\d+)>$", 1)
+    return found.select(
+        F.nullif(page, F.lit("")).cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.nullif(first, F.lit("")).cast("long").alias("refers_to"),
+    )
+
+
 QUERIES = {
+    "op3_fingerprints": op3_fingerprints,
+    "op4_packing": op4_packing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_language_id": op9_language_id,
+    "op10_warc": op10_warc,
 }
 
 ORACLES = {
