@@ -101,23 +101,39 @@ def successor_sweep(wanted: dict[int, tuple[int, int]], gaps: dict[int, int]) ->
     return out
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """items (doc_id, piece, size, ...) with sequence_id and offset."""
-    spark = items.sparkSession
-    ranked, total = _ranked(items)
-    wanted = {size: (0, n) for size, n in total.items()}
-    placed, gaps, open_gaps, sequences = [], {}, None, 0
-    names = [c for c in ranked.columns if c != "rank"]
+def openings(left: dict[int, tuple[int, int]], fresh: list[int], capacity: int) -> list[tuple[int, int, int]]:
+    """(size, first rank, end) of the pieces that open sequences: all over half a sequence, else the
+    largest until as many sequences are open as the tokens of the sizes that no gap holds need."""
+    need = -(-sum(s * (left[s][1] - left[s][0]) for s in fresh) // capacity)
+    out = []
+    for size in sorted(fresh, reverse=True):
+        at, end = left[size]
+        each = capacity // size
+        if each > 1:
+            if need <= 0:
+                break
+            end = min(end, at + need * each)
+        need -= -(-(end - at) // each)
+        out.append((size, at, end))
+    return out
+
+
+def rounds(total: dict[int, int], capacity: int) -> Iterator[tuple[str, list[tuple], list[tuple]]]:
+    """The rounds over pieces counted by size: ("open", openings, []) or ("match", matches, moves).
 
-    while any(at < end for at, end in wanted.values()):
-        left = {s: w for s, w in wanted.items() if w[0] < w[1]}
+    openings: (size, low, high, pieces each, first sequence, full ones, their gap and first rank, gap
+    and rank of one that is not full).  matches: (match, size, low, n, gap, first gap rank, pieces
+    each).  moves: (gap, low, high, new gap, shift): these gap ranks get a new width and rank.
+    """
+    wanted, gaps, sequences = {size: (0, n) for size, n in total.items()}, {}, 0
+    while left := {s: w for s, w in wanted.items() if w[0] < w[1]}:
+        over = [s for s in left if s > capacity // 2]
         widest = max(gaps, default=0)
-        fresh = [s for s in left if s > widest and (s > capacity // 2 or not any(x > capacity // 2 for x in left))]
+        fresh = over or [s for s in left if s > widest]
+        at_rank: dict[int, int] = dict(gaps) if fresh else {}
         if fresh:
-            # open sequences: as many pieces of the size in each as fit; the last may hold fewer
-            opens, base, at_rank = [], sequences, dict(gaps)
-            for size in sorted(fresh, reverse=True):
-                at, end = left[size]
+            opens = []
+            for size, at, end in openings(left, fresh, capacity):
                 each = capacity // size
                 whole, rest = divmod(end - at, each)
                 full, last = capacity - each * size, capacity - rest * size
@@ -125,69 +141,92 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 at_rank[full] = full_low + whole
                 last_low = at_rank.get(last, 0)
                 at_rank[last] = last_low + bool(rest)
-                opens.append((size, at, end, each, base, whole, full, full_low, last, last_low))
-                base, wanted[size] = base + whole + bool(rest), (end, end)
-            plan = spark.createDataFrame(
-                opens, ", ".join(f"{c} long" for c in "size low high each base whole full full_low last last_low".split())
-            )
-            hit = (ranked["size"] == plan["size"]) & (ranked["rank"] >= plan.low) & (ranked["rank"] < plan.high)
-            step, turn = F.floor((F.col("rank") - F.col("low")) / F.col("each")), (F.col("rank") - F.col("low")) % F.col("each")
-            put = ranked.join(F.broadcast(plan), hit).drop(plan["size"]).withColumn("sequence_id", F.col("base") + step)
-            placed.append(put.withColumn("offset", turn * F.col("size")).select(*names, "sequence_id", "offset"))
-            is_full = step < F.col("whole")
-            more = put.where(turn == 0).select(
-                "sequence_id",
-                F.when(is_full, F.col("full")).otherwise(F.col("last")).alias("gap"),
-                F.when(is_full, F.col("full_low") + step).otherwise(F.col("last_low")).alias("rank"),
-            ).where("gap > 0")
-            open_gaps = cut_lineage(more if open_gaps is None else open_gaps.unionByName(more))
-            gaps = {g: n for g, n in at_rank.items() if g and n}
-            sequences = base
-            continue
-        # a round: successors, conflicts by rank, gaps updated
-        matches = successor_sweep(left, gaps)
-        rows = [(m, *match) for m, match in enumerate(matches)]
-        plan = spark.createDataFrame(rows, "match long, size long, low long, n long, gap long, gap_low long, each long")
-        hit = (ranked["size"] == plan["size"]) & (ranked["rank"] >= plan.low) & (ranked["rank"] < plan.low + plan.n)
-        step = F.col("rank") - F.col("low")
-        pieces_in = ranked.join(F.broadcast(plan), hit).drop(plan["size"]).select(
-            *names, "match", F.floor(step / F.col("each")).alias("place"), (step % F.col("each")).alias("turn")
-        )
-        hit = (open_gaps["gap"] == plan["gap"]) & (open_gaps["rank"] >= plan.gap_low) & (open_gaps["rank"] < plan.gap_low + F.ceil(plan.n / plan.each))
-        gaps_in = open_gaps.join(F.broadcast(plan), hit).drop(plan["gap"]).select(
-            "sequence_id", "gap", "match", (F.col("rank") - F.col("gap_low")).alias("place")
-        )
-        put = pieces_in.join(gaps_in, ["match", "place"]).withColumn("offset", F.lit(capacity) - F.col("gap") + F.col("turn") * F.col("size"))
-        placed.append(cut_lineage(put.drop("match", "place", "turn", "gap")))
-        # (gap, low, high, new gap, shift): the ranks from low to high of a gap move to another
-        moves, at_rank, used = [], {}, dict.fromkeys(gaps, 0)
-
-        def move(gap: int, low: int, high: int, to: int) -> None:
-            moves.append((gap, low, high, to, at_rank.get(to, 0) - low))
-            at_rank[to] = at_rank.get(to, 0) + high - low
-
-        for size, at, n, gap, low, each in matches:
-            whole, rest = divmod(n, each)
-            if whole:
+                opens.append((size, at, end, each, sequences, whole, full, full_low, last, last_low))
+                sequences, wanted[size] = sequences + whole + bool(rest), (end, wanted[size][1])
+            yield "open", opens, []
+        else:
+            matches, moves, used = successor_sweep(left, gaps), [], dict.fromkeys(gaps, 0)
+
+            def move(gap: int, low: int, high: int, to: int) -> None:
+                if low < high:
+                    moves.append((gap, low, high, to, at_rank.get(to, 0) - low))  # noqa: B023
+                    at_rank[to] = at_rank.get(to, 0) + high - low  # noqa: B023
+
+            for size, at, n, gap, low, each in matches:
+                whole, rest = divmod(n, each)
                 move(gap, low, low + whole, gap - each * size)
-            if rest:
-                move(gap, low + whole, low + whole + 1, gap - rest * size)
-            used[gap] = low + whole + bool(rest)
-            wanted[size] = (at + n, wanted[size][1])
-        for gap, n in gaps.items():
-            if used[gap] < n:
+                move(gap, low + whole, low + whole + bool(rest), gap - rest * size)
+                used[gap] = low + whole + bool(rest)
+                wanted[size] = (at + n, wanted[size][1])
+            for gap, n in gaps.items():
                 move(gap, used[gap], n, gap)
-        moved = spark.createDataFrame(moves, "gap long, low long, high long, to long, shift long").where("to > 0")
-        hit = (open_gaps["gap"] == moved["gap"]) & (open_gaps["rank"] >= moved.low) & (open_gaps["rank"] < moved.high)
-        open_gaps = cut_lineage(
-            open_gaps.join(F.broadcast(moved), hit).select("sequence_id", F.col("to").alias("gap"), (F.col("rank") + F.col("shift")).alias("rank"))
-        )
+            yield "match", [(i, *m) for i, m in enumerate(matches)], moves
         gaps = {g: n for g, n in at_rank.items() if g and n}
-    out = None
-    for part in placed:
-        out = part if out is None else out.unionByName(part)
+
+
+def _longs(names: str) -> str:
+    return ", ".join(f"{c} long" for c in names.split())
+
+
+def _opened(ranked: DataFrame, opens: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """(pieces in their new sequences, gaps of these)."""
+    plan = ranked.sparkSession.createDataFrame(
+        opens, _longs("size low high each base whole full full_low last last_low")
+    )
+    hit = (ranked["size"] == plan["size"]) & (ranked["rank"] >= plan.low) & (ranked["rank"] < plan.high)
+    step, turn = F.floor((F.col("rank") - F.col("low")) / F.col("each")), (F.col("rank") - F.col("low")) % F.col("each")
+    put = ranked.join(F.broadcast(plan), hit).drop(plan["size"]).withColumn("sequence_id", F.col("base") + step)
+    is_full = step < F.col("whole")
+    gaps = put.where(turn == 0).select(
+        "sequence_id",
+        F.when(is_full, F.col("full")).otherwise(F.col("last")).alias("gap"),
+        F.when(is_full, F.col("full_low") + step).otherwise(F.col("last_low")).alias("rank"),
+    )
+    names = [c for c in ranked.columns if c != "rank"]
+    return put.withColumn("offset", turn * F.col("size")).select(*names, "sequence_id", "offset"), gaps.where("gap > 0")
+
+
+def _matched(ranked: DataFrame, gaps: DataFrame, matches: list[tuple], capacity: int) -> DataFrame:
+    """Pieces in the gaps that they meet."""
+    plan = ranked.sparkSession.createDataFrame(matches, _longs("match size low n gap gap_low each"))
+    hit = (ranked["size"] == plan["size"]) & (ranked["rank"] >= plan.low) & (ranked["rank"] < plan.low + plan.n)
+    step = F.col("rank") - F.col("low")
+    names = [c for c in ranked.columns if c != "rank"]
+    pieces_in = ranked.join(F.broadcast(plan), hit).drop(plan["size"]).select(
+        *names, "match", F.floor(step / F.col("each")).alias("place"), (step % F.col("each")).alias("turn")
+    )
+    hit = (gaps["gap"] == plan["gap"]) & (gaps["rank"] >= plan.gap_low) & (gaps["rank"] < plan.gap_low + F.ceil(plan.n / plan.each))
+    gaps_in = gaps.join(F.broadcast(plan), hit).drop(plan["gap"]).select(
+        "sequence_id", "gap", "match", (F.col("rank") - F.col("gap_low")).alias("place")
+    )
+    put = pieces_in.join(gaps_in, ["match", "place"])
+    offset = F.lit(capacity) - F.col("gap") + F.col("turn") * F.col("size")
+    return put.withColumn("offset", offset).select(*names, "sequence_id", "offset")
+
+
+def _moved(gaps: DataFrame, moves: list[tuple]) -> DataFrame:
+    """The gaps of the next round."""
+    plan = gaps.sparkSession.createDataFrame(moves, _longs("gap low high to shift")).where("to > 0")
+    hit = (gaps["gap"] == plan["gap"]) & (gaps["rank"] >= plan.low) & (gaps["rank"] < plan.high)
+    return gaps.join(F.broadcast(plan), hit).select(
+        "sequence_id", F.col("to").alias("gap"), (F.col("rank") + F.col("shift")).alias("rank")
+    )
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """items (doc_id, piece, size, ...) with sequence_id and offset."""
+    ranked, total = _ranked(items)
+    gaps, out = None, None
+    for kind, plan, moves in rounds(total, capacity):
+        if kind == "open":
+            put, more = _opened(ranked, plan)
+            gaps = cut_lineage(more if gaps is None else gaps.unionByName(more))
+        else:
+            put = cut_lineage(_matched(ranked, gaps, plan, capacity))
+            gaps = cut_lineage(_moved(gaps, moves))
+        out = put if out is None else out.unionByName(put)
     if out is None:
-        out = ranked.drop("rank").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+        out = ranked.drop("rank").withColumns({c: F.lit(0).cast("long") for c in ("sequence_id", "offset")})
     return out
 
 
