@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import exact_dedup, fingerprints, language, packing, warc
+from claimloom.llm import exact_dedup, fingerprints, jaccard_join, language, packing, warc
 from claimloom.llm.shared import scratch, table
 
 _WHITE_SQL = r"'[\x20\x09-\x0D]+'"
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_fingerprints": op3_fingerprints,
     "op4_packing": op4_packing,
     "op7_exact_dedup": op7_exact_dedup,
