@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import exact_dedup, fingerprints, jaccard_join, language, packing, warc
+from claimloom.llm import exact_dedup, fingerprints, jaccard_join, language, packing, substrings, warc
 from claimloom.llm.shared import scratch, table
 
 _WHITE_SQL = r"'[\x20\x09-\x0D]+'"
@@ -23,6 +23,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.copies(table(spark, sf_dir, "documents"))
     return found.select(
@@ -68,6 +72,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_fingerprints": op3_fingerprints,
     "op4_packing": op4_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
