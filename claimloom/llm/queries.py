@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import exact_dedup, fingerprints, jaccard_join, language, packing, substrings, warc
+from claimloom.llm import (
+    exact_dedup,
+    fingerprints,
+    html_text,
+    jaccard_join,
+    language,
+    packing,
+    pieces,
+    substrings,
+    token_counts,
+    warc,
+)
 from claimloom.llm.shared import scratch, table
 
 _WHITE_SQL = r"'[\x20\x09-\x0D]+'"
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extracted(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return found.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
@@ -27,6 +43,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.copies(table(spark, sf_dir, "documents"))
     return found.select(
@@ -48,6 +68,10 @@ FROM d
 
 
 
+def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.trained_on_the_rest(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), with_text=False)
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -69,11 +93,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_fingerprints": op3_fingerprints,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_piece_encoding": op8_piece_encoding,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
 }
