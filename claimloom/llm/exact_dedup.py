@@ -98,9 +98,9 @@ def identities(
             "block",
             "pos",
         ).withColumn("h", digest(F.col("block")))
-        subs = _told_apart(contents(), spelled, collided).withColumnsRenamed({"id": "_id", "sha": "_sha", "pos": "_pos"})
-        same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")) & (F.col("pos") == F.col("_pos"))
-        at = at.join(subs, same, "left").drop("_id", "_sha", "_pos").withColumn("sub", F.coalesce("sub", F.lit(0)))
+        subs = _told_apart(contents(), spelled, collided).withColumnsRenamed({"id": "__id", "sha": "__sha", "pos": "__pos"})
+        same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")) & (F.col("pos") == F.col("__pos"))
+        at = at.join(subs, same, "left").drop("__id", "__sha", "__pos").withColumn("sub", F.coalesce("sub", F.lit(0)))
     level = 0
     names = cut_lineage(_named(at.drop("id", "sha"), ["h", "sub"]))
     longest = names.agg(F.max("n")).first()[0] or 0
@@ -135,12 +135,12 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one row of each set of equal texts, the one with the smallest id."""
     found = cut_lineage(copies(docs, id_col, text_col, **how))
-    kept = found.where("kept").select(F.col("id").alias("_id"), F.col("sha").alias("_sha"))
-    keyed = docs.withColumn("_key", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    kept = found.where("kept").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"))
+    keyed = docs.withColumn("__key", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
     stay = keyed.join(
-        kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")), "left_semi"
+        kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_semi"
     )
     twins = found.groupBy("id", "sha").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     if not twins.isEmpty():
-        stay = stay.dropDuplicates([id_col, "_key"])
+        stay = stay.dropDuplicates([id_col, "__key"])
     return stay.select(*docs.columns)

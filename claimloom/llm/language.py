@@ -108,9 +108,14 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, id_col="doc_id", te
     known = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
+    # rows per language first: then about per_language rows of each pass a limit on their id's hash, so that
+    # the exact limit behind it ranks a number of rows that does not grow with the table
+    rates = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.25 * per_language + 200) / F.count(F.lit(1))).alias("rate"))
+    rates = rows.sparkSession.createDataFrame(rates.collect(), rates.schema)  # a row per language
+    chance = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
+    some = known.join(F.broadcast(rates), "lang").where(chance < F.col("rate")).drop("rate")
     order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-    # the rank limit is applied in each task before rows move, so at most per_language rows a language and task do
-    sample = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    sample = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -140,14 +145,14 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, id_col="doc_id", te
     return langs, np.round(matrix * _UNIT).astype(np.int32), np.round(priors * _UNIT).astype(np.int64)
 
 
-def classify(docs: DataFrame, model, text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """docs with lang_pred and score (the posterior of the predicted language), on request without the text."""
+def classify(docs: DataFrame, model, text_col: str = "text", with_text: bool = True, out=("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its posterior in the columns `out`, on request without the text."""
     langs, matrix, priors = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix, priors))
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in out]
     kept = docs.select(*keep)
     back = [c for c in keep if with_text or c != text_col]
-    schema = T.StructType([f for f in kept.schema.fields if f.name in back]).add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([f for f in kept.schema.fields if f.name in back]).add(out[0], "string").add(out[1], "double")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, matrix, priors = shared.value
@@ -173,7 +178,7 @@ def classify(docs: DataFrame, model, text_col: str = "text", with_text: bool = T
                 names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in back], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                [*back, "lang_pred", "score"],
+                [*back, *out],
             )
 
     return kept.mapInArrow(scored, schema)

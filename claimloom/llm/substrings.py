@@ -279,20 +279,20 @@ def _match(window: int):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with `_key`, a whole number in order of the id: the id itself where it serves."""
+    """docs with `__key`, a whole number in order of the id: the id itself where it serves."""
     twice = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
     if twice.isEmpty():
-        return docs.withColumn("_key", F.col(id_col).cast("long"))
+        return docs.withColumn("__key", F.col(id_col).cast("long"))
     ranged = docs.repartitionByRange(S.tasks(docs.sparkSession), F.col(id_col).asc_nulls_first())
     ordered = ranged.sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
-    return S.written(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    return S.written(ordered.withColumn("__key", F.monotonically_increasing_id()), "keyed")
 
 
 def repeats(keyed: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot_keys: int = HOT_KEYS) -> DataFrame:
     """(doc, ranges): per document with repeats, the ranges [low, high) of windows that occur earlier."""
     spark = keyed.sparkSession
     buckets = S.tasks(spark)
-    texts = keyed.select(F.col("_key").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = keyed.select(F.col("__key").alias("doc_id"), F.col(text_col).alias("text"))
     parts = texts.mapInArrow(_find_anchors(window, gram, buckets), _FRAGMENT)
     met = parts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_recurring, _FLAG)
     met = S.written(met, "anchors")
@@ -324,7 +324,8 @@ def _kept(text: str | None, ranges, window: int) -> tuple[int, int, str]:
 def _with_ranges(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     keyed = _keyed(docs, id_col, text_col)
     found = repeats(keyed, text_col, **how)
-    return keyed.join(found, keyed["_key"] == found["doc"], "left").drop("doc")
+    found = found.withColumnsRenamed({"doc": "__doc", "ranges": "__ranges"})
+    return keyed.join(found, keyed["__key"] == found["__doc"], "left").drop("__doc", "__key")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **how) -> DataFrame:
@@ -333,7 +334,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_kept(t.as_py(), r, window) for t, r in zip(batch.column("text"), batch.column("ranges").to_pylist())]
+            rows = [_kept(t.as_py(), r, window) for t, r in zip(batch.column("text"), batch.column("__ranges").to_pylist())]
             n, gone, kept = zip(*rows) if rows else ([], [], [])
             sha = [hashlib.sha256(k.encode("utf-8")).hexdigest() for k in kept]
             yield pa.RecordBatch.from_arrays(
@@ -341,22 +342,23 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    rows = _with_ranges(slim, "doc_id", "text", window=window, **how).select("doc_id", "text", "ranges")
+    rows = _with_ranges(slim, "doc_id", "text", window=window, **how).select("doc_id", "text", "__ranges")
     return rows.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **how) -> DataFrame:
     """docs with repeats removed from their texts; texts without repeats stay as they are."""
+    names = docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = [
                 t.as_py() if r is None else _kept(t.as_py(), r, window)[2]
-                for t, r in zip(batch.column(text_col), batch.column("ranges").to_pylist())
+                for t, r in zip(batch.column(text_col), batch.column("__ranges").to_pylist())
             ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(new, pa.string()) if c == text_col else batch.column(c) for c in docs.columns], docs.columns
+                [pa.array(new, pa.string()) if c == text_col else batch.column(c) for c in names], names
             )
 
     rows = _with_ranges(docs, id_col, text_col, window=window, **how)
-    return rows.select(*docs.columns, "ranges").mapInArrow(apply, docs.schema)
+    return rows.select(*names, "__ranges").mapInArrow(apply, docs.schema)
