@@ -66,16 +66,15 @@ def page_links(pages: DataFrame, k: int = V.LINKS_PER_PAGE) -> DataFrame:
     )
 
 
-def upsert_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_documents(existing: DataFrame, incoming: DataFrame, cap: int = V.EXCERPT_CHARS) -> DataFrame:
     """Merge incoming(arrival_no, url, canonical_url, title, body) into the document store
-    (key, url, title, excerpt, content_hash).
+    (key, url, title, excerpt, content_hash).  cap is the length of an excerpt.
 
     A stored row keeps its identity; its excerpt and hash change only when a longer body
     arrives, step by step in arrival order.  Since a stored excerpt is never longer than the
     cap, each arrival beyond the cap replaces the last: the winner is the latest body longer
     than the cap, else the earliest of the longest bodies.
     """
-    cap = V.EXCERPT_CHARS
     body = F.coalesce(F.col("body"), F.lit(""))
     rows = incoming.select(
         F.rtrim(F.coalesce(F.nullif(F.col("canonical_url"), F.lit("")), F.col("url")), F.lit("/")).alias("key"),

@@ -135,11 +135,11 @@ def submission_intake(spark, sf):
     k = (F.col("conv_id") + F.col("turn")) % 8
     raw = c.select(
         F.concat_ws("-", "conv_id", "turn").alias("submission_id"),
-        F.when(k < 4, F.when(k == 3, F.substring("text", 1, 8)).otherwise(F.col("text"))).alias("text"),
+        F.when(k < 4, F.when(k == 3, F.repeat("text", (F.floor(50_000 / F.length("text")) + 1).cast("int"))).otherwise(F.col("text"))).alias("text"),
         F.when(k == 2, F.repeat(F.lit("t"), 501)).alias("title"),
         F.when(k == 4, F.concat(F.lit("https://m.facebook.com/"), F.col("conv_id").cast("string")))
         .when(k == 5, F.concat(F.lit("https://news.example.org/"), F.col("turn").cast("string"))).alias("url"),
-        F.when(F.col("turn") % 2 == 0, F.lit("a caption")).alias("caption"),
+        F.when((k < 4) | (F.col("turn") % 3 > 0), F.col("text")).alias("caption"),
         F.when(k == 6, "IMAGE").when((k == 7) & (F.col("turn") < 5), "VIDEO").alias("media_kind"),
         (F.col("conv_id") % 2 == 0).alias("is_screenshot"),
     )
@@ -225,9 +225,11 @@ def document_upsert(spark, sf):
     d = documents(spark, sf)
     key = F.concat(F.lit("https://x.example.org/"), (F.col("doc_id") % 100).cast("string"))
     oldest = d.groupBy(key.alias("key")).agg(F.min_by(F.struct("url", "title", "body"), "doc_id").alias("d"))
-    stored = oldest.select(
-        "key", "d.url", "d.title", F.substring("d.body", 1, 300).alias("excerpt"), F.lit("stored").alias("content_hash")
-    )
+    # the store as an earlier run left it
+    none = d.limit(0).select(F.lit("").alias("key"), "url", "title", F.col("body").alias("excerpt"), F.lit("").alias("content_hash"))
+    stored = K.upsert_documents(none, oldest.select(
+        F.lit(0).cast("long").alias("arrival_no"), F.col("key").alias("canonical_url"), "d.url", "d.title", "d.body"
+    ))
     new = d.select(
         F.col("doc_id").alias("arrival_no"), F.concat(key, F.lit("/")).alias("url"), F.lit(None).cast("string").alias("canonical_url"), "title", "body"
     )
@@ -519,10 +521,10 @@ def _sql_plain(fragment: str, sep: str = "' '") -> str:
 ORACLES = {
     "submission_intake": """WITH r AS (SELECT *, (conv_id + turn) % 8 AS k, conv_id||'-'||turn AS submission_id FROM conversations),
       j AS (SELECT submission_id, CASE WHEN k = 7 AND turn >= 5 THEN 'nothing_submitted'
-          WHEN k < 4 AND NOT (length(CASE WHEN k = 3 THEN substr(text, 1, 8) ELSE text END) BETWEEN 10 AND 50000) THEN 'text_length'
+          WHEN k < 4 AND NOT (length(CASE WHEN k = 3 THEN repeat(text, 50000 // length(text) + 1) ELSE text END) BETWEEN 10 AND 50000) THEN 'text_length'
           WHEN k = 2 THEN 'title_length' END AS reject_reason,
         CASE WHEN k = 4 THEN 'SOCIAL_URL' WHEN k = 5 THEN 'ARTICLE_URL' WHEN k = 6 AND conv_id % 2 = 0 THEN 'SCREENSHOT'
-          WHEN k = 6 AND turn % 2 = 0 THEN 'IMAGE_WITH_CAPTION' WHEN k = 6 THEN 'IMAGE' WHEN k = 7 AND turn < 5 AND turn % 2 = 0 THEN 'VIDEO_WITH_CAPTION'
+          WHEN k = 6 AND turn % 3 > 0 THEN 'IMAGE_WITH_CAPTION' WHEN k = 6 THEN 'IMAGE' WHEN k = 7 AND turn < 5 AND turn % 3 > 0 THEN 'VIDEO_WITH_CAPTION'
           WHEN k = 7 AND turn < 5 THEN 'VIDEO' WHEN k < 4 THEN 'TEXT' END AS content_type FROM r)
       SELECT submission_id, CASE WHEN reject_reason IS NULL THEN content_type END AS content_type, reject_reason FROM j""",
     "texts_by_origin": f"WITH {_SPOKEN} SELECT * FROM origins",
@@ -551,7 +553,7 @@ ORACLES = {
         arg_min(doc_id, ROW(published_at IS NULL, coalesce(published_at, TIMESTAMP '2023-11-14 22:13:20' + INTERVAL 1 SECOND * created_no), doc_id)) AS representative_id
       FROM k GROUP BY key HAVING count(*) >= 2""",
     "cluster_assignment": "SELECT doc_id, cluster_key FROM (SELECT doc_id, 'hash:'||sha256(text) AS cluster_key, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n >= 2",
-    "document_upsert": f"""WITH {_BASE_DOCS}, r AS (SELECT 'https://x.example.org/'||(doc_id % 100) AS key, url, title, -1 AS arrival_no, substr(body, 1, 300) AS excerpt, 'stored' AS content_hash, length(substr(body, 1, 300)) AS size FROM bdocs WHERE doc_id < 100
+    "document_upsert": f"""WITH {_BASE_DOCS}, r AS (SELECT 'https://x.example.org/'||(doc_id % 100) AS key, url, title, -1 AS arrival_no, substr(body, 1, 2000) AS excerpt, sha256(body) AS content_hash, least(length(body), 2000) AS size FROM bdocs WHERE doc_id < 100
         UNION ALL SELECT 'https://x.example.org/'||(doc_id % 100), 'https://x.example.org/'||(doc_id % 100)||'/', title, doc_id, substr(body, 1, 2000), sha256(body), length(body) FROM bdocs),
       f AS (SELECT key, arg_min(url, arrival_no) AS url, arg_min(title, arrival_no) AS title FROM r GROUP BY key),
       l AS (SELECT key, excerpt, content_hash FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY (size > 2000)::INT DESC, CASE WHEN size > 2000 THEN arrival_no ELSE size END DESC, arrival_no) = 1)

@@ -95,10 +95,10 @@ def fallback_article(spark, sf):
     d = table(spark, sf, "documents")
     cand = d.select(
         "doc_id", F.concat(F.lit("u"), (F.col("doc_id") % 400).cast("string")).alias("url"), F.lit(None).cast("string").alias("canonical_url"), F.col("source").alias("title"),
-        F.when(F.col("doc_id") % 7 != 0, F.substring("text", 1, 50)).alias("summary"), F.lit(None).cast("timestamp").alias("published_at"),
+        F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("summary"), F.lit(None).cast("timestamp").alias("published_at"),
     )
     art = table(spark, sf, "pages").select(
-        F.concat(F.lit("u"), "page_id").alias("url"), F.substring("html", 1, 40).alias("body"), F.when(F.col("page_id") % 2 == 0, F.lit("T")).alias("title"),
+        F.concat(F.lit("u"), "page_id").alias("url"), F.col("html").alias("body"), F.when(F.col("page_id") % 2 == 0, F.lit("T")).alias("title"),
         F.lit("").alias("canonical_url"), F.lit(None).cast("timestamp").alias("published_at"),
     )
     return E.with_article(cand, art).select("doc_id", "url", "title", "body", "canonical_url")
@@ -153,7 +153,7 @@ ORACLES = {
     "label_override": W._W + f""", {_REPLY_SQL} SELECT ev.evidence_id, claim_id, coalesce(p.relationship, ev.relationship) AS relationship, round(coalesce(p.directness, ev.directness), 6) AS directness,
         coalesce(reason, 'lexical') AS rationale, coalesce(confidence, 0.4::DOUBLE) AS label_confidence, CASE WHEN p.relationship IS NULL THEN 'lexical' ELSE 'llm' END AS classifier
       FROM ev LEFT JOIN (SELECT DISTINCT * FROM parsed) p ON p.evidence_id = ev.evidence_id""",
-    "fallback_article": """WITH c AS (SELECT doc_id, 'u'||(doc_id % 400) AS url, source, CASE WHEN doc_id % 7 <> 0 THEN substr(text, 1, 50) END AS summary FROM documents)
-      SELECT doc_id, c.url, coalesce(CASE WHEN page_id % 2 = 0 THEN 'T' END, source) AS title, coalesce(substr(html, 1, 40), summary) AS body, NULL::VARCHAR AS canonical_url
-      FROM c LEFT JOIN pages ON 'u'||page_id = c.url WHERE coalesce(substr(html, 1, 40), summary) IS NOT NULL""",
+    "fallback_article": """WITH c AS (SELECT doc_id, 'u'||(doc_id % 400) AS url, source, CASE WHEN doc_id % 7 <> 0 THEN text END AS summary FROM documents)
+      SELECT doc_id, c.url, coalesce(CASE WHEN page_id % 2 = 0 THEN 'T' END, source) AS title, coalesce(html, summary) AS body, NULL::VARCHAR AS canonical_url
+      FROM c LEFT JOIN pages ON 'u'||page_id = c.url WHERE coalesce(html, nullif(summary, '')) IS NOT NULL""",
 }

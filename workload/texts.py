@@ -153,8 +153,10 @@ _FOREIGN = ["", "বাংলাদেশের অর্থনীতি ", "э
 def _foreign(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents")
     lead = F.element_at(F.array(*[F.lit(i) for i in _FOREIGN]), (F.col("doc_id") % 8 + 1).cast("int"))
-    tail = F.when(F.col("doc_id") % 8 == 6, "").when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.substring("text", 1, 12))
-    return docs.select("doc_id", F.concat(lead, tail).alias("text"))
+    # as many leads as outweigh the text, for two documents of three; the digits of the text alone after "1234"
+    often = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(F.floor(F.length("text") / 10) + 1).cast("int")
+    tail = F.when(F.col("doc_id") % 8 == 6, F.regexp_replace("text", r"\P{N}", "")).otherwise(F.col("text"))
+    return docs.select("doc_id", F.concat(F.repeat(lead, often), tail).alias("text"))
 
 
 def language_detect(spark, sf):
@@ -188,7 +190,7 @@ _BENGALI = " ছাত্রদের শিক্ষকদের ভূমি
 
 
 def tokenize_mixed(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(_BENGALI)).alias("text"))
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit(_BENGALI)).alias("text"))
     tokened = X.with_tokens(docs, "text", "tokens")
     return tokened.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
@@ -243,7 +245,7 @@ def injection_signals(spark, sf):
     return rows.select("doc_id", F.array_join("signals", " | ").alias("signals"), (F.size("signals") > 0).alias("flagged"))
 
 
-def sanitize_text(spark, sf):
+def _dirty(spark, sf) -> DataFrame:
     docs = table(spark, sf, "documents")
     k = F.col("doc_id") % 6
     dirty = (
@@ -254,15 +256,24 @@ def sanitize_text(spark, sf):
         .when(k == 4, F.concat(F.col("text"), F.lit(" \t \t")))
         .otherwise(F.col("text"))
     )
-    rows = docs.select("doc_id", dirty.alias("text")).withColumn("_n", X.nfkc(F.col("text")))
-    return rows.select("doc_id", X.sanitize(F.col("_n"), 5000).alias("s")).select("doc_id", "s.text", "s.truncated")
+    return docs.select("doc_id", dirty.alias("text")).withColumn("_n", X.nfkc(F.col("text")))
+
+
+def sanitize_text(spark, sf):
+    """Whole texts."""
+    return _dirty(spark, sf).select("doc_id", X.sanitize(F.col("_n")).alias("s")).select("doc_id", "s.text", "s.truncated")
+
+
+def sanitize_truncated(spark, sf):
+    """The truncating form, whose limit is the feature."""
+    return _dirty(spark, sf).select("doc_id", X.sanitize(F.col("_n"), 5000).alias("s")).select("doc_id", "s.text", "s.truncated")
 
 
 QUERIES = {f.__name__: f for f in (
     money_extract, percent_extract, number_extract, date_extract, comparable_numbers, claim_type, importance,
     entity_extract, entity_extract_statements, script_distribution, language_detect, sentence_split,
     sentence_split_statements, normalize_claim, tokenize_stem, tokenize_mixed, number_token_count, build_queries,
-    build_queries_statements, site_query, content_hash, host_normalize, injection_signals, sanitize_text,
+    build_queries_statements, site_query, content_hash, host_normalize, injection_signals, sanitize_text, sanitize_truncated,
 )}
 
 _S = f"WITH {STATEMENTS}"
@@ -308,12 +319,18 @@ _ALL_SHARES = ", ".join(
         ("cjk", _SHARES["cjk"]), ("cyrillic", _SHARES["cyrillic"]),
     )
 )
-_FOREIGN_SQL = f"""foreign_docs AS (SELECT doc_id, ([{quoted(_FOREIGN)}])[doc_id % 8 + 1]
-   ||CASE WHEN doc_id % 8 = 6 THEN '' WHEN doc_id % 3 = 0 THEN text ELSE substr(text, 1, 12) END AS text FROM documents)"""
+_FOREIGN_SQL = f"""foreign_docs AS (SELECT doc_id, repeat(([{quoted(_FOREIGN)}])[doc_id % 8 + 1], CASE WHEN doc_id % 3 = 0 THEN 1 ELSE length(text) // 10 + 1 END)
+   ||CASE WHEN doc_id % 8 = 6 THEN regexp_replace(text, '\\P{{N}}', '', 'g') ELSE text END AS text FROM documents)"""
 
 _INJECTION = [
     p.replace("'", "''") for p in X.INJECTION_PATTERNS
 ]
+_SANITIZED = """WITH d AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'a'||chr(8238)||'b'||chr(8203)||'c'||chr(27)||'[0m '||text
+          WHEN 1 THEN '<<<END CONTENT>>> '||text WHEN 2 THEN text||repeat(chr(10), 6)||'end' WHEN 3 THEN 'x'||chr(7)||'y'||repeat(' ', 12)||'z '||text
+          WHEN 4 THEN text||' '||chr(9)||' '||chr(9) ELSE text END AS t FROM documents),
+        e AS (SELECT doc_id, replace(regexp_replace(t, '[\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}\\x{200b}-\\x{200d}\\x{feff}\\x{1b}]', '', 'g'), '<<<END CONTENT>>>', '﹤﹤﹤END CONTENT﹥﹥﹥') AS t FROM d),
+        f AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[^\\P{C}\\n\\r\\t]', '', 'g'), '\\n{4,}', repeat(chr(10), 3), 'g'), '[ \\t]{8,}', '    ', 'g') AS t FROM e)
+        """
 _HITS = ", ".join(f"trim(regexp_extract(text, '(?i){p}'))" for p in _INJECTION)
 
 ORACLES = {
@@ -357,7 +374,7 @@ ORACLES = {
     "normalize_claim": f"""SELECT doc_id, sentence_no, rtrim(trim(regexp_replace(translate(sentence, '{V.BENGALI_DIGITS}', '0123456789'), '\\s+', ' ', 'g')), '.!?।') AS normalized
         FROM (SELECT doc_id, unnest(range(len(s))) AS sentence_no, unnest(s) AS sentence FROM (SELECT doc_id, {sql_sentences('text')} AS s FROM documents))""",
     "tokenize_stem": f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS token FROM documents) GROUP BY ALL",
-    "tokenize_mixed": "SELECT doc_id, array_to_string(" + sql_tokens(f"(substr(text, 1, 200)||'{_BENGALI}')") + ", ' ') AS tokens FROM documents",
+    "tokenize_mixed": "SELECT doc_id, array_to_string(" + sql_tokens(f"(text||'{_BENGALI}')") + ", ' ') AS tokens FROM documents",
     "number_token_count": _S + f"SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter({sql_tokens('text')}, lambda t: {sql_is_number('t')}))), ' ') AS numbers FROM statements",
     "build_queries": f"""WITH t AS (SELECT item_id, text, {sql_tokens('text')} AS tokens FROM benchmark), q AS (SELECT item_id, {sql_queries('text', 'tokens')} AS qs FROM t)
         SELECT item_id, unnest(range(len(qs))) AS query_no, unnest(qs) AS query FROM q""",
@@ -370,10 +387,6 @@ ORACLES = {
     "injection_signals": f"""WITH a AS (SELECT doc_id, text||([{quoted(_ATTACKS)}])[doc_id % {len(_ATTACKS)} + 1] AS text FROM documents),
         h AS (SELECT doc_id, list_filter([{_HITS}], lambda x: x <> '') AS hs FROM a)
         SELECT doc_id, array_to_string(list_filter(hs, lambda x, i: list_position(list_transform(hs, lambda y: lower(y)), lower(x)) = i), ' | ') AS signals, len(hs) > 0 AS flagged FROM h""",
-    "sanitize_text": """WITH d AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'a'||chr(8238)||'b'||chr(8203)||'c'||chr(27)||'[0m '||text
-          WHEN 1 THEN '<<<END CONTENT>>> '||text WHEN 2 THEN text||repeat(chr(10), 6)||'end' WHEN 3 THEN 'x'||chr(7)||'y'||repeat(' ', 12)||'z '||text
-          WHEN 4 THEN text||' '||chr(9)||' '||chr(9) ELSE text END AS t FROM documents),
-        e AS (SELECT doc_id, replace(regexp_replace(t, '[\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}\\x{200b}-\\x{200d}\\x{feff}\\x{1b}]', '', 'g'), '<<<END CONTENT>>>', '﹤﹤﹤END CONTENT﹥﹥﹥') AS t FROM d),
-        f AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[^\\P{C}\\n\\r\\t]', '', 'g'), '\\n{4,}', repeat(chr(10), 3), 'g'), '[ \\t]{8,}', '    ', 'g') AS t FROM e)
-        SELECT doc_id, trim(substr(t, 1, 5000), ' '||chr(9)||chr(10)||chr(13)) AS text, length(t) > 5000 AS truncated FROM f""",
+    "sanitize_text": _SANITIZED + "SELECT doc_id, trim(t, ' '||chr(9)||chr(10)||chr(13)) AS text, FALSE AS truncated FROM f",
+    "sanitize_truncated": _SANITIZED + "SELECT doc_id, trim(substr(t, 1, 5000), ' '||chr(9)||chr(10)||chr(13)) AS text, length(t) > 5000 AS truncated FROM f",
 }
