@@ -81,13 +81,12 @@ def unnest(df: DataFrame, keep: list, items: Column, name: str, position: str |
 
 def distinct_ignoring_case(items: Column) -> Column:
     """Keep the first of every group of items equal but for case, in order."""
-    return F.aggregate(
-        items,
-        F.array().cast("array<string>"),
-        lambda kept, x: F.when(
-            F.exists(kept, lambda k: F.lower(k) == F.lower(x)), kept
-        ).otherwise(F.array_append(kept, x)),
-    )
+
+    def firsts(held: Column) -> Column:
+        kept = F.transform(F.array_distinct(held["low"]), lambda k: F.element_at(held["own"], F.array_position(held["low"], k).cast("int")))
+        return F.when(held["own"].isNotNull(), kept)
+
+    return bind(bind(items, lambda own: F.struct(own.alias("own"), F.transform(own, lambda x: F.lower(x)).alias("low"))), firsts)
 
 
 # ---- normal form ---------------------------------------------------------------------
@@ -321,7 +320,8 @@ def submission_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *cleaned), 256)
 
 
-def fingerprint(client: Column, salt: str = "change-me-in-production") -> Column:
+def fingerprint(client: Column, salt: str) -> Column:
+    """Salted hash of a client, the same for all that are unknown."""
     who = F.when(F.coalesce(client, F.lit("")) == "", F.lit("unknown")).otherwise(client)
     return F.sha2(F.concat(F.lit(salt + ":"), who), 256).substr(1, 32)
 

@@ -1,14 +1,18 @@
 """Capabilities the data model declares: search legs, fusion, near-duplicates, penalties.
 
-Every join here is an equality join on tokens, bands or keys.
+Joins here are equality joins on tokens, bands or keys; vectors meet blocks of queries.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import combinations, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,15 +65,6 @@ def search(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.where(F.size(F.array_intersect(words, F.array(*[F.lit(t.lower()) for t in terms]))) == len(set(t.lower() for t in terms)))
 
 
-def _bands(vector: Column, bands: int, width: int) -> Column:
-    """array<string>: band number and the signs of its `width` coordinates."""
-    signs = F.transform(vector, lambda x: F.when(x >= 0, "1").otherwise("0"))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)),
-        lambda b: F.concat(b.cast("string"), F.lit(":"), F.array_join(F.slice(signs, b * width + 1, width), "")),
-    )
-
-
 def cosine(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -77,19 +72,65 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, bands: int = 8, width: int = 8) -> DataFrame:
-    """Approximate nearest vectors(vec_id, embedding) per queries(query_id, embedding): sign bands
-    meet by equality, met pairs are scored by exact cosine."""
-    left = X.unnest(vectors, ["vec_id"], _bands(F.col("embedding"), bands, width), "band")
-    right = X.unnest(queries, ["query_id"], _bands(F.col("embedding"), bands, width), "band")
-    pairs = salted_join(left, right, "band", ["vec_id"]).select("query_id", "vec_id").distinct()
-    scored = (
-        pairs.join(vectors.select("vec_id", F.col("embedding").alias("v")), "vec_id")
-        .join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-        .select("query_id", "vec_id", cosine(F.col("v"), F.col("q")).alias("similarity"))
-    )
+def _scored_block(ids: list, block: np.ndarray, k: int):
+    """Per batch of vectors: the k best of it for each query of a block."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+        for batch in batches:
+            column = batch.column("embedding")
+            whole = (pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False) == block.shape[1]) & column.is_valid().to_numpy(zero_copy_only=False)
+            if not whole.any():
+                continue
+            batch = batch.filter(pa.array(whole))
+            v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, block.shape[1])
+            vec = batch.column("vec_id").to_numpy()
+            norms = np.sqrt((v * v).sum(1))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                # rounded, so that equal vectors tie whatever the order of a sum; ties go to the smaller id
+                sims = np.round(block @ v.T / norms, 9)
+            for i, row in enumerate(sims):
+                row, vecs = row[~np.isnan(row)], vec[~np.isnan(row)]
+                if len(row) > k:
+                    near = row >= np.partition(row, -k)[-k]
+                    row, vecs = row[near], vecs[near]
+                row, vecs = np.append(best[i][0], row), np.append(best[i][1], vecs)
+                order = np.lexsort((vecs, -row))[:k]
+                best[i] = row[order], vecs[order]
+        for query, (row, vecs) in zip(ids, best):
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array([query] * len(row), pa.int64()), pa.array(vecs), pa.array(row)], ["query_id", "vec_id", "similarity"])
+
+    return score
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
+    """Nearest vectors(vec_id, embedding) per queries(query_id, embedding) by cosine, exactly.
+
+    Queries go out in blocks of at most block_bytes; every vector row is scored against a block
+    once, each task keeps the k best per query, and only those are shuffled.  Vectors of another
+    length, null ones and ones of zeros have no similarity and are left out.
+    """
+    blocks: list[tuple[list, list]] = [([], [])]
+    for row in queries.where(F.col("query_id").isNotNull() & F.col("embedding").isNotNull()).toLocalIterator():
+        vector = np.array(row["embedding"], float)
+        norm = np.sqrt((vector * vector).sum())
+        ids, held = blocks[-1]
+        if held and (len(held[0]) != len(vector) or (len(held) + 1) * vector.nbytes > block_bytes):
+            blocks.append(([], []))
+            ids, held = blocks[-1]
+        if norm:
+            ids.append(row["query_id"])
+            held.append(vector / norm)
+    found = None
+    for ids, held in blocks:
+        block = np.array(held) if held else np.zeros((0, 1))
+        part = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(
+            _scored_block(ids, block, k), "query_id long, vec_id long, similarity double"
+        )
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def rrf_merge(legs: list[DataFrame], k: int = 60) -> DataFrame:
@@ -128,18 +169,22 @@ def near_hashes(rows: DataFrame, key: str, value: str, max_distance: int = 3) ->
     its number of copies.
 
     Equal hashes are collapsed first, so a thousand copies are one value and never a million
-    pairs.  max_distance + 1 bands guarantee that a near pair agrees on one band.
+    pairs.  Of 2 * max_distance blocks of bits a near pair agrees on max_distance at least, so values
+    meet on every choice of so many blocks: keys of half the bits, which few values share by chance.
     """
     values = cut_lineage(
         rows.groupBy(value).agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"))
     )
-    n = max_distance + 1
-    width = HASH_BITS // n
+    n = max(2 * max_distance, 1)
+    edges = [HASH_BITS * b // n for b in range(n + 1)]
+    block = [F.shiftright(value, low).bitwiseAND((1 << high - low) - 1).cast("string") for low, high in pairwise(edges)]
+    bands = [
+        F.concat_ws(":", F.lit(i), *[block[b] for b in chosen])
+        for i, chosen in enumerate(combinations(range(n), max(max_distance, 1)))
+    ]
     banded = values.select(
         F.col(value).alias("h"), "rep", "copies",
-        F.explode(
-            F.array(*[F.concat(F.lit(f"{b}:"), F.shiftright(value, b * width).bitwiseAND((1 << width) - 1).cast("string")) for b in range(n)])
-        ).alias("band"),
+        F.explode(F.array(*bands)).alias("band"),
     )
     a = banded.select("band", F.col("h").alias("ha"), F.col("rep").alias("rep_a"), F.col("copies").alias("copies_a"))
     b = banded.select("band", F.col("h").alias("hb"), F.col("rep").alias("rep_b"), F.col("copies").alias("copies_b"))

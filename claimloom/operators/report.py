@@ -238,20 +238,24 @@ def stage_progress(runs: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
-def stage_state(log: DataFrame) -> DataFrame:
-    """Run outcome from the stage log: a failed fatal stage ends it with no verdict, any other
-    failed stage degrades it under the reason ``<stage>_failed``."""
-    latest = latest_stages(log)
-    failed = F.col("status") == "FAILED"
+def stage_state(runs: DataFrame, log: DataFrame) -> DataFrame:
+    """State of each run from the stage log: a failed fatal stage ends it with no verdict, any other
+    failed stage degrades it under the reason ``<stage>_failed``.  It is complete once every stage
+    that applies has ended, running until then, and queued while none has begun."""
+    rows = applicable_stages(runs).select("verification_id", "stage")
+    rows = rows.join(latest_stages(log).select("verification_id", "stage", "status"), ["verification_id", "stage"], "left")
+    begun = F.col("status").isNotNull()
+    failed = F.coalesce(F.col("status") == "FAILED", F.lit(False))
     fatal = failed & F.col("stage").isin(*V.FATAL_STAGES)
     soft = failed & ~F.col("stage").isin(*V.FATAL_STAGES)
-    return latest.groupBy("verification_id").agg(
-        F.when(F.max(fatal), "FAILED").otherwise("COMPLETED").alias("status"),
+    ended = failed | F.coalesce(F.col("status").isin(*V.DONE_STAGE_STATUSES), F.lit(False))
+    return rows.groupBy("verification_id").agg(
+        F.when(F.max(fatal), "FAILED").when(F.min(ended), "COMPLETED").when(F.max(begun), "RUNNING").otherwise("QUEUED").alias("status"),
         F.array_join(
             F.sort_array(F.collect_set(F.when(soft, F.concat(F.lower("stage"), F.lit("_failed"))))), ","
         ).alias("degradation_reasons"),
         F.max(soft).alias("degraded"),
-    ).withColumn("verdict_is_null", F.col("status") == "FAILED")
+    ).withColumn("verdict_is_null", F.col("status") != "COMPLETED")
 
 
 def stage_durations(rows: DataFrame) -> DataFrame:

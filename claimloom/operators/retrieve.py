@@ -17,8 +17,9 @@ from claimloom.functions import web as U
 from claimloom.operators.skew import fits_broadcast, key_counts, salted_join
 from claimloom.session import cut_lineage
 
-# Claims below this number have their token lists sent to every task (some kilobytes each).
+# Claims up to this number, whose token lists take up to this many bytes, are sent to every task.
 BROADCAST_CLAIMS = 20_000
+BROADCAST_BYTES = 64 << 20
 
 
 def query_profiles(claims: DataFrame) -> DataFrame:
@@ -111,14 +112,15 @@ def relevance(
 
     claims(claim_id, queries) as built by ``claim_queries``; docs(doc_id, tokens).
 
-    With few claims their profiles are broadcast and the corpus is read once with no shuffle at
+    With few claims (by number and bytes) their profiles are broadcast and the corpus is read once with no shuffle at
     all.  A pair met through several shared probes is kept only at the first of them, which is
     decided on the row itself.  With many claims, probes meet postings in a salted shuffle
     join, pairs are made distinct, and the two profiles are joined back on.
     """
     profiles = query_profiles(claims)
     texts = text_profiles(docs, ["doc_id"])
-    if fits_broadcast(claims.select("claim_id"), broadcast_claims):
+    listed = F.sum(F.length(F.to_json("queries")))
+    if fits_broadcast(claims.select("claim_id"), broadcast_claims) and (claims.agg(listed).first()[0] or 0) <= BROADCAST_BYTES:
         index = X.unnest(profiles, ["claim_id"], F.col("probes"), "probe")
         lists = profiles.drop("probes")
         met = (
@@ -174,15 +176,16 @@ def headline_gate(scores: DataFrame) -> DataFrame:
 
 def feed_candidates(claims: DataFrame, docs: DataFrame) -> DataFrame:
     """Gate docs(doc_id, title_tokens, body_tokens) by headline for each claim."""
-    titles = relevance(claims, docs.select("doc_id", F.col("title_tokens").alias("tokens")))
-    bodies = relevance(claims, docs.select("doc_id", F.col("body_tokens").alias("tokens")))
-    joined = (
-        titles.where(F.col("score") >= V.TITLE_GATE)
-        .withColumnRenamed("score", "title_score")
-        .join(bodies.withColumnRenamed("score", "body_score"), ["claim_id", "doc_id"], "left")
-        .fillna({"body_score": 0.0})
+    titles = relevance(claims, docs.select("doc_id", F.col("title_tokens").alias("tokens")), V.TITLE_GATE)
+    passed = cut_lineage(titles.withColumnRenamed("score", "title_score"))
+    # bodies of the documents whose titles passed only, scored for the claims they passed for
+    bodies = docs.select("doc_id", F.col("body_tokens").alias("tokens")).join(
+        passed.select("doc_id").distinct(), "doc_id", "left_semi"
     )
-    return headline_gate(joined)
+    with_text = salted_join(passed, text_profiles(bodies, ["doc_id"]).drop("probes"), "doc_id", ["claim_id"])
+    met = salted_join(with_text, query_profiles(claims).drop("probes"), "claim_id", ["doc_id"], counts=key_counts(passed, "claim_id"))
+    scores = scored(met, V.RELEVANCE_FLOOR).select("claim_id", "doc_id", F.col("score").alias("body_score"))
+    return headline_gate(passed.join(scores, ["claim_id", "doc_id"], "left").fillna({"body_score": 0.0}))
 
 
 def union_candidates(*providers: tuple[str, DataFrame]) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom import vocab as V
 from claimloom.functions import text as X
 from claimloom.operators import claims as C
 from claimloom.operators import evidence as E
@@ -38,22 +39,26 @@ def verify(
     canonical_url, published_at, created_at) and sources(source, source_name, source_type,
     is_primary).
 
-    With materialize=True the claims and the chosen pairs, both read several times, are
-    checkpointed once to the shared folder.
+    The corpus is read twice: for tokens, and for the documents chosen.  With materialize=True the
+    claims, the chosen pairs and the chosen documents, all read several times, are checkpointed once to
+    the shared folder.
     """
     spoken = I.texts_by_origin(I.with_language(submissions))
-    claims = C.claim_queries(C.extract_claims(spoken, parse=False))
+    claims = C.claim_queries(C.extract_claims(spoken))
     if materialize:
         claims = cut_lineage(claims)
     tokened = X.with_tokens(documents.select("doc_id", "body"), "body", "tokens").drop("body")
     candidates = R.documents_to_read(
-        R.relevance(claims, tokened).withColumn("provider_no", F.lit(0))
+        R.relevance(claims, tokened, V.CANDIDATE_MIN_SCORE).withColumn("provider_no", F.lit(0))
     ).drop("provider_no")
     if materialize:
         candidates = cut_lineage(candidates)
-    facts = documents.withColumn("content_hash", X.body_hash(F.col("body"))).drop("body")
-    read = candidates.join(facts, "doc_id")
-    found = E.evidence_for_claims(claims, candidates, documents.select("doc_id", "body"))
+    chosen = documents.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = chosen.withColumn("content_hash", X.body_hash(F.col("body")))
+    if materialize:
+        chosen = cut_lineage(chosen)
+    read = candidates.join(chosen.drop("body"), "doc_id")
+    found = E.evidence_for_claims(claims, candidates, chosen.select("doc_id", "body"))
     found = E.with_origin(found, read)
     found = found.join(read.select("claim_id", "doc_id", "source"), ["claim_id", "doc_id"])
     evidence = E.with_source(found, sources)

@@ -1 +1 @@
-"""Event-log operators, each usable on a batch and on a stream of the same rows."""
+"""Event-log operators on a batch or a stream of the same rows, and verification on arrival."""

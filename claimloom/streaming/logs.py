@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from datetime import timedelta
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom import vocab as V
-from claimloom.operators.report import stage_state
 from claimloom.session import checkpoint_root
 
 
@@ -38,15 +41,54 @@ def usage_windows(events: DataFrame, window: str = f"{V.USAGE_WINDOW_SECONDS} se
     )
 
 
-def first_deliveries(jobs: DataFrame, ttl: str = f"{V.JOB_TTL_SECONDS} seconds") -> DataFrame:
-    """One delivery per job_id of jobs(job_id, ts, ...): on a stream the first within the time to
-    live, in batch the earliest (aggregated map-side, so a job delivered a billion times is no
-    hot group)."""
+def _past_ttl(times: list, last, ttl: timedelta) -> tuple[list[bool], object]:
+    """Which of the sorted times begin a delivery, after `last`; the last of those that do."""
+    keep = []
+    for at in times:
+        keep.append(last is None or at - last > ttl)
+        last = at if keep[-1] else last
+    return keep, last
+
+
+def first_deliveries(jobs: DataFrame, ttl_seconds: int = V.JOB_TTL_SECONDS, order: str = "event_id") -> DataFrame:
+    """Deliveries of jobs(job_id, ts, ...) that hold the job's lock: the first, and each that comes
+    more than the time to live after the last one that held it.
+
+    In batch, rows pass sorted by (job_id, ts, order) and only the last held time is remembered.  On
+    a stream that time is the job's state, dropped once the watermark is past it.
+    """
+    ttl, columns = timedelta(seconds=ttl_seconds), jobs.columns
     if jobs.isStreaming:
-        return jobs.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["job_id"])
-    others = [c for c in jobs.columns if c != "job_id"]
-    rest = [c for c in others if c != "ts"]
-    return jobs.groupBy("job_id").agg(F.min(F.struct("ts", *rest)).alias("d")).select("job_id", "d.*")
+
+        def held(key, parts, state):
+            if state.hasTimedOut:
+                state.remove()
+                return
+            rows = pd.concat(list(parts)).sort_values(["ts", order])
+            last = state.get[0] if state.exists else None
+            keep, last = _past_ttl([t.to_pydatetime() for t in rows["ts"]], last, ttl)
+            state.update((last,))
+            state.setTimeoutTimestamp(max(int((last + ttl).timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
+            yield rows[keep][columns]
+
+        return (
+            jobs.withWatermark("ts", f"{ttl_seconds} seconds")
+            .groupBy("job_id")
+            .applyInPandasWithState(held, jobs.schema, "last timestamp_ntz", "append", "EventTimeTimeout")
+        )
+
+    def pass_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, last = None, None
+        for batch in batches:
+            keep = []
+            for one, at in zip(batch.column("job_id").to_pylist(), batch.column("ts").to_pylist()):
+                if one != job:
+                    job, last = one, None
+                now, last = _past_ttl([at], last, ttl)
+                keep += now
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return jobs.repartition("job_id").sortWithinPartitions("job_id", "ts", order).mapInArrow(pass_sorted, jobs.schema)
 
 
 def route_failures(failures: DataFrame, max_attempts: int = V.MAX_ATTEMPTS) -> DataFrame:
@@ -127,5 +169,5 @@ def route_stream(failures: DataFrame, retry_path: str, dead_path: str, checkpoin
 
 __all__ = [
     "expired_leases", "first_deliveries", "queue_depths", "route_failures", "route_stream",
-    "run_available", "stage_state", "usage_windows",
+    "run_available", "usage_windows",
 ]

@@ -46,7 +46,7 @@ _SQL_K = "regexp_extract(props, '(\\d+)', 1)::INT"
 def _usage(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("ts").cast("timestamp").alias("ts"), _mapped("event_type", _OPERATION).alias("operation"),
-        X.fingerprint((F.col("user_id") % 5).cast("string")).alias("fingerprint"),
+        X.fingerprint((F.col("user_id") % 5).cast("string"), "change-me-in-production").alias("fingerprint"),
     )
 
 
@@ -81,8 +81,18 @@ def _jobs(spark, sf) -> DataFrame:
     )
 
 
+def _redelivered(spark, sf) -> DataFrame:
+    """Every delivery again after 5 and after 20 minutes."""
+    jobs = _jobs(spark, sf)
+    again = [
+        jobs.withColumns({"ts": F.timestamp_seconds(F.unix_micros("ts") / 1e6 + s), "event_id": F.col("event_id") + n * 1_000_000_000})
+        for n, s in ((1, 300), (2, 1200))
+    ]
+    return jobs.unionByName(again[0]).unionByName(again[1])
+
+
 def job_dedup(spark, sf):
-    return L.first_deliveries(_jobs(spark, sf)).select("job_id", "event_id", "event_type")
+    return L.first_deliveries(_redelivered(spark, sf)).select("job_id", "event_id", "event_type")
 
 
 def _failures(spark, sf) -> DataFrame:
@@ -125,7 +135,7 @@ def latest_stages(spark, sf):
 
 
 def stage_state(spark, sf):
-    return L.stage_state(_stage_log(spark, sf))
+    return P.stage_state(_stage_runs(spark, sf), _stage_log(spark, sf))
 
 
 def stage_progress(spark, sf):
@@ -355,11 +365,12 @@ def vector_topk(spark, sf):
 
 
 def rrf_merge(spark, sf):
-    items, docs = _items(spark, sf), _texts(spark, sf)
-    longest = F.substring(F.col("text"), 1, 2**30)
-    head = D.keyword_leg(items, docs).select("query_id", "doc_id", "rank")
-    first = D.keyword_leg(items.select("query_id", F.regexp_extract("text", "^[^.]*", 0).alias("text")), docs.select("doc_id", longest.alias("text"))).select("query_id", "doc_id", "rank")
-    return D.rrf_merge([head, first]).withColumn("rrf_score", F.round("rrf_score", 8))
+    """Keyword leg with vector leg: an item's vector is the one of its number, a document's likewise."""
+    words = D.keyword_leg(_items(spark, sf), _texts(spark, sf)).select("query_id", "doc_id", "rank")
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = _items(spark, sf).join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+    near = D.vector_topk(asked, vectors).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    return D.rrf_merge([words, near]).withColumn("rrf_score", F.round("rrf_score", 8))
 
 
 def simhash_neardup(spark, sf):
@@ -479,22 +490,22 @@ def _sql_keyword(name: str, items: str) -> str:
 
 _TF = f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format(t='text')}) AS term FROM documents) GROUP BY ALL),
 idf AS (SELECT term, ln((SELECT count(*) FROM documents)::DOUBLE / count(*)) AS idf FROM tf GROUP BY term),
-items AS (SELECT item_id AS query_id, text FROM benchmark), items1 AS (SELECT item_id AS query_id, regexp_extract(text, '^[^.]*') AS text FROM benchmark)"""
+items AS (SELECT item_id AS query_id, text FROM benchmark)"""
 _TITLE = "regexp_extract(text, '^[^.!?\\n]*')"
 _WORDS = f"list_filter(string_split(regexp_replace(lower({_TITLE}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
 _GRAMS = f"list_distinct(flatten(list_transform({_WORDS}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  '||w||' ', i, 3)))))"
 
 
-def _sql_bands(v: str) -> str:
-    return f"list_transform(range(8), lambda b: b||':'||array_to_string(list_transform(({v})[b * 8 + 1:b * 8 + 8], lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), ''))"
-
-
 ORACLES = {
     "usage_windows": _sql_usage("1 HOUR"),
     "usage_windows_daily": _sql_usage("1 DAY"),
     "usage_windows_stream": _sql_usage("1 HOUR"),
     "fingerprint": f"SELECT event_id, {_FP.format(salt='salt', who='''CASE WHEN user_id % 3 <> 0 THEN user_id::VARCHAR ELSE 'unknown' END''')} AS fingerprint FROM events",
-    "job_dedup": f"SELECT user_id||'-'||{_SQL_K} AS job_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, {_SQL_K} ORDER BY ts, event_id) = 1",
+    "job_dedup": f"""WITH RECURSIVE e AS (SELECT user_id||'-'||{_SQL_K} AS job_id, ts, event_id, event_type FROM events),
+      j AS (SELECT * FROM e UNION ALL SELECT job_id, ts + INTERVAL 300 SECOND, event_id + 1000000000, event_type FROM e UNION ALL SELECT job_id, ts + INTERVAL 1200 SECOND, event_id + 2000000000, event_type FROM e),
+      held AS (SELECT job_id, arg_min({{'ts': ts, 'event_id': event_id, 'event_type': event_type}}, (ts, event_id)) AS d FROM j GROUP BY 1
+        UNION ALL SELECT j.job_id, arg_min({{'ts': ts, 'event_id': event_id, 'event_type': event_type}}, (ts, event_id)) FROM held JOIN j ON j.job_id = held.job_id AND j.ts > held.d.ts + INTERVAL 900 SECOND GROUP BY j.job_id)
+      SELECT job_id, d.event_id, d.event_type FROM held""",
     "retry_routing": f"""WITH f AS (SELECT event_id, user_id AS job_id, {_SQL_K} % 4 + 1 AS attempt, user_id % 4 <> 0 AS retryable FROM events WHERE event_type = 'error')
       SELECT *, CASE WHEN NOT retryable OR attempt >= 3 THEN 'dead_letter' ELSE 'retry' END AS route, CASE WHEN retryable AND attempt < 3 THEN attempt + 1 END AS next_attempt FROM f""",
     "queue_depths": f"SELECT CASE WHEN user_id % 4 = 0 OR {_SQL_K} % 4 + 1 >= 3 THEN 'dead_letter' ELSE 'retry' END AS route, count(*) AS depth FROM events WHERE event_type = 'error' GROUP BY 1",
@@ -503,9 +514,11 @@ ORACLES = {
       SELECT job_id, strftime(r, '%Y-%m-%d %H:%M:%S') AS reserved_at, strftime(r + INTERVAL 900 SECOND, '%Y-%m-%d %H:%M:%S') AS lease_expires_at, a + 1 AS next_attempt
       FROM j WHERE r IS NOT NULL AND (e IS NULL OR e < r) AND r + INTERVAL 900 SECOND < TIMESTAMP '2024-01-20 00:00:00'""",
     "latest_stages": f"WITH {_STAGES} SELECT * FROM lat",
-    "stage_state": f"""WITH {_STAGES} SELECT verification_id, CASE WHEN bool_or(status = 'FAILED' AND stage IN ({_FATAL})) THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+    "stage_state": f"""WITH {_STAGES}, r AS (SELECT a.verification_id, a.stage, coalesce(l.status, '') AS status FROM app a LEFT JOIN lat l ON l.verification_id = a.verification_id AND l.stage = a.stage),
+      g AS (SELECT verification_id, CASE WHEN count(*) FILTER (status = 'FAILED' AND stage IN ({_FATAL})) > 0 THEN 'FAILED' WHEN count(*) FILTER (status IN ('', 'RUNNING')) = 0 THEN 'COMPLETED' WHEN count(*) FILTER (status <> '') > 0 THEN 'RUNNING' ELSE 'QUEUED' END AS status,
         coalesce(array_to_string(list_sort(list(lower(stage)||'_failed') FILTER (status = 'FAILED' AND stage NOT IN ({_FATAL}))), ','), '') AS degradation_reasons,
-        bool_or(status = 'FAILED' AND stage NOT IN ({_FATAL})) AS degraded, bool_or(status = 'FAILED' AND stage IN ({_FATAL})) AS verdict_is_null FROM lat GROUP BY 1""",
+        bool_or(status = 'FAILED' AND stage NOT IN ({_FATAL})) AS degraded FROM r GROUP BY 1)
+      SELECT *, status <> 'COMPLETED' AS verdict_is_null FROM g""",
     "stage_progress": f"WITH {_STAGES} SELECT verification_id, 11 + has_media::INT AS stage_count, (SELECT count(*) FROM lat l WHERE l.verification_id = r.verification_id AND status IN ('COMPLETED', 'SKIPPED', 'DEGRADED')) AS stage_index FROM sruns r",
     "pending_stages": f"WITH {_STAGES} SELECT * FROM app a WHERE NOT EXISTS (SELECT 1 FROM lat l WHERE l.verification_id = a.verification_id AND l.stage = a.stage AND status IN ('COMPLETED', 'SKIPPED', 'DEGRADED'))",
     "applicable_stages": f"WITH {_STAGES} SELECT * FROM app",
@@ -552,13 +565,15 @@ ORACLES = {
         concat_ws(',', CASE WHEN generator IS NOT NULL THEN 'strong' END, CASE WHEN has_c2pa THEN 'moderate' END, CASE WHEN cam THEN 'moderate' ELSE 'weak' END,
           CASE WHEN software LIKE '%Photoshop%' THEN 'weak' END, CASE WHEN cap IS NOT NULL THEN 'moderate' END) AS strengths FROM f""",
     "keyword_leg": f"WITH {_TF}, {_sql_keyword('kw', 'items')} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM kw",
-    "rrf_merge": f"""WITH {_TF}, {_sql_keyword('kw', 'items')}, {_sql_keyword('kv', 'items1')}
+    "rrf_merge": f"""WITH {_TF}, {_sql_keyword('kw', 'items')},
+      v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+      kv AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (
+        SELECT item_id AS query_id, v.vec_id, round(list_cosine_similarity(v.v, q.v), 9) AS similarity FROM benchmark JOIN v q ON q.vec_id = item_id, v) QUALIFY rank <= 10)
       SELECT query_id, doc_id, round(sum((1.0::DOUBLE / (60 + rank))::DECIMAL(20,12))::DOUBLE, 8) AS rrf_score FROM (SELECT query_id, doc_id, rank FROM kw UNION ALL SELECT query_id, doc_id, rank FROM kv) GROUP BY ALL""",
     "vector_topk": f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
       x AS (SELECT label, unnest(range(1, 65)) AS i, unnest(v) AS x FROM e),
       c AS (SELECT label AS query_id, list(m ORDER BY i) AS q FROM (SELECT label, i, sum(x::DECIMAL(20,12))::DOUBLE / count(*) AS m FROM x GROUP BY ALL) GROUP BY 1),
-      p AS (SELECT DISTINCT query_id, vec_id FROM (SELECT vec_id, unnest({_sql_bands('v')}) AS band FROM e) JOIN (SELECT query_id, unnest({_sql_bands('q')}) AS band FROM c) USING (band)),
-      s AS (SELECT query_id, vec_id, list_cosine_similarity(v, q) AS similarity FROM p JOIN e USING (vec_id) JOIN c USING (query_id)),
+      s AS (SELECT query_id, vec_id, round(list_cosine_similarity(v, q), 9) AS similarity FROM e, c),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
       SELECT query_id, vec_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 10""",
     "simhash_neardup": f"""WITH t AS (SELECT doc_id, unnest({_TOK.format(t='text')}) AS w FROM documents), n AS (SELECT doc_id, ('0x'||substr(md5(w), 1, 15))::BIGINT AS h FROM t),
