@@ -143,8 +143,11 @@ def report(claim_scores: DataFrame, evidence: DataFrame) -> DataFrame:
 def evidence_listing(
     evidence: DataFrame, claims: DataFrame, documents: DataFrame, relationship: str | None = None
 ) -> DataFrame:
-    """Evidence of each verification, optionally of one relationship, with document facts."""
+    """Evidence of each verification, optionally of one relationship, with document facts; `position`
+    numbers a claim's evidence from the most relevant down."""
     chosen = evidence if relationship is None else evidence.where(F.col("relationship") == relationship)
+    order = Window.partitionBy("claim_id").orderBy(F.desc("relevance"), "evidence_id")
+    chosen = chosen.withColumn("position", F.row_number().over(order))
     return chosen.join(claims.select("claim_id", "verification_id"), "claim_id").join(
         documents, "document_id", "left"
     )

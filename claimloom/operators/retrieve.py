@@ -231,16 +231,27 @@ def documents_to_read(
     )
 
 
-def query_audit(claims: DataFrame, candidates: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+def query_audit(
+    claims: DataFrame,
+    candidates: DataFrame,
+    errors: DataFrame | None = None,
+    max_query_chars: int | None = 2000,
+    max_error_chars: int | None = 255,
+) -> DataFrame:
     """One row per (claim, query) with the number of candidates kept for the claim.
 
-    errors(claim_id, error_no, error) are joined by '; ' per claim and cut to 255 characters.
+    errors(claim_id, error_no, error) are joined by '; ' per claim.  Texts are cut to the given numbers of
+    characters, None cuts nothing; no more errors than can show are gathered.
     """
+
+    def cut(c: Column, most: int | None) -> Column:
+        return c if most is None else F.substring(c, 1, most)
+
     counts = candidates.groupBy("claim_id").agg(F.count(F.lit(1)).alias("result_count"))
     rows = (
         X.unnest(claims, ["claim_id", "language"], F.col("queries"), "q")
         .select(
-            "claim_id", "language", "q.query_no", F.substring("q.query", 1, 2000).alias("query_text")
+            "claim_id", "language", "q.query_no", cut(F.col("q.query"), max_query_chars).alias("query_text")
         )
         .withColumn("provider", F.lit("RSS_CORPUS"))
         .join(counts, "claim_id", "left")
@@ -248,16 +259,20 @@ def query_audit(claims: DataFrame, candidates: DataFrame, errors: DataFrame | No
     )
     if errors is None:
         return rows.withColumn("error", F.lit(None).cast("string"))
+    if max_error_chars is not None:
+        order = Window.partitionBy("claim_id").orderBy("error_no", "error")
+        errors = errors.where(F.length("error") > 0).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_error_chars).drop("_n")
     joined = errors.groupBy("claim_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("error_no", "error"))), lambda e: e["error"]), "; ").alias("error")
     )
-    return rows.join(joined, "claim_id", "left").withColumn("error", F.substring("error", 1, 255))
+    return rows.join(joined, "claim_id", "left").withColumn("error", cut(F.col("error"), max_error_chars))
 
 
-def run_totals(claims: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per submission: claims searched, queries generated, documents found."""
+def run_totals(claims: DataFrame, candidates: DataFrame, errors: DataFrame | None = None, first: int = 5) -> DataFrame:
+    """Per submission: claims searched, queries generated, documents found, and the first errors of
+    errors(claim_id, error_no, error), by claim and number."""
     counts = candidates.groupBy("claim_id").agg(F.count(F.lit(1)).alias("found"))
-    return (
+    totals = (
         claims.select("submission_id", "claim_id", F.size("queries").alias("n_queries"))
         .join(counts, "claim_id", "left")
         .groupBy("submission_id")
@@ -267,3 +282,10 @@ def run_totals(claims: DataFrame, candidates: DataFrame) -> DataFrame:
             F.coalesce(F.sum("found"), F.lit(0)).alias("documents_found"),
         )
     )
+    if errors is None:
+        return totals
+    order = Window.partitionBy("submission_id").orderBy("sequence", "error_no", "error")
+    listed = errors.join(claims.select("submission_id", "claim_id", "sequence"), "claim_id")
+    listed = listed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= first)
+    found = listed.groupBy("submission_id").agg(F.sort_array(F.collect_list(F.struct("n", "error"))).alias("e"))
+    return totals.join(found.select("submission_id", F.col("e.error").alias("first_errors")), "submission_id", "left")

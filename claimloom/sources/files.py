@@ -86,8 +86,9 @@ def media_layout(files: DataFrame, day: str) -> DataFrame:
 
 
 def write_run(result: dict[str, DataFrame], path: str, run_date: str) -> None:
-    """Append the tables of one run below `path`, partitioned by run date (and language where a
-    table has one)."""
+    """Write the tables of one run below `path`, partitioned by run date (and language where a table has
+    one).  A run that is written again replaces the partitions it wrote."""
     for name, df in result.items():
         parts = ["run_date"] + (["language"] if "language" in df.columns else [])
-        df.withColumn("run_date", F.lit(run_date)).write.mode("append").partitionBy(*parts).parquet(f"{path}/{name}")
+        rows = df.withColumn("run_date", F.lit(run_date))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{path}/{name}")

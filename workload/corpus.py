@@ -344,7 +344,10 @@ def query_audit(spark, sf):
 
 def run_totals(spark, sf):
     c = claims(spark, sf)
-    return R.run_totals(c, R.relevance(c, tokened(spark, sf), min_score=V.CANDIDATE_MIN_SCORE))
+    errors = c.select("claim_id", "sequence", F.explode(F.array(F.lit(1), F.lit(2))).alias("error_no"))
+    errors = errors.select("claim_id", "error_no", F.concat(F.lit("timeout "), F.col("sequence").cast("string"), F.lit("."), F.col("error_no").cast("string")).alias("error"))
+    out = R.run_totals(c, R.relevance(c, tokened(spark, sf), min_score=V.CANDIDATE_MIN_SCORE), errors)
+    return out.withColumn("first_errors", F.array_join("first_errors", "; "))
 
 
 # ---- evidence ------------------------------------------------------------------------
@@ -587,7 +590,8 @@ ORACLES = {
         CASE WHEN sequence = 0 THEN 'DIRECT_URL:timeout1; DIRECT_URL:timeout2' END AS error
       FROM queries q JOIN claims USING (claim_id) LEFT JOIN n ON n.claim_id = q.claim_id""",
     "run_totals": _REL + """, n AS (SELECT claim_id, count(*) AS c FROM rel WHERE score >= 0.12 GROUP BY 1), k AS (SELECT claim_id, count(*) AS qn FROM queries GROUP BY 1)
-      SELECT submission_id, count(*) AS claims_searched, sum(qn)::BIGINT AS queries_generated, coalesce(sum(c), 0)::BIGINT AS documents_found
+      SELECT submission_id, count(*) AS claims_searched, sum(qn)::BIGINT AS queries_generated, coalesce(sum(c), 0)::BIGINT AS documents_found,
+        array_to_string(list_sort(flatten(list([{'s': sequence, 'n': 1}, {'s': sequence, 'n': 2}])))[1:5].list_transform(lambda e: 'timeout '||e.s||'.'||e.n), '; ') AS first_errors
       FROM claims JOIN k USING (claim_id) LEFT JOIN n USING (claim_id) GROUP BY 1""",
     "split_passages": f"WITH pdocs AS (SELECT doc_id, text AS body FROM documents), {_PASSAGES} SELECT * FROM passages",
     "evidence_for_claims": _EVIDENCE + """SELECT claim_id, doc_id, passage_no, passage, relationship, display_rank, source_type, is_primary,

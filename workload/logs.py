@@ -247,7 +247,7 @@ def report_counters(spark, sf):
 def evidence_listing(spark, sf):
     docs = table(spark, sf, "part").select(F.col("p_partkey").alias("document_id"), F.col("p_name").alias("document_title"))
     return P.evidence_listing(W.evidence(spark, sf), W.claims(spark, sf), docs, "CONTRADICTS").select(
-        "verification_id", "claim_id", "evidence_id", "relationship", "document_title", F.round("relevance", 6).alias("relevance")
+        "verification_id", "claim_id", "evidence_id", "relationship", "document_title", "position", F.round("relevance", 6).alias("relevance")
     )
 
 
@@ -403,7 +403,11 @@ def stale_media(spark, sf):
 def penalty_producer(spark, sf):
     claimed = table(spark, sf, "orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_totalprice").alias("value"))
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("claim_id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(20,4)")).cast("double").alias("value"))
-    return D.numeric_penalties(claimed, lines).select("claim_id", F.round("true_value", 4).alias("true_value"), "penalty_type")
+    out = None
+    for kind in ("count", "money", "measure", "magnitude"):
+        rows = D.numeric_penalties(claimed, lines, kind).select("claim_id", F.lit(kind).alias("kind"), F.round("true_value", 4).alias("true_value"), "penalty_type")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def sources_checked(spark, sf):
@@ -542,7 +546,7 @@ ORACLES = {
         count(DISTINCT cluster_id) + count(DISTINCT CASE WHEN cluster_id IS NULL THEN document_id END) AS o FROM ev GROUP BY 1)
       SELECT verification_id, count(*) AS claims, coalesce(sum(pc.n), 0)::BIGINT AS total_evidence, coalesce(sum(sup), 0)::BIGINT AS supporting_evidence, coalesce(sum(con), 0)::BIGINT AS contradicting_evidence,
         coalesce(sum(o), 0)::BIGINT AS independent_origins, count(*) FILTER (verdict = 'UNVERIFIED') AS unresolved_claims FROM claim_scores LEFT JOIN pc USING (claim_id) GROUP BY 1""",
-    "evidence_listing": W._W + "SELECT verification_id, claim_id, evidence_id, relationship, p_name AS document_title, round(relevance, 6) AS relevance FROM ev JOIN claims USING (claim_id) LEFT JOIN part ON p_partkey = document_id WHERE relationship = 'CONTRADICTS'",
+    "evidence_listing": W._W + "SELECT verification_id, claim_id, evidence_id, relationship, p_name AS document_title, row_number() OVER (PARTITION BY claim_id ORDER BY relevance DESC, evidence_id) AS position, round(relevance, 6) AS relevance FROM ev JOIN claims USING (claim_id) LEFT JOIN part ON p_partkey = document_id WHERE relationship = 'CONTRADICTS'",
     "unresolved_claims": W._W + "SELECT claim_id, verdict FROM claim_scores WHERE verdict = 'UNVERIFIED'",
     "top_publishers": W._W + """SELECT verification_id, array_to_string(list_sort(list_distinct(list(s_name)))[1:6], ',') AS publishers
       FROM ev JOIN claims USING (claim_id) JOIN supplier ON s_suppkey = source_id GROUP BY 1""",
@@ -591,7 +595,9 @@ ORACLES = {
       SELECT claim_id, media_id, c < e - INTERVAL 1 DAY AS predates_claimed_event, CASE WHEN c < e - INTERVAL 1 DAY THEN 'STALE_MEDIA' END AS penalty_type,
         round(CASE WHEN d < 0 THEN 0.4::DOUBLE WHEN d <= 7 THEN 1.0::DOUBLE ELSE greatest(0.4::DOUBLE, 1.0::DOUBLE - 0.1::DOUBLE * ceil((d - 7) / 30.0::DOUBLE)) END, 6) AS temporal_factor FROM j""",
     "penalty_producer": """WITH t AS (SELECT l_orderkey AS claim_id, sum(l_extendedprice::DECIMAL(20,4))::DOUBLE AS v FROM lineitem GROUP BY 1)
-      SELECT claim_id, round(v, 4) AS true_value, CASE WHEN abs(o_totalprice - v) > 0.05::DOUBLE * abs(v) THEN 'NUMERIC_MISMATCH' END AS penalty_type FROM t JOIN orders ON o_orderkey = claim_id""",
+      SELECT claim_id, kind, round(v, 4) AS true_value, CASE WHEN CASE kind WHEN 'count' THEN abs(o_totalprice - v) > 0 WHEN 'money' THEN abs(o_totalprice - v) >= 0.005::DOUBLE
+        WHEN 'measure' THEN abs(o_totalprice - v) > 0.05::DOUBLE * abs(v) ELSE abs(o_totalprice - v) > 0.1::DOUBLE END THEN 'NUMERIC_MISMATCH' END AS penalty_type
+      FROM t JOIN orders ON o_orderkey = claim_id, unnest(['count', 'money', 'measure', 'magnitude']) AS k(kind)""",
     "calibration_matrix": f"""SELECT ([{quoted(V.VERDICTS)}])[n_chars % 9 + 1] AS verdict, count(*) AS n, sum(quality)::BIGINT AS positives, round(sum(quality)::DOUBLE / count(*), 6) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY 1""",
     "token_search": f"SELECT doc_id FROM documents WHERE list_contains({_TOK.format(t='text')}, 'the') AND list_contains({_TOK.format(t='text')}, 'and')",
 }
