@@ -6,7 +6,7 @@ hash of (seed, variant, word, place, merged piece) falls under the dropout rate,
 joined and their new neighbours become candidates.  With a rate of 0 this is the model's own
 segmentation.  The variant of a word is a keyed hash of (seed, document, place of the word) over
 `variants` values, so one word is cut in different ways through a corpus while a task can remember
-what it has worked out (`REMEMBERED` words, then it starts anew).
+what it has worked out (the last one to two times `REMEMBERED` words).
 
 Characters without a piece become bytes, so decoding gives back every text.
 
@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,8 +37,11 @@ MARK = "▁"
 _OWN_MARK = "\ud800"
 DROPOUT = 0.1
 SEED = 1
-VARIANTS = 4
-REMEMBERED = 300_000
+VARIANTS = 2
+REMEMBERED = 200_000
+#: Characters of a word whose agenda is a list; longer ones take a heap.
+SHORT = 48
+_NONE = 1 << 62
 _WORD = re.compile("▁*[^▁]+|▁+")
 
 
@@ -47,12 +51,9 @@ def default_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _mixed32(x: int) -> int:
-    """A 32-bit finaliser."""
-    x &= 0xFFFFFFFF
-    x = ((x ^ (x >> 16)) * 0x7FEB352D) & 0xFFFFFFFF
-    x = ((x ^ (x >> 15)) * 0x846CA68B) & 0xFFFFFFFF
-    return x ^ (x >> 16)
+def _draw(key: int, place: int, piece: int) -> int:
+    """A 32-bit keyed hash of a candidate merge; `_short` has it written out."""
+    return (key ^ place << 16 ^ piece) * 0x9E3779B1 & 0xFFFFFFFF
 
 
 class Model:
@@ -67,6 +68,10 @@ class Model:
         plain = [i for i in range(size) if not (self.reader.is_control(i) or self.reader.is_unknown(i) or self.reader.is_byte(i))]
         self.ids = {names[i]: i for i in plain}
         self.scores = {names[i]: self.reader.get_score(i) for i in plain}
+        # the order of the agenda, with the id in the low bits; pieces of equal scores need the heap
+        order = {score: rank for rank, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        self.ranks = {piece: order[score] << 32 | self.ids[piece] for piece, score in self.scores.items()}
+        self.short = SHORT if len(order) == len(self.scores) else 0
         self.bytes = {int(names[i][3:5], 16): i for i in range(size) if self.reader.is_byte(i)}
         self.raw = [b""] * size
         for i in plain:
@@ -82,11 +87,45 @@ class Model:
 
     def segment(self, word: str, variant: int = 0, seed: int = SEED, dropout: float = 0.0) -> list[int]:
         """Ids of one word."""
+        limit = int(dropout * (1 << 32))
+        key = zlib.crc32(word.encode("utf-8", "surrogatepass"), (seed * 0x9E3779B1 + variant * 0x85EBCA6B) & 0xFFFFFFFF)
+        parts = (self._short if len(word) <= self.short else self._long)(word, key, limit)
+        out = []
+        for part in parts:
+            known = self.ids.get(part)
+            if known is not None:
+                out.append(known)
+            else:
+                out += [self.bytes[b] for b in part.replace(_OWN_MARK, MARK).encode()]
+        return out
+
+    def _short(self, word: str, key: int, limit: int) -> list[str]:
+        """Parts of a short word: the agenda is a list with a rank per pair of neighbours."""
+        parts, rank = list(word), self.ranks.get
+        places = list(range(len(parts)))
+        agenda = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == _NONE:
+                break
+            i = agenda.index(best)
+            piece = parts[i] + parts[i + 1]
+            if limit and (key ^ places[i] << 16 ^ best & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF < limit:
+                agenda[i] = _NONE  # until a neighbour changes, the pair is not a candidate
+                continue
+            parts[i] = piece
+            del parts[i + 1], places[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = rank(parts[i - 1] + piece, _NONE)
+            if i < len(agenda):
+                agenda[i] = rank(piece + parts[i + 1], _NONE)
+        return parts
+
+    def _long(self, word: str, key: int, limit: int) -> list[str]:
+        """Parts of a word of any length: the agenda is a heap."""
         parts: list[str | None] = list(word)
         left, right = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
         agenda: list[tuple[float, int, str]] = []
-        limit = int(dropout * (1 << 32))
-        key = zlib.crc32(word.encode("utf-8", "surrogatepass"), (seed * 0x9E3779B1 + variant * 0x85EBCA6B) & 0xFFFFFFFF)
 
         def propose(a: int, b: int) -> None:
             if a >= 0 and b >= 0:
@@ -102,7 +141,7 @@ class Model:
             b = right[a]
             if parts[a] is None or b < 0 or parts[a] + parts[b] != piece:
                 continue  # one of the two has been joined since
-            if limit and _mixed32(key + a * 0x9E3779B1 + self.ids[piece] * 0xC2B2AE3D) < limit:
+            if limit and _draw(key, a, self.ids[piece]) < limit:
                 continue
             parts[a], parts[b] = piece, None
             right[a] = right[b]
@@ -110,12 +149,7 @@ class Model:
                 left[right[a]] = a
             propose(left[a], a)
             propose(a, right[a])
-        out = []
-        for part in parts:
-            if part is not None:
-                known = self.ids.get(part)
-                out += [known] if known is not None else [self.bytes[b] for b in part.replace(_OWN_MARK, MARK).encode()]
-        return out
+        return [part for part in parts if part is not None]
 
     def decode(self, ids) -> str:
         """The text of ids; the mark that opens it is not part of it."""
@@ -143,16 +177,19 @@ def encoded(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = model(path)
-        known: dict[tuple[str, int], tuple[bytes, bytes]] = {}
+        # two generations of jobs, so that those of frequent words are not forgotten
+        young: dict[tuple[str, int], tuple[bytes, bytes]] = {}
+        old: dict[tuple[str, int], tuple[bytes, bytes]] = {}
 
         def cut(job: tuple[str, int]) -> tuple[bytes, bytes]:
-            found = known.get(job)
+            nonlocal young, old
+            found = old.get(job)
             if found is None:
                 ids = made.segment(*job, seed, dropout)
-                found = np.array(ids, "<u4").tobytes(), b"".join([made.raw[i] for i in ids])
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[job] = found
+                found = array("I", ids).tobytes(), b"".join([made.raw[i] for i in ids])
+            if len(young) >= REMEMBERED:
+                young, old = {}, young
+            young[job] = found
             return found
 
         for batch in batches:
@@ -163,7 +200,7 @@ def encoded(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT,
                     text = text.as_py() or ""
                     words = made.words(text)
                     kinds = variant_of(doc_id, len(words), seed, variants).tolist()
-                    found = [cut(job) for job in zip(words, kinds)]
+                    found = [young.get(job) or cut(job) for job in zip(words, kinds)]
                     data, back = b"".join([f[0] for f in found]), b"".join([f[1] for f in found])[1:]
                     row = (doc_id, len(data) // 4, zlib.crc32(data), hashlib.sha256(back).hexdigest(), back == text.encode())
                     rows.append((*row, data) if with_ids else row)

@@ -166,3 +166,13 @@ def test_html_layout(spark):
     rows = [(1, page, "t"), (1, page, "t"), (None, None, None), (2, " ", "x")]
     got = extracted(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
     assert sorted(r.text for r in got) == ["", "", want, want] and got[0].asDict().keys() == {"page_id", "text"}
+
+
+def test_short_and_long_agendas_agree():
+    made = pieces.model(pieces.default_file())
+    pick = np.random.default_rng(2)
+    for n in range(600):
+        word = "▁" * int(pick.integers(0, 3)) + "".join(pick.choice(list("etaoinhsrthéü日 ")).replace(" ", "") for _ in range(int(pick.integers(1, 40))))
+        for dropout in (0.0, 0.1, 0.5):
+            limit = int(dropout * (1 << 32))
+            assert made._short(word, n, limit) == made._long(word, n, limit)
