@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from claimloom.functions.text import bind, unnest
+from claimloom.llm.graph import dealt_anew
 from claimloom.llm.shared import tasks, written
 from claimloom.session import cut_lineage
 
-BLOCK_BYTES = 4096
+BLOCK_BYTES = 16384
 _WHITE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
 
@@ -123,10 +124,9 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
     """A row per row of docs: (row, id, sha, keep_id, group_size, kept)."""
     named = cut_lineage(identities(docs, id_col, text_col, **how))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    # a table of its own, so that the join below deals both sides and splits a hot name
-    groups = cut_lineage(
-        named.groupBy("level", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    )
+    groups = named.groupBy("level", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # both sides of the join below are dealt anew, so that a hot name is split
+    groups = dealt_anew(groups, "name")
     return named.join(groups, ["level", "name"]).select(
         "row", "id", "sha", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept")
     )

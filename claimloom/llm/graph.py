@@ -8,30 +8,35 @@ from pyspark.sql import functions as F
 from claimloom.session import cut_lineage
 
 
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """df with its key as a new expression: an aggregate by key is then dealt again for a join, as the
+    other side is, and adaptive execution can split a key with very many rows on that side."""
+    return df.withColumn(key, F.col(key) + 0)
+
+
+def _unsettled(pairs: DataFrame) -> bool:
+    """Whether a node of (a, b) has two parents, or is both a child and a parent."""
+    roles = pairs.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+        pairs.select(F.col("b").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
+    )
+    both = roles.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return both.agg(F.max((F.col("child") > 1) | (F.col("child") > 0) & (F.col("parent") > 0))).first()[0] or False
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): component is the least node it reaches.
 
-    Every step links nodes to smaller ones and is written, so that both sides of the next join are
-    dealt anew and the edges of a node with very many are split.
+    Every round links nodes to smaller ones and is written, until each has its component as parent.
     """
-
-    def settled(rows: DataFrame) -> tuple[DataFrame, tuple]:
-        kept = cut_lineage(rows.distinct())
-        seen = kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        return kept, tuple(seen)
-
     # a > b from here on
     down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs, seen = settled(down)
-    while seen[0]:
+    pairs = cut_lineage(down.distinct())
+    while _unsettled(pairs):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
+        least = dealt_anew(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "a")
         large = cut_lineage(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
-        least = cut_lineage(large.groupBy("a").agg(F.min("b").alias("low")))
+        least = dealt_anew(large.groupBy("a").agg(F.min("b").alias("low")), "a")
         small = large.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        pairs, now = settled(small.unionByName(least.select("a", F.col("low").alias("b"))))
-        if now == seen:
-            break
-        seen = now
+        pairs = cut_lineage(small.unionByName(least.select("a", F.col("low").alias("b"))).distinct())
     roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
