@@ -8,7 +8,10 @@
   those of a partition of all shingles into m classes.  Two sets at most D apart (in elements that
   only one of them has) agree on at least m - D classes, so with m > D they share a cell (class,
   content of the class).  Sizes are cut into intervals of one ratio: a set goes to the cells of its own
-  interval and of the next, which is the window for pairs over the interval's end.  Documents that
+  interval and of the next, which is the window for pairs over the interval's end.  Cells are made of
+  the shingles that are not common (at most `COMMON` of those that recur within batches, broadcast), so that
+  a passage which very many documents share does not chain them together; sets with little else have
+  cells of all their shingles too.  Any choice of common shingles gives the same links.  Documents that
   share cells form a region (connected components over distinct links to a cell's smallest id).
 * Within a region, pivots make Voronoi cells by true distances; a document is copied to every other
   cell whose pivot is at most twice the threshold farther than its own (triangle inequality), and
@@ -35,13 +38,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from claimloom.llm import shared as S
-from claimloom.llm.graph import components
+from claimloom.llm.graph import components, dealt_anew
 from claimloom.session import cut_lineage
 
 #: Shingles of a region that one task takes; larger regions are compared in blocks.
 REGION_SHINGLES = 6_000_000
 #: Pivots of a block.
-BLOCK = 64
+BLOCK = 512
+#: Shingles that count as common, and in how many documents of a batch one has to occur.
+COMMON = 100_000
+COMMON_LEAST, COMMON_SHARE = 4, 2000
 #: Documents of a cell that are compared pair by pair, and pivots of a larger one.
 LEAF = 64
 PIVOTS = 8
@@ -102,11 +108,13 @@ def _classes(num: int, den: int, high: int, low: int) -> tuple[int, int]:
     return apart, apart + 1 + int(np.ceil(empty + 4 * np.sqrt(empty)))
 
 
-def cells(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def cells(sets: list[np.ndarray], num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(keys, set of each key): two sets with Jaccard >= num / den and different contents share a key.
 
-    They agree on at least m - D classes.  A set with fewer empty classes than that agrees with every
-    partner on one that is not empty; only a set with as many or more gives keys of empty classes.
+    They agree on at least m - D classes, also when only the shingles that are not in `common` (sorted) are
+    looked at.  A set with fewer empty classes than that agrees with every partner on one that is not
+    empty.  A set with as many or more gives keys of all its shingles as well; if even then it has as many
+    empty classes, those of empty classes too.  Two such sets meet there.
     """
     jobs = []
     for i, s in enumerate(sets):
@@ -129,27 +137,61 @@ def cells(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.nd
     with np.errstate(over="ignore"):
         kind = (S.mixed(h ^ _CLASS_SEED) >> np.uint64(32)) * np.repeat(m.astype(np.uint64), size) >> np.uint64(32)
         group = kind.astype(np.int64) + np.repeat(base[:-1], size)
-        order = np.argsort(group, kind="stable")
-        group = group[order]
-        at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        sums = np.zeros(base[-1], np.uint64)
-        sums[group[at]] = np.add.reduceat(S.mixed(h * np.uint64(0xDA942042E4DD58B5))[order], at)
-        full = np.zeros(base[-1], bool)
-        full[group[at]] = True
-        owner = np.repeat(np.arange(len(plan)), m)
-        place = np.arange(base[-1]) - base[owner]
-        interval = np.array([p[1] for p in plan])[owner]
-        keys = S.mixed(sums + S.mixed((interval.astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64) + np.uint64(1)))
-    empties = m - np.add.reduceat(full, base[:-1])
-    given = full | (empties >= least)[owner]
-    return keys[given], np.array([p[0] for p in plan])[owner[given]]
+        worth = S.mixed(h * np.uint64(0xDA942042E4DD58B5))
+    owner = np.repeat(np.arange(len(plan)), m)
+    place = (np.arange(base[-1]) - base[owner]).astype(np.uint64)
+    tag = (np.array([p[1] for p in plan]).astype(np.uint64)[owner] << np.uint64(40)) + place + np.uint64(1)
+
+    def contents(use: np.ndarray, mode: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key of each class, whether it has elements, empty classes of each set)."""
+        at = group[use]
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        new = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+        sums, full = np.zeros(base[-1], np.uint64), np.zeros(base[-1], bool)
+        with np.errstate(over="ignore"):
+            if len(at):
+                sums[at[new]] = np.add.reduceat(worth[use][order], new)
+                full[at[new]] = True
+            keys = S.mixed(sums + S.mixed(tag + (np.uint64(mode) << np.uint64(62))))
+        return keys, full, m - np.add.reduceat(full.astype(np.int64), base[:-1])
+
+    rare = np.ones(len(h), bool)
+    if common is not None and len(common):
+        rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h
+    keys, given, empty = contents(rare, 0)
+    poor = empty >= least
+    of = np.array([p[0] for p in plan])[owner]
+    out, sources = [keys[given]], [of[given]]
+    if poor.any():
+        keys, full, empty = contents(np.repeat(poor, size), 1)
+        given = poor[owner] & (full | (empty >= least)[owner])
+        out.append(keys[given])
+        sources.append(of[given])
+    return np.concatenate(out), np.concatenate(sources)
+
+
+def common_shingles(texts: DataFrame, words: int, most: int = COMMON) -> np.ndarray:
+    """Sorted hashes of shingles that recur in many documents of the same batches: at most `most`."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = S.text_bytes(batch.column(0))
+            found = list(_sets(data, offsets, words))
+            every, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+            often = n >= max(COMMON_LEAST, len(found) // COMMON_SHARE)
+            yield pa.RecordBatch.from_arrays([pa.array(every[often].view(np.int64)), pa.array(n[often])], ["shingle", "n"])
+
+    counts = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()
+    return np.sort(top["shingle"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 _FRAGMENT = "bucket int, kind int, keys binary, docs binary, more binary"
 _MET = "kind int, a long, b long, n long"
 
 
-def _fragments(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> DataFrame:
+def _fragments(docs: DataFrame, words: int, num: int, den: int, buckets: int, common) -> DataFrame:
     """Of each batch of documents, by bucket: sets (kind 0), cells (1) and links found in the batch (2)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +210,7 @@ def _fragments(docs: DataFrame, words: int, num: int, den: int, buckets: int) ->
                 order = np.lexsort((ids, two, one))
                 fresh = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
                 lead = order[fresh]
-                keys, of = cells([sets[x] for x in lead], num, den)
+                keys, of = cells([sets[x] for x in lead], num, den, common.value)
                 owner = ids[lead][of]
                 order = np.lexsort((owner, keys))
                 keys, owner = keys[order], owner[order]
@@ -345,7 +387,8 @@ def links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col
     (a, b) between documents that are linked, enough of them to connect every component."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = S.tasks(docs.sparkSession)
-    parts = _fragments(texts, words, num, den, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, words))
+    parts = _fragments(texts, words, num, den, buckets, common).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     met = S.written(parts.mapInArrow(_meet, _MET), "cells")
     rows = met.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("rep"), "n")
     copies = rows.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct()
@@ -355,7 +398,8 @@ def links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col
         F.col("component").alias("region"), "doc", "n"
     )
     members = cut_lineage(members)
-    sizes = cut_lineage(members.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("docs")).where("docs > 1"))
+    sizes = members.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    sizes = dealt_anew(sizes, "region")
     sized = cut_lineage(members.join(sizes, "region"))
     small = sized.where(F.col("total") <= region_shingles).select("region", F.lit(0).alias("block"), F.lit(1).alias("role"), "doc")
     edges = cut_lineage(_by_region(small, texts, words, num, den))

@@ -52,8 +52,10 @@ def test_cells_lose_no_pair():
             b = np.unique(np.append(b, pick.integers(0, 1 << 62, int(pick.integers(0, 1 + n // 8))).astype(np.uint64)))
             both = len(np.intersect1d(a, b))
             if len(b) and 100 * both >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                keys, of = cells([a, b], num, 100)
-                assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
+                for share in (0.0, 0.5, 0.9, 1.0):
+                    common = np.sort(pick.permutation(np.append(a, b))[: int(share * (len(a) + len(b)))])
+                    keys, of = cells([a, b], num, 100, common)
+                    assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
 
 
 def test_region_joins_recursively():
