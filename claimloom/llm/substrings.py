@@ -24,6 +24,7 @@ empty result; `stripped` keeps all other columns.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from claimloom.llm import shared as S
 from claimloom.session import cut_lineage
 
 WINDOW = 20
-GRAM = 8
+GRAM = 6
 HOT_KEYS = 10_000
 #: An anchor of fewer occurrences is never hot.
 HOT_LEAST = 1_000
@@ -190,12 +191,13 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---- pieces and shards -----------------------------------------------------------------
 
-_PIECE = "shard long, doc long, start long, windows long, piece binary"
+_PIECE = "shard long, pieces binary"
 _RANGE = "doc long, low long, high long"
 
 
 def _cut_pieces(window: int, gram: int, shards: int, hot):
-    """Pieces of the windows whose anchors recur; of equal pieces in a batch all but the first are empty."""
+    """Pieces of the windows whose anchors recur, packed by shard; of equal pieces in a batch of documents
+    all but the first are empty."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys = hot.value
@@ -208,7 +210,7 @@ def _cut_pieces(window: int, gram: int, shards: int, hot):
             data, offsets = S.text_bytes(batch.column("text"))
             order = np.argsort(ids, kind="stable")
             seen: set[tuple[int, bytes]] = set()
-            rows, size = [], 0
+            held: dict[int, list[tuple[int, int, int, bytes]]] = {}
             for d in order.tolist():
                 part = data[offsets[d] : offsets[d + 1]]
                 starts, ends, first = S.words(part, np.array([0, len(part)]))
@@ -233,47 +235,70 @@ def _cut_pieces(window: int, gram: int, shards: int, hot):
                         same = (shard, hashlib.blake2b(piece, digest_size=16).digest())
                         known = same in seen
                         seen.add(same)
-                        rows.append((shard, int(ids[d]), int(start[a]), b - a, b"" if known else piece))
-                        size += len(piece) + 60
-                if size > S.SLICE_BYTES:
-                    yield _rows(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _rows(rows)
+                        held.setdefault(shard, []).append((int(ids[d]), int(start[a]), b - a, b"" if known else piece))
+            packed = [_packed(rows) for rows in held.values()]
+            for at in range(0, len(packed), 256):
+                columns = [pa.array(list(held)[at : at + 256], pa.int64()), pa.array(packed[at : at + 256], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "pieces"])
 
     return cut
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array(c, t) for c, t in zip(zip(*rows), [*[pa.int64()] * 4, pa.binary()])]
-    return pa.RecordBatch.from_arrays(columns, ["shard", "doc", "start", "windows", "piece"])
+def _packed(rows: list[tuple[int, int, int, bytes]]) -> bytes:
+    """(document, start, windows, piece) rows; pieces hold no line ends."""
+    *numbers, texts = zip(*rows)
+    planes = [S.pack(np.array(n, np.int64)) for n in numbers]
+    return zlib.compress(b"".join([len(rows).to_bytes(8, "little"), *planes, b"\n".join(texts)]), 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+    data = zlib.decompress(data)
+    n = int.from_bytes(data[:8], "little")
+    numbers = [S.unpack(data[8 + 8 * n * i : 8 + 8 * n * (i + 1)], np.int64) for i in range(3)]
+    return np.stack(numbers, 1), data[8 + 24 * n :].split(b"\n")
 
 
 def _match(window: int):
     """Ranges of windows that occur earlier, shard by shard, pieces in order of (document, start)."""
 
+    def found(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        numbers, texts = [], []
+        for part in parts:
+            n, t = _unpacked(part)
+            numbers.append(n)
+            texts += t
+        numbers = np.concatenate(numbers)
+        automaton, out = SuffixAutomaton(), []
+        add = automaton.add
+        for k in np.lexsort((numbers[:, 1], numbers[:, 0])).tolist():
+            doc, start, windows = numbers[k].tolist()
+            if not texts[k]:  # equal to an earlier piece of its batch
+                out.append((doc, start, start + windows))
+                continue
+            automaton.restart()
+            low = None
+            for i, word in enumerate(texts[k].split(b" "), start - window + 1):
+                if add(word) >= window:
+                    low = i if low is None else low
+                elif low is not None:
+                    out.append((doc, low, i))
+                    low = None
+            if low is not None:
+                out.append((doc, low, start + windows))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc", "low", "high"])
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, automaton = None, SuffixAutomaton()
+        shard, parts = None, []
         for batch in batches:
-            out = []
-            for s, doc, start, windows, piece in zip(*(c.to_pylist() for c in batch.columns)):
+            for s, part in zip(*(c.to_pylist() for c in batch.columns)):
                 if s != shard:
-                    shard, automaton = s, SuffixAutomaton()
-                if not piece:  # equal to an earlier piece of its batch
-                    out.append((doc, start, start + windows))
-                    continue
-                automaton.restart()
-                add, low = automaton.add, None
-                for i, word in enumerate(piece.split(b" "), start - window + 1):
-                    if add(word) >= window:
-                        low = i if low is None else low
-                    elif low is not None:
-                        out.append((doc, low, i))
-                        low = None
-                if low is not None:
-                    out.append((doc, low, start + windows))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc", "low", "high"])
+                    if parts:
+                        yield from found(parts)
+                    shard, parts = s, []
+                parts.append(part)
+        if parts:
+            yield from found(parts)
 
     return match
 
@@ -305,7 +330,7 @@ def repeats(keyed: DataFrame, text_col: str = "text", window: int = WINDOW, gram
     places = flags.groupBy("doc").agg(F.collect_list("place").alias("places"))  # of one document
     asked = texts.join(places, texts["doc_id"] == places["doc"], "left").select("doc_id", "text", "places")
     pieces = asked.mapInArrow(_cut_pieces(window, gram, buckets * SHARDS, shared_hot), _PIECE)
-    dealt = pieces.repartition(buckets * 2, "shard").sortWithinPartitions("shard", "doc", "start")
+    dealt = pieces.repartition(buckets * 2, "shard").sortWithinPartitions("shard")
     found = dealt.mapInArrow(_match(window), _RANGE)
     return found.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
