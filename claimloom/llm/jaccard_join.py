@@ -187,6 +187,8 @@ def common_shingles(texts: DataFrame, words: int, most: int = COMMON) -> np.ndar
     return np.sort(top["shingle"].to_numpy().astype(np.int64).view(np.uint64))
 
 
+#: 56 bits of a key travel; a chance match only puts unrelated documents into one region.
+_KEY_BITS = np.uint64((1 << 56) - 1)
 _FRAGMENT = "bucket int, kind int, keys binary, docs binary, more binary"
 _MET = "kind int, a long, b long, n long"
 
@@ -211,6 +213,7 @@ def _fragments(docs: DataFrame, words: int, num: int, den: int, buckets: int, co
                 fresh = np.append(True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))
                 lead = order[fresh]
                 keys, of = cells([sets[x] for x in lead], num, den, common.value)
+                keys &= _KEY_BITS
                 owner = ids[lead][of]
                 order = np.lexsort((owner, keys))
                 keys, owner = keys[order], owner[order]
@@ -453,5 +456,6 @@ def _sizes(words: int):
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without those that have a linked document of smaller id in their component; all columns."""
     found = linked(docs, words, num, den, id_col, text_col, **how)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    # a written table has a known size, so that few ids are broadcast and the texts stay where they are
+    gone = S.written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
