@@ -23,7 +23,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +161,12 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+@lru_cache(maxsize=1)
+def _remembered(path: str, seed: int, dropout: float) -> list[dict[tuple[str, int], tuple[bytes, bytes]]]:
+    """What a worker has cut, over all its tasks: two generations, so that frequent words are not forgotten."""
+    return [{}, {}]
+
+
 def variant_of(doc_id: int | None, count: int, seed: int, variants: int) -> np.ndarray:
     """The variant of each of a document's words."""
     with np.errstate(over="ignore"):
@@ -177,19 +183,16 @@ def encoded(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = model(path)
-        # two generations of jobs, so that those of frequent words are not forgotten
-        young: dict[tuple[str, int], tuple[bytes, bytes]] = {}
-        old: dict[tuple[str, int], tuple[bytes, bytes]] = {}
+        memory = _remembered(path, seed, dropout)
 
         def cut(job: tuple[str, int]) -> tuple[bytes, bytes]:
-            nonlocal young, old
-            found = old.get(job)
+            found = memory[1].get(job)
             if found is None:
                 ids = made.segment(*job, seed, dropout)
                 found = array("I", ids).tobytes(), b"".join([made.raw[i] for i in ids])
-            if len(young) >= REMEMBERED:
-                young, old = {}, young
-            young[job] = found
+            if len(memory[0]) >= REMEMBERED:
+                memory[:] = [{}, memory[0]]
+            memory[0][job] = found
             return found
 
         for batch in batches:
@@ -200,7 +203,8 @@ def encoded(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT,
                     text = text.as_py() or ""
                     words = made.words(text)
                     kinds = variant_of(doc_id, len(words), seed, variants).tolist()
-                    found = [young.get(job) or cut(job) for job in zip(words, kinds)]
+                    known = memory[0].get
+                    found = [known(job) or cut(job) for job in zip(words, kinds)]
                     data, back = b"".join([f[0] for f in found]), b"".join([f[1] for f in found])[1:]
                     row = (doc_id, len(data) // 4, zlib.crc32(data), hashlib.sha256(back).hexdigest(), back == text.encode())
                     rows.append((*row, data) if with_ids else row)
