@@ -2,11 +2,14 @@
 
 A text is split before each run of word marks, which no merge crosses.  Within a word an agenda holds
 candidate merges by score, then from the left; each candidate taken from it is skipped when a keyed
-hash of (seed, variant, word, place, merged piece) falls under the dropout rate, else its two parts are
-joined and their new neighbours become candidates.  With a rate of 0 this is the model's own
-segmentation.  The variant of a word is a keyed hash of (seed, document, place of the word) over
-`variants` values, so one word is cut in different ways through a corpus while a task can remember
-what it has worked out (the last one to two times `REMEMBERED` words).
+hash of (seed, document, place of the word in it, place in the word, merged piece) falls under the
+dropout rate, else its two parts are joined and their new neighbours become candidates.  With a rate
+of 0 this is the model's own segmentation.
+
+Every occurrence of a word has draws of its own.  Only what no draw decides is remembered: the
+candidates that come up in a word without a skip, and those that come up after given skips (a tree, as
+skips lead to other candidates).  The draws of many occurrences are then made at once over these lists;
+an occurrence with a skip that is not in the tree yet, and every long word, is worked out on its own.
 
 Characters without a piece become bytes, so decoding gives back every text.
 
@@ -22,6 +25,7 @@ import heapq
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
 
@@ -30,17 +34,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.shared import mixed
+from claimloom.llm.shared import U64, mixed
 
 MARK = "▁"
 #: Stands for a mark that a text itself holds, which is encoded as bytes; no text can hold this.
 _OWN_MARK = "\ud800"
 DROPOUT = 0.1
 SEED = 1
-VARIANTS = 2
-REMEMBERED = 200_000
-#: Characters of a word whose agenda is a list; longer ones take a heap.
+#: Lists of candidates that a worker remembers, over all its tasks; when there are more, it begins anew.
+REMEMBERED = 400_000
+#: Characters of a word whose agenda is a list; longer ones take a heap, and are not remembered.
 SHORT = 48
+#: Words whose draws are made at once.
+_SLICE = 1 << 16
+_MASK = (1 << 64) - 1
 _NONE = 1 << 62
 _WORD = re.compile("▁*[^▁]+|▁+")
 
@@ -51,9 +58,27 @@ def default_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _draw(key: int, place: int, piece: int) -> int:
-    """A 32-bit keyed hash of a candidate merge; `_short` has it written out."""
-    return (key ^ place << 16 ^ piece) * 0x9E3779B1 & 0xFFFFFFFF
+def occurrences(doc_id: int | None, count: int) -> np.ndarray:
+    """A number per word of a document."""
+    return mixed(np.full(1, (-1 if doc_id is None else doc_id) & _MASK, U64))[0] + np.arange(count, dtype=U64)
+
+
+def keys_of(numbers: np.ndarray, seed: int) -> np.ndarray:
+    """The keys of the draws of occurrences."""
+    with np.errstate(over="ignore"):
+        return mixed(numbers + U64(seed * 0x9E3779B97F4A7C15 & _MASK))
+
+
+def _draws(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """32-bit keyed hashes of candidate merges (place << 32 | piece); `_draw` is one of them."""
+    return mixed(keys ^ codes) >> U64(32)
+
+
+def _draw(key: int, code: int) -> int:
+    h = key ^ code
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & _MASK
+    return (h ^ h >> 31) >> 32
 
 
 class Model:
@@ -68,10 +93,12 @@ class Model:
         plain = [i for i in range(size) if not (self.reader.is_control(i) or self.reader.is_unknown(i) or self.reader.is_byte(i))]
         self.ids = {names[i]: i for i in plain}
         self.scores = {names[i]: self.reader.get_score(i) for i in plain}
-        # the order of the agenda, with the id in the low bits; pieces of equal scores need the heap
+        # the order of the agenda, with the id in the low bits; words that hold merged pieces of equal scores need the heap
+        held = Counter(score for piece, score in self.scores.items() if len(piece) > 1)
         order = {score: rank for rank, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
-        self.ranks = {piece: order[score] << 32 | self.ids[piece] for piece, score in self.scores.items()}
-        self.short = SHORT if len(order) == len(self.scores) else 0
+        self.ranks = {piece: order[score] << 32 | self.ids[piece] for piece, score in self.scores.items() if len(piece) > 1}
+        ties = [piece for piece in self.ranks if held[self.scores[piece]] > 1]
+        self.short = SHORT if all(2 * MARK in piece for piece in ties) else 0
         self.bytes = {int(names[i][3:5], 16): i for i in range(size) if self.reader.is_byte(i)}
         self.raw = [b""] * size
         for i in plain:
@@ -85,11 +112,24 @@ class Model:
         marked = MARK + text.replace(MARK, _OWN_MARK).replace(" ", MARK) if text else ""
         return _WORD.findall(marked) if self.splits else [marked] * bool(marked)
 
-    def segment(self, word: str, variant: int = 0, seed: int = SEED, dropout: float = 0.0) -> list[int]:
+    def segment(self, word: str, occurrence: int = 0, seed: int = SEED, dropout: float = 0.0) -> list[int]:
         """Ids of one word."""
-        limit = int(dropout * (1 << 32))
-        key = zlib.crc32(word.encode("utf-8", "surrogatepass"), (seed * 0x9E3779B1 + variant * 0x85EBCA6B) & 0xFFFFFFFF)
-        parts = (self._short if len(word) <= self.short else self._long)(word, key, limit)
+        return self.keyed(word, int(keys_of(np.array([occurrence], U64), seed)[0]), int(dropout * (1 << 32)))
+
+    def keyed(self, word: str, key: int, limit: int) -> list[int]:
+        """Ids of one word with the draws of a key."""
+        return self._ids(self._agenda(word)(word, key, limit))
+
+    def after(self, word: str, skipped: frozenset[int]) -> tuple[list[int], list[int]]:
+        """(ids, merges in their order) of a word in which exactly these candidates are skipped."""
+        merges: list[int] = []
+        parts = self._agenda(word)(word, 0, 0, skipped, merges)
+        return self._ids(parts), merges
+
+    def _agenda(self, word: str):
+        return self._short if len(word) <= self.short and 2 * MARK not in word else self._long
+
+    def _ids(self, parts: list[str]) -> list[int]:
         out = []
         for part in parts:
             known = self.ids.get(part)
@@ -99,7 +139,7 @@ class Model:
                 out += [self.bytes[b] for b in part.replace(_OWN_MARK, MARK).encode()]
         return out
 
-    def _short(self, word: str, key: int, limit: int) -> list[str]:
+    def _short(self, word: str, key: int, limit: int, skipped: frozenset[int] = frozenset(), merges: list[int] | None = None) -> list[str]:
         """Parts of a short word: the agenda is a list with a rank per pair of neighbours."""
         parts, rank = list(word), self.ranks.get
         places = list(range(len(parts)))
@@ -110,9 +150,12 @@ class Model:
                 break
             i = agenda.index(best)
             piece = parts[i] + parts[i + 1]
-            if limit and (key ^ places[i] << 16 ^ best & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF < limit:
+            code = places[i] << 32 | best & 0xFFFFFFFF
+            if code in skipped or limit and _draw(key, code) < limit:
                 agenda[i] = _NONE  # until a neighbour changes, the pair is not a candidate
                 continue
+            if merges is not None:
+                merges.append(code)
             parts[i] = piece
             del parts[i + 1], places[i + 1], agenda[i]
             if i:
@@ -121,7 +164,7 @@ class Model:
                 agenda[i] = rank(piece + parts[i + 1], _NONE)
         return parts
 
-    def _long(self, word: str, key: int, limit: int) -> list[str]:
+    def _long(self, word: str, key: int, limit: int, skipped: frozenset[int] = frozenset(), merges: list[int] | None = None) -> list[str]:
         """Parts of a word of any length: the agenda is a heap."""
         parts: list[str | None] = list(word)
         left, right = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
@@ -141,8 +184,11 @@ class Model:
             b = right[a]
             if parts[a] is None or b < 0 or parts[a] + parts[b] != piece:
                 continue  # one of the two has been joined since
-            if limit and _draw(key, a, self.ids[piece]) < limit:
+            code = a << 32 | self.ids[piece]
+            if code in skipped or limit and _draw(key, code) < limit:
                 continue
+            if merges is not None:
+                merges.append(code)
             parts[a], parts[b] = piece, None
             right[a] = right[b]
             if right[a] >= 0:
@@ -161,21 +207,94 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-@lru_cache(maxsize=1)
-def _remembered(path: str, seed: int, dropout: float) -> list[dict[tuple[str, int], tuple[bytes, bytes]]]:
-    """What a worker has cut, over all its tasks: two generations, so that frequent words are not forgotten."""
-    return [{}, {}]
+class Remembered(dict):
+    """Words and their trees.  A node holds the ids and bytes of a word after given skips, and the merges
+    that come up after the last of them; `below` has, per such merge, the node in which it is skipped
+    too: -1 when it has been asked for once, 0 before."""
+
+    def __init__(self, made: Model):
+        self.made = made
+        self.begin()
+
+    def begin(self) -> None:
+        self.clear()
+        # node 0 is that of words which are not remembered
+        self.words, self.skips, self.ids, self.back = [""], [frozenset()], [b""], [b""]
+        self.first, self.count, self.depth = array("q", [0]), array("q", [0]), array("q", [0])
+        self.codes, self.below, self.used = np.zeros(1 << 16, U64), np.zeros(1 << 16, np.int32), 0
+
+    def packed(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return array("I", ids).tobytes(), b"".join([self.made.raw[i] for i in ids])
+
+    def add(self, word: str, skips: frozenset[int], depth: int) -> int:
+        ids, merges = self.made.after(word, skips)
+        merges = merges[depth:]
+        if self.used + len(merges) > len(self.codes):
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+            self.below = np.concatenate([self.below, np.zeros_like(self.below)])
+        self.codes[self.used : self.used + len(merges)] = merges
+        for held, one in zip((self.words, self.skips, self.first, self.count, self.depth), (word, skips, self.used, len(merges), depth)):
+            held.append(one)
+        self.used += len(merges)
+        for held, one in zip((self.ids, self.back), self.packed(ids)):
+            held.append(one)
+        return len(self.words) - 1
+
+    def __missing__(self, word: str) -> int:
+        if len(word) > SHORT:
+            return 0
+        self[word] = node = self.add(word, frozenset(), 0)
+        return node
+
+    def child(self, node: int, slot: int) -> int:
+        """The node in which the merge at a slot of `codes` is skipped, -1 if there is none yet."""
+        if self.below[slot] <= 0:
+            ask, self.below[slot] = self.below[slot] == 0, -1
+            if ask:
+                return -1
+            depth = self.depth[node] + slot - self.first[node]
+            made = self.add(self.words[node], self.skips[node] | {int(self.codes[slot])}, depth)
+            self.below[slot] = made
+        return int(self.below[slot])
+
+    def cut(self, words: list[str], keys: np.ndarray, limit: int) -> tuple[list[bytes], list[bytes]]:
+        """(ids, bytes) of each word."""
+        if len(self.words) > REMEMBERED:
+            self.begin()
+        nodes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        first, count = np.array(self.first, np.int64), np.array(self.count, np.int64)
+        alone, open_ = np.flatnonzero(nodes == 0).tolist(), np.flatnonzero(count[nodes])
+        while limit and len(open_):
+            at = nodes[open_]
+            many = count[at]
+            ends = np.cumsum(many)
+            slots = np.arange(ends[-1]) + np.repeat(first[at] - ends + many, many)
+            gone = np.flatnonzero(_draws(np.repeat(keys[open_], many), self.codes[slots]) < limit)
+            owner = np.searchsorted(ends, gone, "right")
+            new = np.diff(owner, prepend=-1) > 0
+            open_, slots = open_[owner[new]], slots[gone[new]]
+            found = self.below[slots].astype(np.int64)
+            for i in np.flatnonzero(found <= 0).tolist():
+                found[i] = self.child(int(nodes[open_[i]]), int(slots[i]))
+            alone += open_[found < 0].tolist()
+            open_, found = open_[found > 0], found[found > 0]
+            nodes[open_] = found
+            if len(self.words) > len(first):
+                first, count = np.array(self.first, np.int64), np.array(self.count, np.int64)
+            open_ = open_[count[found] > 0]
+        nodes = nodes.tolist()
+        ids, back = [self.ids[n] for n in nodes], [self.back[n] for n in nodes]
+        for i in alone:
+            ids[i], back[i] = self.packed(self.made.keyed(words[i], int(keys[i]), limit))
+        return ids, back
 
 
-def variant_of(doc_id: int | None, count: int, seed: int, variants: int) -> np.ndarray:
-    """The variant of each of a document's words."""
-    with np.errstate(over="ignore"):
-        start = np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((-1 if doc_id is None else doc_id) & (1 << 64) - 1)
-        at = mixed(np.full(1, start, np.uint64))[0] + np.arange(count, dtype=np.uint64)
-    return (mixed(at) % np.uint64(variants)).astype(np.int64)
+@lru_cache(maxsize=1)
+def _remembered(path: str) -> Remembered:
+    return Remembered(model(path))
 
 
-def encoded(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS,
+def encoded(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED,
             id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256, lossless and, on request, ids, per row."""
     path = path or default_file()
@@ -183,31 +302,28 @@ def encoded(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = model(path)
-        memory = _remembered(path, seed, dropout)
-
-        def cut(job: tuple[str, int]) -> tuple[bytes, bytes]:
-            found = memory[1].get(job)
-            if found is None:
-                ids = made.segment(*job, seed, dropout)
-                found = array("I", ids).tobytes(), b"".join([made.raw[i] for i in ids])
-            if len(memory[0]) >= REMEMBERED:
-                memory[:] = [{}, memory[0]]
-            memory[0][job] = found
-            return found
+        memory, limit = _remembered(path), int(dropout * (1 << 32))
+
+        def cut(doc_ids: list, texts: list[str]) -> Iterator[tuple]:
+            words = [made.words(text) for text in texts]
+            every = [word for own in words for word in own]
+            keys = keys_of(np.concatenate([occurrences(i, len(own)) for i, own in zip(doc_ids, words)]), seed)
+            found, backs = [], []
+            for start in range(0, len(every), _SLICE):
+                some = memory.cut(every[start : start + _SLICE], keys[start : start + _SLICE], limit)
+                found += some[0]
+                backs += some[1]
+            end = 0
+            for doc_id, text, own in zip(doc_ids, texts, words):
+                start, end = end, end + len(own)
+                data, back = b"".join(found[start:end]), b"".join(backs[start:end])[1:]
+                row = (doc_id, len(data) // 4, zlib.crc32(data), hashlib.sha256(back).hexdigest(), back == text.encode())
+                yield (*row, data) if with_ids else row
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 512):
-                rows = []
-                for doc_id, text in zip(ids[at : at + 512], batch.column(1).slice(at, 512)):
-                    text = text.as_py() or ""
-                    words = made.words(text)
-                    kinds = variant_of(doc_id, len(words), seed, variants).tolist()
-                    known = memory[0].get
-                    found = [known(job) or cut(job) for job in zip(words, kinds)]
-                    data, back = b"".join([f[0] for f in found]), b"".join([f[1] for f in found])[1:]
-                    row = (doc_id, len(data) // 4, zlib.crc32(data), hashlib.sha256(back).hexdigest(), back == text.encode())
-                    rows.append((*row, data) if with_ids else row)
+            for at in range(0, len(ids), 128):
+                rows = list(cut(ids[at : at + 128], [text.as_py() or "" for text in batch.column(1).slice(at, 128)]))
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in schema.split(", ")])
 

@@ -1,4 +1,5 @@
 import unicodedata
+import zlib
 
 import numpy as np
 
@@ -123,6 +124,27 @@ def test_pieces(spark):
     assert len({tuple(made.segment("▁unbelievable", v, 1, 0.5)) for v in range(4)}) > 1
 
 
+def test_pieces_vary_with_each_occurrence(spark):
+    made = pieces.model(pieces.default_file())
+    every = ["the understanding of nothing " * 40 + "x" * 60 + " ▁▁ 日本語 " + str(k) for k in range(25)]
+    docs = spark.createDataFrame([*enumerate(every), (None, None)], "doc_id long, text string").coalesce(1)
+    for dropout in (0.0, 0.1, 0.5):
+        got, kinds = pieces.encoded(docs, dropout=dropout, seed=3).collect(), set()
+        for r in got:
+            words = made.words(every[r.doc_id] if r.doc_id is not None else "")
+            cuts = [made.segment(w, int(n), 3, dropout) for w, n in zip(words, pieces.occurrences(r.doc_id, len(words)))]
+            want = np.array([i for c in cuts for i in c], "<u4").tobytes()
+            assert (bytes(r.ids), r.n_ids, r.ids_crc32, r.lossless) == (want, len(want) // 4, zlib.crc32(want), True)
+            kinds |= {tuple(c) for w, c in zip(words, cuts) if w == "▁understanding"}
+        plain = tuple(made.segment("▁understanding"))
+        assert kinds == {plain} if dropout == 0 else len(kinds) > 10
+    # draws fall under the rate as often as it says, each on its own
+    merges = np.array(made.after("▁understanding", frozenset())[1], np.uint64)
+    keys = pieces.keys_of(pieces.occurrences(7, 4000), 3)
+    none = [(pieces._draws(k, merges) >= int(0.1 * 2**32)).all() for k in keys]
+    assert len(merges) > 5 and abs(np.mean(none) - 0.9 ** len(merges)) < 0.03
+
+
 def test_language(spark):
     english, french = "the quick brown fox jumps over the lazy dog and runs", "le renard brun saute par dessus le chien paresseux été"
     rows = [(i, f"{english if i % 2 else french} {i}", "en" if i % 2 else "fr", i, 0.0) for i in range(80)]
