@@ -281,23 +281,22 @@ class Layout:
         flow.indent, flow.marker = held, ""
 
     def table(self, node: Node, flow: Flow, pre: bool, shown: bool) -> None:
-        rows, last, todo = [], [], list(reversed(node.children))
+        rows, last, todo = [], [], [(child, False) for child in reversed(node.children)]
         while todo:
-            child = todo.pop()
+            child, foot = todo.pop()
+            found = last if foot else rows
             if isinstance(child, str):
                 if shown and child.strip():
                     flow.text(child)  # text astray in a table stands before it
             elif self.gone(child):
                 continue
-            elif child.tag in ("thead", "tbody"):
-                todo += reversed(child.children)
-            elif child.tag == "tfoot":
-                last += [c for c in child.children if isinstance(c, Node) and c.tag == "tr" and not self.gone(c)]
+            elif child.tag in ("thead", "tbody", "tfoot"):
+                todo += [(c, foot or child.tag == "tfoot") for c in reversed(child.children)]
             elif child.tag == "tr":
-                rows.append(child)
+                found.append(child)
             elif child.tag in ("td", "th"):
-                rows.append(Node("tr"))
-                rows[-1].children.append(child)
+                found.append(Node("tr"))
+                found[-1].children.append(child)
             else:
                 outer = Node("div")
                 outer.children.append(child)

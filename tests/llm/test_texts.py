@@ -190,6 +190,12 @@ def test_html_layout(spark):
     assert sorted(r.text for r in got) == ["", "", want, want] and got[0].asDict().keys() == {"page_id", "text"}
 
 
+def test_html_table_foot():
+    page = "<table><tfoot><td>Total 5</td></tfoot><tr><td>a<td>5</table>"
+    assert visible_text(page) == "a        5\nTotal 5"
+    assert visible_text("<table><tfoot>astray<form>inside</form><tr><td>foot</tfoot><tbody><tr><td>body</table>") == "astray\ninside\nbody\nfoot"
+
+
 def test_short_and_long_agendas_agree():
     made = pieces.model(pieces.default_file())
     pick = np.random.default_rng(2)
