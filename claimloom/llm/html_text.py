@@ -3,7 +3,9 @@
 A tree builder reads tags in one pass: implied end tags (`p`, `li`, `dt`, `td`, `tr`, `option` ...),
 void and raw-text elements, unmatched end tags dropped.  Visibility rules take out what a browser
 doesn't show: head matter, scripts, templates, `hidden`, `display:none` and `visibility:hidden` in
-style attributes or in simple rules of style elements (a tag, .class or #id).  The rest is laid out:
+style attributes or in simple rules of style elements (a tag, .class or #id); what is visible again
+inside of `visibility:hidden` is shown, in tables too.  Formulas and drawings give their text inline,
+without descriptions, definitions and annotations.  The rest is laid out:
 blocks on lines of their own, a blank line around paragraphs, headings and the like, list items with
 markers and indents, preformatted text as it is, and tables as columns padded to one width per column
 (spans included).
@@ -30,7 +32,12 @@ DEPTH = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 #: Not shown whatever the page says.
-UNSEEN = frozenset("head script style template title noframes noembed iframe object audio video canvas svg math datalist noscript".split())
+UNSEEN = frozenset("head script style template title noframes noembed iframe object audio video canvas datalist noscript".split())
+#: Not shown inside of these.
+_UNSEEN_IN = {
+    "svg": frozenset("desc metadata defs symbol clippath mask marker pattern filter lineargradient radialgradient".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
 #: Blocks with a blank line around them, and blocks on lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr menu".split())
 BLOCK = SPACED | frozenset(
@@ -150,14 +157,26 @@ def parse(page: str) -> tuple[Node, list[str]]:
     return root, styles
 
 
-def hidden_by(styles: list[str]) -> frozenset[str]:
-    """Simple selectors (tag, .class, #id) whose rules hide what they match."""
-    found = set()
+def _visibility(declared: str) -> bool | None:
+    """Whether declarations show or hide; None if they say neither."""
+    found = _HIDDEN.findall(declared)
+    return found[-1].lower() == "visible" if found else None
+
+
+def hidden_by(styles: list[str]) -> tuple[frozenset[str], dict[str, tuple[int, bool]]]:
+    """Simple selectors (tag, .class, #id) whose rules take out what they match, and those whose rules
+    set its visibility: (place of the rule, whether it shows)."""
+    found, seen, place = set(), {}, 0
     for style in styles:
         for selectors, body in _RULE.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", style, flags=re.S)):
+            place += 1
+            simple = [s.strip() for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())]
             if _NONE.search(body):
-                found.update(s.strip() for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip()))
-    return frozenset(found)
+                found.update(simple)
+            shows = _visibility(body)
+            if shows is not None:
+                seen.update(dict.fromkeys(simple, (place, shows)))
+    return frozenset(found), seen
 
 
 class Flow:
@@ -212,12 +231,29 @@ def _number(value: str | None, default: int, most: int) -> int:
 
 
 class Layout:
-    def __init__(self, hidden: frozenset[str]):
-        self.hidden = hidden
-
-    def gone(self, node: Node) -> bool:
+    def __init__(self, hidden: frozenset[str], seen: dict[str, tuple[int, bool]]):
+        self.hidden, self.seen = hidden, seen
+
+    def shows(self, node: Node, shown: bool, inside: str = "") -> bool:
+        """Whether text right in a node is visible, if that around it is shown or not."""
+        if node.attrs and "visibility" in node.attrs.lower():
+            own = _visibility(node.get("style") or "")
+            if own is not None:
+                return own
+        if self.seen:
+            names = ["#" + (node.get("id") or "")], ["." + c for c in (node.get("class") or "").split()], [node.tag]
+            for same in names:
+                if held := [self.seen[s] for s in same if s in self.seen]:
+                    return max(held)[1]
+        if inside == "svg" and (own := node.get("visibility")):
+            return own.strip().lower() not in ("hidden", "collapse")
+        return shown
+
+    def gone(self, node: Node, inside: str = "") -> bool:
         if node.tag in UNSEEN or node.tag in self.hidden:
             return True
+        if inside and (node.tag in _UNSEEN_IN[inside] or inside == "svg" and (node.get("display") or "").strip().lower() == "none"):
+            return True
         if not node.attrs:
             return False
         if node.get("hidden") is not None or (style := node.get("style")) and _NONE.search(style):
@@ -229,7 +265,7 @@ class Layout:
             return own and "#" + own in self.hidden or any("." + c in self.hidden for c in (node.get("class") or "").split())
         return False
 
-    def run(self, node: Node, flow: Flow, pre: bool = False, shown: bool = True, level: int = 0) -> None:
+    def run(self, node: Node, flow: Flow, pre: bool = False, shown: bool = True, level: int = 0, inside: str = "") -> None:
         """Lay out what is in a node."""
         number = _number(node.get("start"), 1, 10**9) if node.tag == "ol" else 0
         for child in node.children:
@@ -246,11 +282,9 @@ class Layout:
                     flow.text(child)
                 continue
             tag = child.tag
-            if self.gone(child):
+            if self.gone(child, inside):
                 continue
-            seen = shown
-            if "visibility" in child.attrs.lower() and (v := _HIDDEN.search(child.get("style") or "")):
-                seen = v[1].lower() == "visible"
+            seen = self.shows(child, shown, inside)
             if tag == "br":
                 flow.need += 1
                 flow.space = False
@@ -272,7 +306,11 @@ class Layout:
                     self.run(child, flow, pre or tag == "pre", seen, level + (tag in ("ul", "ol", "menu")))
                 flow.brk(gap)
             else:
-                self.run(child, flow, pre or tag in ("textarea", "xmp"), seen, level)
+                apart = tag == "text" and inside == "svg"  # labels of a drawing are words apart
+                flow.space |= apart and not flow.need and bool(flow.out)
+                within = tag if tag in _UNSEEN_IN else "" if tag == "foreignobject" else inside
+                self.run(child, flow, pre or tag in ("textarea", "xmp"), seen, level, within)
+                flow.space |= apart and not flow.need and bool(flow.out)
 
     def item(self, node: Node, flow: Flow, marker: str, pre: bool, shown: bool, level: int) -> None:
         held = flow.indent
@@ -281,35 +319,36 @@ class Layout:
         flow.indent, flow.marker = held, ""
 
     def table(self, node: Node, flow: Flow, pre: bool, shown: bool) -> None:
-        rows, last, todo = [], [], [(child, False) for child in reversed(node.children)]
+        rows, last, todo = [], [], [(child, False, shown) for child in reversed(node.children)]
         while todo:
-            child, foot = todo.pop()
+            child, foot, seen = todo.pop()
             found = last if foot else rows
             if isinstance(child, str):
-                if shown and child.strip():
+                if seen and child.strip():
                     flow.text(child)  # text astray in a table stands before it
             elif self.gone(child):
                 continue
             elif child.tag in ("thead", "tbody", "tfoot"):
-                todo += [(c, foot or child.tag == "tfoot") for c in reversed(child.children)]
+                seen = self.shows(child, seen)
+                todo += [(c, foot or child.tag == "tfoot", seen) for c in reversed(child.children)]
             elif child.tag == "tr":
-                found.append(child)
+                found.append((child, self.shows(child, seen)))
             elif child.tag in ("td", "th"):
-                found.append(Node("tr"))
-                found[-1].children.append(child)
+                found.append((Node("tr"), seen))
+                found[-1][0].children.append(child)
             else:
                 outer = Node("div")
                 outer.children.append(child)
-                self.run(outer, flow, pre, shown)
+                self.run(outer, flow, pre, seen)
                 flow.brk(1)
         flow.brk(1)
         grid: list[list[tuple[int, int, list[str]]]] = []  # per row: (column, columns, lines)
         taken: dict[int, int] = {}  # column: rows still covered by a cell above
-        for row in rows + last:
+        for row, seen in rows + last:
             column, cells, spans = 0, [], {}
             for cell in row.children:
                 if isinstance(cell, str):
-                    if shown and cell.strip():
+                    if seen and cell.strip():
                         flow.text(cell)
                     continue
                 if self.gone(cell):
@@ -321,7 +360,7 @@ class Layout:
                 if cell.tag not in ("td", "th"):
                     holder = Node("td")
                     holder.children.append(cell)
-                self.run(holder, inner, pre, shown)
+                self.run(holder, inner, pre, self.shows(cell, seen) if holder is cell else seen)
                 wide = max(1, _number(holder.get("colspan"), 1, 1000))
                 tall = _number(holder.get("rowspan"), 1, 65534) or 65534
                 cells.append((column, wide, inner.done().split("\n")))
@@ -362,7 +401,7 @@ def visible_text(page: str | None) -> str:
         return ""
     root, styles = parse(page)
     flow = Flow()
-    Layout(hidden_by(styles)).run(root, flow)
+    Layout(*hidden_by(styles)).run(root, flow)
     return "\n".join(line.rstrip() for line in flow.done().split("\n")).strip("\n")
 
 

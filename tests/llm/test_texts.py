@@ -196,6 +196,18 @@ def test_html_table_foot():
     assert visible_text("<table><tfoot>astray<form>inside</form><tr><td>foot</tfoot><tbody><tr><td>body</table>") == "astray\ninside\nbody\nfoot"
 
 
+def test_html_visibility():
+    assert visible_text("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b") == "a x=2 b"
+    drawn = "<svg><title>no</title><defs><text>no</text></defs><text>Jan<tspan>uary</tspan></text><text>May</text><text display='none'>no</text></svg>"
+    assert visible_text(f"c {drawn} d") == "c January May d" and visible_text("<defs>shown</defs>") == "shown"
+    style = "<style>.h{visibility:hidden} b{visibility:visible} #s{visibility:visible}</style>"
+    assert visible_text(f"{style}<p class=h>no<b>yes</b><i id=s>and</i><p id=s class=h>too") == "yesand\n\ntoo"
+    hide, show = "style='visibility:hidden'", "style='visibility:visible'"
+    assert visible_text(f"<table><tr><td {hide}>x<td>y<tr {hide}><td>no<td {show}>z</table>") == "y\nz"
+    assert visible_text(f"<table {hide}><tr><td>no<td {show}>seen<tbody {show}><tr><td>both</table>") == "      seen\nboth"
+    assert visible_text(f"{style}<table><thead class=h><tr><td>no</thead><tr><td class=h>no<td>v</table>") == "v"
+
+
 def test_short_and_long_agendas_agree():
     made = pieces.model(pieces.default_file())
     pick = np.random.default_rng(2)
