@@ -11,9 +11,10 @@ markers and indents, preformatted text as it is, and tables as columns padded to
 (spans included).
 
 Defined cases: a null or blank page has an empty text; text without tags is one block; broken markup is
-read as far as it goes (an open comment or raw-text element runs to the end); elements nested deeper
-than `DEPTH` dissolve in their parent, none of their text is lost; rows are treated one by one, so ids
-may repeat or be null; other columns are kept by `extracted`.
+read as far as it goes (an open comment or raw-text element runs to the end); elements may be nested to
+any depth, as neither the tree builder nor the layout recurses (lists in lists are indented at each
+level, so that lines grow with the depth); rows are treated one by one, so ids may repeat or be null;
+other columns are kept by `extracted`.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEPTH = 200
-
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 #: Not shown whatever the page says.
@@ -92,17 +91,20 @@ def parse(page: str) -> tuple[Node, list[str]]:
     """(root, contents of style elements)."""
     root = Node("html")
     stack, styles, at, size = [root], [], 0, len(page)
+    places: dict[str, list[int]] = {}  # of the open elements but the root, by tag
+
+    def last(tags) -> int:
+        """The place of the innermost open element of these tags, 0 if there is none."""
+        return max([places[t][-1] for t in tags if places.get(t)], default=0)
+
+    def cut(start: int) -> None:
+        for node in stack[start:]:
+            places[node.tag].pop()
+        del stack[start:]
 
     def close(tags: set, walls: set) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                if len(stack) == 1 or stack[-1].tag in walls:
-                    return
-                return close(tags, walls)
-            if stack[i].tag in walls:
-                return
-        return
+        while (i := last(tags)) and i > last(walls):
+            cut(i)
 
     while at < size:
         m = _TAG.search(page, at)
@@ -117,12 +119,9 @@ def parse(page: str) -> tuple[Node, list[str]]:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
             else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in _WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                        break
+                i = last((tag,))
+                if i and (tag in ("table", "tr", "tbody", "thead", "tfoot", "html", "body") or i >= last(_WALLS)):
+                    cut(i)
             continue
         tag, attrs = (m[2], m[3]) if m[2] else (m[4], m[5])
         if not tag:
@@ -137,9 +136,9 @@ def parse(page: str) -> tuple[Node, list[str]]:
         if tag in _CLOSES:
             close(*_CLOSES[tag])
         if len(stack) > 1 and stack[1].tag == "head" and tag not in _IN_HEAD:
-            del stack[1:]
+            cut(1)
         if tag == "body" and len(stack) > 1:
-            del stack[1:]
+            cut(1)
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -151,9 +150,8 @@ def parse(page: str) -> tuple[Node, list[str]]:
             else:
                 node.children.append(inside if tag != "xmp" else html.escape(inside, quote=False))
         elif tag not in VOID and not attrs.endswith("/") or tag in ("p", "div", "span", "a", "td", "li"):
-            if len(stack) < DEPTH:
-                stack.append(node)
-            # deeper elements are leaves; what follows goes to their parent
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(node)
     return root, styles
 
 
@@ -184,7 +182,7 @@ class Flow:
 
     def __init__(self) -> None:
         self.out: list[str] = []
-        self.need, self.space, self.indent, self.marker = 0, False, "", ""
+        self.need, self.space, self.indent, self.marker = 0, False, 0, ""
 
     def brk(self, lines: int) -> None:
         self.need, self.space = max(self.need, lines), False
@@ -193,8 +191,7 @@ class Flow:
         if self.need or not self.out:
             if self.out:
                 self.out.append("\n" * self.need)
-            lead = self.indent[: len(self.indent) - len(self.marker)] + self.marker if self.marker else self.indent
-            self.out.append(lead)
+            self.out.append(" " * (self.indent - len(self.marker)) + self.marker)
             self.need, self.marker, self.space = 0, "", False
 
     def text(self, s: str) -> None:
@@ -231,9 +228,21 @@ def _number(value: str | None, default: int, most: int) -> int:
 
 
 class Layout:
+    """What lays out nodes.  `run`, `item` and `table` yield the layouts inside theirs, and `whole` takes
+    them one after another from a list, so that depth costs no recursion."""
+
     def __init__(self, hidden: frozenset[str], seen: dict[str, tuple[int, bool]]):
         self.hidden, self.seen = hidden, seen
 
+    def whole(self, node: Node, flow: Flow) -> None:
+        todo = [self.run(node, flow)]
+        while todo:
+            inner = next(todo[-1], None)
+            if inner is None:
+                todo.pop()
+            else:
+                todo.append(inner)
+
     def shows(self, node: Node, shown: bool, inside: str = "") -> bool:
         """Whether text right in a node is visible, if that around it is shown or not."""
         if node.attrs and "visibility" in node.attrs.lower():
@@ -265,7 +274,7 @@ class Layout:
             return own and "#" + own in self.hidden or any("." + c in self.hidden for c in (node.get("class") or "").split())
         return False
 
-    def run(self, node: Node, flow: Flow, pre: bool = False, shown: bool = True, level: int = 0, inside: str = "") -> None:
+    def run(self, node: Node, flow: Flow, pre: bool = False, shown: bool = True, level: int = 0, inside: str = "") -> Iterator[Iterator]:
         """Lay out what is in a node."""
         number = _number(node.get("start"), 1, 10**9) if node.tag == "ol" else 0
         for child in node.children:
@@ -294,31 +303,31 @@ class Layout:
                 flow.brk(gap)
                 if tag == "li":
                     number = _number(child.get("value"), number, 10**9)
-                    self.item(child, flow, f"{number}. " if node.tag == "ol" else "- ", pre, seen, level)
+                    yield self.item(child, flow, f"{number}. " if node.tag == "ol" else "- ", pre, seen, level)
                     number += 1
                 elif tag == "table":
-                    self.table(child, flow, pre, seen)
+                    yield self.table(child, flow, pre, seen)
                 elif tag in ("dd", "blockquote"):
-                    held, flow.indent = flow.indent, flow.indent + "  "
-                    self.run(child, flow, pre, seen, level)
+                    held, flow.indent = flow.indent, flow.indent + 2
+                    yield self.run(child, flow, pre, seen, level)
                     flow.indent = held
                 else:
-                    self.run(child, flow, pre or tag == "pre", seen, level + (tag in ("ul", "ol", "menu")))
+                    yield self.run(child, flow, pre or tag == "pre", seen, level + (tag in ("ul", "ol", "menu")))
                 flow.brk(gap)
             else:
                 apart = tag == "text" and inside == "svg"  # labels of a drawing are words apart
                 flow.space |= apart and not flow.need and bool(flow.out)
                 within = tag if tag in _UNSEEN_IN else "" if tag == "foreignobject" else inside
-                self.run(child, flow, pre or tag in ("textarea", "xmp"), seen, level, within)
+                yield self.run(child, flow, pre or tag in ("textarea", "xmp"), seen, level, within)
                 flow.space |= apart and not flow.need and bool(flow.out)
 
-    def item(self, node: Node, flow: Flow, marker: str, pre: bool, shown: bool, level: int) -> None:
+    def item(self, node: Node, flow: Flow, marker: str, pre: bool, shown: bool, level: int) -> Iterator[Iterator]:
         held = flow.indent
-        flow.indent, flow.marker = held + " " * len(marker), marker
-        self.run(node, flow, pre, shown, level)
+        flow.indent, flow.marker = held + len(marker), marker
+        yield self.run(node, flow, pre, shown, level)
         flow.indent, flow.marker = held, ""
 
-    def table(self, node: Node, flow: Flow, pre: bool, shown: bool) -> None:
+    def table(self, node: Node, flow: Flow, pre: bool, shown: bool) -> Iterator[Iterator]:
         rows, last, todo = [], [], [(child, False, shown) for child in reversed(node.children)]
         while todo:
             child, foot, seen = todo.pop()
@@ -339,7 +348,7 @@ class Layout:
             else:
                 outer = Node("div")
                 outer.children.append(child)
-                self.run(outer, flow, pre, seen)
+                yield self.run(outer, flow, pre, seen)
                 flow.brk(1)
         flow.brk(1)
         grid: list[list[tuple[int, int, list[str]]]] = []  # per row: (column, columns, lines)
@@ -360,7 +369,7 @@ class Layout:
                 if cell.tag not in ("td", "th"):
                     holder = Node("td")
                     holder.children.append(cell)
-                self.run(holder, inner, pre, self.shows(cell, seen) if holder is cell else seen)
+                yield self.run(holder, inner, pre, self.shows(cell, seen) if holder is cell else seen)
                 wide = max(1, _number(holder.get("colspan"), 1, 1000))
                 tall = _number(holder.get("rowspan"), 1, 65534) or 65534
                 cells.append((column, wide, inner.done().split("\n")))
@@ -401,7 +410,7 @@ def visible_text(page: str | None) -> str:
         return ""
     root, styles = parse(page)
     flow = Flow()
-    Layout(*hidden_by(styles)).run(root, flow)
+    Layout(*hidden_by(styles)).whole(root, flow)
     return "\n".join(line.rstrip() for line in flow.done().split("\n")).strip("\n")
 
 

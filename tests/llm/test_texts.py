@@ -208,6 +208,15 @@ def test_html_visibility():
     assert visible_text(f"{style}<table><thead class=h><tr><td>no</thead><tr><td class=h>no<td>v</table>") == "v"
 
 
+def test_html_depth():
+    deep = "<div>" * 1000
+    assert visible_text(f"<div hidden>{deep}no{'</div>' * 1000}no</div>yes") == "yes"
+    assert visible_text(f"{deep}a<span hidden>no</span><ul><li>b</ul><pre>c  d</pre><table><tr><td>e<td>f</table>") == "a\n\n- b\n\nc  d\n\ne  f"
+    assert visible_text("<b>" * 100_000 + "x" + "</i>" * 100_000 + "<p>y" * 1000) == "x\n\n" + "\n\n".join("y" * 1000)
+    nested = "<table><tr><td>" * 400 + "x" + "</table>" * 400
+    assert visible_text(nested) == "x"
+
+
 def test_short_and_long_agendas_agree():
     made = pieces.model(pieces.default_file())
     pick = np.random.default_rng(2)
