@@ -15,6 +15,8 @@ sequences of its own.  Only counts per size and per gap (at most one row per tok
 each) pass through the driver; pieces and gaps meet in distributed joins, and each round is cut off
 by a checkpoint.
 
+Ids are those of the tokenizer file: the string of an added token in a text is that token's id.
+
 Defined cases: a null text has the end token alone; rows that repeat an id are documents of their
 own; a null id is kept; an empty table gives an empty result; other columns are ignored.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.shared import tasks, written
-from claimloom.llm.tokens import default_files, encode
+from claimloom.llm.tokens import default_files, encode_default
 from claimloom.session import cut_lineage
 
 CAPACITY = 1024
@@ -52,7 +54,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, files: tuple[str, str],
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py() or "", files), np.uint32(end_id)).astype("<u4")
+                ids = np.append(encode_default(text.as_py() or "", files), np.uint32(end_id)).astype("<u4")
                 for piece, (start, length) in enumerate(cut(len(ids), capacity)):
                     rows.append((doc_id, piece, start, length, zlib.crc32(ids[start : start + length])))
             columns = list(zip(*rows)) if rows else [[]] * 5

@@ -39,8 +39,26 @@ def _tokenizer(path: str):
     return made
 
 
+@cache
+def _default(path: str):
+    """(tokenizer as its file has it, its added tokens' strings): these strings in a text are single ids."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    return made, [token.content for token in made.get_added_tokens_decoder().values()]
+
+
 def encode(text: str, files: tuple[str, str]) -> np.ndarray:
     """Ids of a text, without special tokens."""
     if _PLAIN.fullmatch(text):
         return np.array(_ranks(files[1]).encode_ordinary(text), "<u4")
     return np.array(_tokenizer(files[0]).encode(text, add_special_tokens=False).ids, "<u4")
+
+
+def encode_default(text: str, files: tuple[str, str]) -> np.ndarray:
+    """Ids of a text as the tokenizer file gives them, without special tokens around it; unlike `encode`,
+    the string of an added token in the text is that token."""
+    made, added = _default(files[0])
+    if any(token in text for token in added):
+        return np.array(made.encode(text, add_special_tokens=False).ids, "<u4")
+    return encode(text, files)

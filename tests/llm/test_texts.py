@@ -40,6 +40,20 @@ def test_packing(spark):
     assert got.sequence_id.nunique() <= 1.05 * -(-got.length.sum() // 64) + 1
 
 
+def test_packing_takes_the_ids_of_the_tokenizer_file(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_files()[0])
+    pairs = [*enumerate(["a <|endoftext|> b", "<|endoftext|>" * 70, "no such string", "日本 <|endoftext|>", "<|endoftext |>"]), (9, None)]
+    want = []
+    for i, t in pairs:
+        own = np.array([*plain.encode(t or "", add_special_tokens=False).ids, packing.END_ID], "<u4")
+        want += [(i, p, s, n, zlib.crc32(own[s : s + n])) for p, (s, n) in enumerate(packing.cut(len(own), 64))]
+    assert plain.encode(pairs[0][1], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = packing.packed(frame(spark, pairs), capacity=64).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+
+
 def test_packing_rounds_match_best_fit_decreasing():
     import bisect
     from collections import Counter
