@@ -9,7 +9,9 @@ the separator (a longer one is followed by an empty member, which ends in a zero
 
 Reading.  A member or version line is taken when all its checks pass: gzip checksum, headers,
 length, block digest and payload digest.  After a failed check the reader searches for the next
-member or version line that passes, goes on from there, and logs the bytes between as a gap.
+member or version line that passes, goes on from there, and logs the bytes between as a gap.  In a
+member it does the same with the inflated bytes, those before a damaged place included: records that
+pass are kept, and a gap between them has the member's place and the number of its bytes inside.
 
 Defined cases: a null payload is empty; a null url gets a urn; rows equal in id and payload are one
 capture, each written as a response; a null id revisits, or responds when no other id has its
@@ -173,30 +175,80 @@ def parse_record(data, at: int) -> tuple[dict, bytes, int] | None:
     return headers, block, end + 4
 
 
-def _taken(data: memoryview, at: int) -> tuple[list[tuple[dict, bytes]], int] | None:
-    """Records of the member or plain record at a place and its end, or None."""
+def _partly(data: memoryview, at: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """What inflates of a damaged gzip member, and pairs of (bytes inflated, bytes read up to here)."""
+    opener, parts, marks, step = zlib.decompressobj(31), [], [(0, at)], 4096
+    while at < len(data) and not opener.eof:
+        held = opener.copy()
+        try:
+            parts.append(opener.decompress(data[at : at + step]))
+        except zlib.error:
+            if step == 1:
+                break
+            opener, step = held, 1  # up to the very byte
+            continue
+        at = min(at + step, len(data))
+        marks.append((marks[-1][0] + len(parts[-1]), at))
+    return b"".join(parts), marks
+
+
+def _read_for(data: memoryview, size: int, marks: list[tuple[int, int]]) -> int:
+    """The place up to which a member is read when so many bytes of it are inflated."""
+    last = max(i for i, (held, _) in enumerate(marks) if held < size)
+    opener = zlib.decompressobj(31)
+    for (_, a), (_, b) in zip(marks[:last], marks[1 : last + 1]):
+        opener.decompress(data[a:b])
+    held, at = marks[last]
+    while held < size:
+        held += len(opener.decompress(data[at : at + 1]))
+        at += 1
+    return at
+
+
+_SIGN = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+_LINE = re.compile(rb"WARC/1\.")
+
+
+def _inside(content: bytes) -> tuple[list[tuple[dict | None, bytes]], int]:
+    """Records of inflated bytes and the gaps between them (no headers, the bytes), up to the last record
+    that passes; the place after it."""
+    out, at, end = [], 0, 0
+    while at < len(content):
+        one = parse_record(content, at)
+        if one is None:
+            sign = _LINE.search(content, at + 1)
+            at = sign.start() if sign else len(content)
+            continue
+        if at > end:
+            out.append((None, content[end:at]))
+        out.append(one[:2])
+        at = end = one[2]
+    return out, end
+
+
+def _taken(data: memoryview, at: int) -> tuple[list[tuple[dict | None, bytes]], int] | None:
+    """Records of the member or plain record at a place, with gaps between them, and its end; None if no
+    record passes."""
     if bytes(data[at : at + 2]) == b"\x1f\x8b":
         found = inflate(data, at)
         if found is None:
-            return None
+            content, marks = _partly(data, at)
+            records, size = _inside(content)
+            return (records, _read_for(data, size, marks)) if records else None
         content, end = found
-        records, place = [], 0
-        while place < len(content):
-            one = parse_record(content, place)
-            if one is None:
-                return None
-            records.append(one[:2])
-            place = one[2]
+        records, size = _inside(content)
+        if content and not records:
+            return None
+        if size < len(content):
+            records.append((None, content[size:]))
         return records, end
     one = parse_record(data, at)
     return one and ([one[:2]], one[2])
 
 
-_SIGN = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
-
-
 def salvage(content: bytes) -> Iterator[tuple[int, int, dict | None, bytes]]:
-    """(start, end, headers, block) of every record that passes, headers None for a gap."""
+    """(start, end, headers, block) of every record that passes, headers None for a gap; a gap in a member
+    has the member's place and the inflated bytes."""
     data, at, gap = memoryview(content), 0, None
     while at < len(data):
         found = _taken(data, at)
@@ -222,7 +274,8 @@ _FOUND = (
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row per record, and one with record_type 'gap' per quarantined range of bytes."""
+    """A row per record, and one with record_type 'gap' per quarantined range of bytes; in a gap within a
+    member payload_bytes counts its inflated bytes."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _FOUND.split(", ")]
@@ -233,7 +286,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 file, rows, held = batch.column("path")[i].as_py(), [], 0
                 for start, end, headers, block in salvage(batch.column("content")[i].as_py()):
                     if headers is None:
-                        rows.append((file, start, end - start, "gap", *[None] * 6))
+                        rows.append((file, start, end - start, "gap", *[None] * 4, len(block) or None, None))
                         continue
                     http, _, payload = block.partition(b"\r\n\r\n")
                     length = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)

@@ -57,6 +57,28 @@ def test_plain_records_and_checks():
     assert [h for _, _, h, _ in warc.salvage(good[:-9])] == [None] and list(warc.salvage(b"")) == []
 
 
+def test_salvage_inside_members():
+    """Members of several records with a bad record, a bad checksum, a cut end and a damaged place."""
+    good = [warc.build_record(k, f"http://x/{k}", f"body {k} ".encode() * 40, None, True, "2024-01-01T00:00:00Z") + b"\r\n\r\n" for k in range(9)]
+    bad = good[4].replace(b"body 4 body", b"body 4 bodx")
+
+    def ids(data):
+        return [warc.page_of(h["warc-record-id"]) if h else "gap" for _, _, h, _ in warc.salvage(data)]
+
+    one, after = gzip.compress(b"".join([*good[:4], bad, *good[5:]]), mtime=0), warc.member(good[0][:-4])
+    assert ids(one + after) == [0, 1, 2, 3, "gap", 5, 6, 7, 8, 0]
+    assert [(a, b, len(x)) for a, b, h, x in warc.salvage(one) if h is None] == [(0, len(one), len(bad))]
+    assert ids(gzip.compress(b"".join(good[:3]) + b"rest", mtime=0) + after) == [0, 1, 2, "gap", 0]
+    for level in (0, 6):  # stored bytes show the version lines in the file, too
+        whole = gzip.compress(b"".join(good), level, mtime=0)
+        assert ids(whole + after) == [*range(9), 0]
+        hurt = whole[:-8] + bytes([whole[-8] ^ 255]) + whole[-7:]
+        assert ids(hurt + after) == [*range(9), "gap", 0]
+        assert ids(whole[:-3]) == [*range(9), "gap"]
+        most = ids(whole[: len(whole) * 9 // 10])
+        assert most[-1] == "gap" and most[:-1] == list(range(len(most) - 1)) and len(most) > 3
+
+
 def test_long_member_ends_in_a_zero_byte():
     packed = warc.member(b"x" * (1 << 24))
     assert packed[-1] == 0 and gzip.decompress(packed) == b"x" * (1 << 24) + b"\r\n\r\n"
