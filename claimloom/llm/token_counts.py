@@ -11,12 +11,14 @@ group of one file or the groups of a file.
 
 Defined cases: a null text is a document of no tokens; an empty file has no documents; tokens after
 the last separator are a document of their own (`open`); separators side by side are documents of no
-tokens; a block need not hold a whole number of ids; rows that repeat an id are documents of their own.
+tokens; a block before the last of its file that does not hold a whole number of ids is an error; rows that repeat an id are documents of their own.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,14 @@ from pyspark.sql import Window as W
 
 from claimloom.llm.shared import written
 from claimloom.llm.tokens import default_files, encode
+from claimloom.session import cut_lineage
 
 WIDTH = 2
 END_ID = 50256
 BLOCK_BYTES = 1 << 18
+#: Bytes of a plain file that one task reads, and the most such tasks (of several ranges each, if there are more).
+RANGE_BYTES = 1 << 26
+MOST_TASKS = 20_000
 GROUP = 1024
 
 _FILE = "file string, block long, bytes binary, ordinal long, doc_id long"
@@ -40,6 +46,7 @@ def flat_files(docs: DataFrame, end_id: int = END_ID, width: int = WIDTH, block_
                files: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents tokenised into one flat file a task, written to the shared folder: rows with bytes are
     blocks (file, block, bytes), rows without list which document is which (file, ordinal, doc_id)."""
+    _whole(block_bytes, width)
     files = files or default_files()
     kind = np.dtype(f"<u{width}")
 
@@ -77,18 +84,44 @@ def flat_files(docs: DataFrame, end_id: int = END_ID, width: int = WIDTH, block_
     return written(texts.mapInArrow(flatten, _FILE), "tokens")
 
 
-def blocks_of(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, block, bytes) of flat files in a folder; each file is read by one task (under 2 GiB)."""
+def _whole(block_bytes: int, width: int) -> None:
+    if block_bytes <= 0 or block_bytes % width:
+        raise ValueError(f"blocks of {block_bytes} bytes don't hold a whole number of ids of {width} bytes")
+
+
+def _opened(path: str):
+    """A file of a store, to be read from any place."""
+    if re.match(r"file:/|/", path):
+        return open(unquote(re.sub(r"^file:/+", "/", path)), "rb")
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
+    return store.open_input_file(name)
+
+
+def blocks_of(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, width: int = WIDTH) -> DataFrame:
+    """(file, block, bytes) of flat files of any size in a folder.  Spark lists the files; a task reads a
+    range of about `RANGE_BYTES` of one, opening it itself (as a local file, or by pyarrow.fs)."""
+    _whole(block_bytes, width)
+    many = max(1, RANGE_BYTES // block_bytes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                view = memoryview(data.as_buffer())
-                for block, at in enumerate(range(0, len(view), block_bytes)):
-                    part = [bytes(view[at : at + block_bytes])]
-                    yield pa.RecordBatch.from_pydict({"file": [name], "block": [block], "bytes": part})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file string, block long, bytes binary")
+            for row in batch.to_pylist():
+                with _opened(row["path"]) as held:
+                    held.seek(row["first"] * block_bytes)
+                    end = min(row["length"], (row["first"] + many) * block_bytes)
+                    for block, at in enumerate(range(row["first"] * block_bytes, end, block_bytes), row["first"]):
+                        part, size = held.read(min(block_bytes, end - at)), min(block_bytes, end - at)
+                        if len(part) != size:
+                            raise OSError(f"{row['path']} has changed: {len(part)} of {size} bytes at {at}")
+                        yield pa.RecordBatch.from_pydict({"file": [row["path"]], "block": [block], "bytes": [part]})
+
+    listed = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+    starts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes).cast("long"), F.lit(many).cast("long"))
+    ranges = cut_lineage(listed.select("path", "length", F.explode(starts).alias("first")))
+    dealt = ranges.repartition(max(1, min(ranges.count(), MOST_TASKS)))
+    return dealt.mapInArrow(cut, "file string, block long, bytes binary")
 
 
 _SCAN = "file string, block long, size long, seps long, head long, tail long, at long, inner array<long>"
@@ -120,6 +153,9 @@ def lengths(blocks: DataFrame, end_id: int = END_ID, width: int = WIDTH) -> Data
     """(file, ordinal, n_tokens, open) of every document of the files; blocks (file, block, bytes) hold a
     whole number of ids, all but the last of a file."""
     scanned = written(blocks.select("file", "block", "bytes").mapInArrow(_scan(end_id, width), _SCAN), "scan")
+    odd = scanned.groupBy("file").agg(F.max("block").alias("last"), F.min(F.when(F.col("at") != 0, F.col("block"))).alias("odd"))
+    for row in odd.where("odd < last").limit(1).collect():
+        raise ValueError(f"block {row['odd']} of {row['file']} is not its last and holds no whole number of ids")
     grouped = scanned.withColumn("grp", F.floor(F.col("block") / GROUP))
     # a group in short: its separators, and the open tail behind its last one
     in_group = W.partitionBy("file", "grp").orderBy("block")

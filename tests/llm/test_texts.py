@@ -2,6 +2,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pytest
 
 from claimloom.llm import fingerprints, language, packing, pieces, token_counts, tokens
 from claimloom.llm.html_text import extracted, visible_text
@@ -122,6 +123,32 @@ def test_flat_files_on_disk(spark, tmp_path, monkeypatch):
     assert sorted((r.file.rsplit("/", 1)[1], r.ordinal, r.n_tokens, r.open) for r in got.collect()) == sorted(want)
 
 
+def test_large_flat_files_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    """A sparse file over 2 GiB, which no one value can hold, and ranges of a few blocks."""
+    with open(tmp_path / "a large", "wb") as file:
+        file.truncate((1 << 31) + 6)
+        file.seek((1 << 31) + 2)
+        file.write(b"\x07\x00")
+    blocks = token_counts.blocks_of(spark, str(tmp_path), 1 << 24)
+    assert blocks.rdd.getNumPartitions() == 33
+    assert [tuple(r) for r in token_counts.lengths(blocks, end_id=7).select("ordinal", "n_tokens", "open").orderBy("ordinal").collect()] == [(0, (1 << 30) + 1, False), (1, 1, True)]
+    monkeypatch.setattr(token_counts, "RANGE_BYTES", 40)
+    small = tmp_path / "small"
+    small.mkdir()
+    (small / "f").write_bytes(np.arange(100, dtype="<u2").tobytes() + b"x")
+    got = sorted((r.block, bytes(r.bytes)) for r in token_counts.blocks_of(spark, str(small), 16).collect())
+    assert [b for b, _ in got] == list(range(13)) and b"".join(x for _, x in got) == (small / "f").read_bytes()
+
+
+def test_blocks_of_odd_bytes_are_an_error(spark):
+    rows = [("f", 0, b"\x01\x00\x02"), ("f", 1, b"\x00\x03\x00")]
+    blocks = spark.createDataFrame(rows, "file string, block long, bytes binary")
+    with pytest.raises(ValueError, match="block 0 of f"):
+        token_counts.lengths(blocks, end_id=3)
+    with pytest.raises(ValueError, match="3 bytes"):
+        token_counts.blocks_of(spark, "/", 3)
+
+
 def test_pieces(spark):
     made = pieces.model(pieces.default_file())
     every = [t or "" for _, t in PAIRS] + ["  two  spaces ", "▁mark ▁", "tab\tnew\nline", "\x00", "日本 語"]
