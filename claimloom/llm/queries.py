@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and their SQL where SQL can express them."""
+"""Registered queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import (
+    contamination,
     exact_dedup,
     fingerprints,
     html_text,
@@ -92,6 +93,40 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP11_WORDS = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+_OP11 = f"""
+WITH d AS (SELECT doc_id, {_OP11_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_OP11_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, w[p:p + least(10, len(w)) - 1] AS run
+  FROM i, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(p)
+  WHERE len(w) > 0
+),
+sizes AS (SELECT DISTINCT len(run) AS n FROM windows),
+runs AS (
+  SELECT doc_id, p, n, w[p:p + n - 1] AS run
+  FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(p)
+),
+hits AS (SELECT doc_id, p, n, item_id FROM runs JOIN windows USING (run)),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT p + k) AS n_hit FROM hits, unnest(range(n)) AS t(k) GROUP BY doc_id
+),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_jaccard_join": op2_jaccard_join,
@@ -103,8 +138,10 @@ QUERIES = {
     "op8_piece_encoding": op8_piece_encoding,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
+    "op11_decontamination": op11_decontamination,
 }
 
 ORACLES = {
     "op7_exact_dedup": _OP7,
+    "op11_decontamination": _OP11,
 }

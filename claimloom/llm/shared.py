@@ -35,6 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, *wishes: str) -> list[str]:
+    """Column names like the wishes that df has not (names do not differ by case alone)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for wish in wishes:
+        while wish.lower() in taken:
+            wish += "_"
+        taken.add(wish.lower())
+        out.append(wish)
+    return out
+
+
 def tasks(spark: SparkSession) -> int:
     """How many pieces to cut a shuffled intermediate into."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
