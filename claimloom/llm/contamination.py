@@ -35,22 +35,18 @@ BLOCK_WINDOWS = 200_000
 BLOCK_BYTES = 16 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word of a text as it stands, with what lies between it and the word before.
-_PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words in lower case.
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Where a text as it stands is cut, so that each piece but the last ends with a word.
+_CUT = r"(?<=[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
 
 
 def words(text: Column) -> Column:
     """The words of a text; none of a null."""
-    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    return F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
-
-
-def _every(held: Column, n: int | Column, fn) -> Column:
-    """fn of every run of n consecutive elements of an array."""
-    last = F.size(held) - n + 1
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: fn(F.slice(held, i, n)))
-    return F.when(last > 0, runs).otherwise(F.array().cast("array<long>") if isinstance(n, int) else F.array())
+    text = F.coalesce(text, F.lit(""))
+    # of a text of one byte a character, `lower` does what `translate` does, and sooner
+    low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    return F.array_remove(F.split(low, _BETWEEN), "")
 
 
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -69,25 +65,22 @@ def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 def _scan(texts: DataFrame, wanted: DataFrame, lengths: list[int]) -> DataFrame:
     """(doc_id, sha, n_words, at, n, window) of every hit, and one row with null at of every row of texts."""
 
-    def hashes(held: Column) -> Column:
-        # the null in front brings every document, also one without windows, to the other side
-        parts = [_every(held, n, lambda run: F.xxhash64(run)) for n in lengths]
-        return F.concat(F.array(F.lit(None).cast("long")), *parts)
-
     held = texts.select("doc_id", "sha", words(F.col("text")).alias("held"))
-    held = held.select("doc_id", "sha", "held", bind(F.col("held"), hashes).alias("hashes"))
-    looked = held.select("doc_id", "sha", "held", F.posexplode_outer("hashes").alias("place", "hash"))
-    # the runs of each length stand one after the other
-    before, at = F.lit(1), None
-    for n in lengths:
-        here = F.when(F.col("n") == n, F.col("place") - before)
-        at = here if at is None else F.coalesce(at, here)
-        before = before + F.greatest(F.size("held") - n + 1, F.lit(0))
-    at = F.lit(None).cast("int") if at is None else at
-    same = (F.col("hash") == F.col("h")) & (F.slice("held", at + 1, F.col("n")) == F.col("words"))
-    found = looked.join(F.broadcast(wanted), same, "left")
-    return found.where(F.col("h").isNotNull() | (F.col("place") == 0)).select(
-        "doc_id", "sha", F.size("held").cast("long").alias("n_words"), at.alias("at"), "n", "window"
+    # a row per word, in generated code from the scan to the look-up; the null behind the words brings every
+    # document, also one without windows, to the other side
+    none = F.array(F.lit(None).cast("string"))
+    places = held.select("doc_id", "sha", "held", F.posexplode_outer(F.concat("held", none)).alias("at", "word"))
+    sizes = F.explode(F.array(*[F.lit(n) for n in lengths or [1]]))
+    runs = places.select("doc_id", "sha", "held", "at", sizes.alias("long"))
+    run = F.slice("held", F.col("at") + 1, F.col("long"))
+    inside = F.col("at") <= F.size("held") - F.col("long")
+    looked = runs.withColumn("hash", F.when(inside, F.xxhash64(run)))
+    # joined on the hash alone, whose look-up is cheapest; the words are compared where it hits
+    found = looked.join(F.broadcast(wanted), F.col("hash") == F.col("h"), "left")
+    verified = F.col("h").isNotNull() & (F.col("long") == F.col("n")) & (run == F.col("words"))
+    last = (F.col("at") == F.size("held")) & (F.col("long") == (lengths or [1])[0])
+    return found.where(verified | last).select(
+        "doc_id", "sha", F.size("held").cast("long").alias("n_words"), F.when(F.col("h").isNotNull(), F.col("at")).alias("at"), "n", "window"
     )
 
 
@@ -191,18 +184,16 @@ def _without(text: Column, ranges: Column) -> Column:
 
     def kept(held: Column) -> Column:
         pieces, ranges = held["pieces"], held["ranges"]
-        n, k = F.size(pieces), F.size(ranges)
+        n, k = F.size(pieces), F.size(ranges)  # a last piece without a word is kept like words that are not hit
 
         def between(j: Column) -> Column:
             low = F.when(j > 0, F.get(ranges, j - 1)["high"]).otherwise(0)
             high = F.when(j < k, F.get(ranges, j)["low"]).otherwise(n)
             return F.slice(pieces, low + 1, high - low)
 
-        rest = F.length(held["text"]) - F.length(F.array_join(pieces, ""))
-        return F.concat(F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), k), between)), ""), F.right(held["text"], rest))
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), k), between)), "")
 
-    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
-    return bind(F.struct(pieces.alias("pieces"), ranges.alias("ranges"), text.alias("text")), kept)
+    return bind(F.struct(F.split(text, _CUT).alias("pieces"), ranges.alias("ranges")), kept)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", text_col: str = "text", **how) -> DataFrame:
