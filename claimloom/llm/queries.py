@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.llm import (
+    centroids,
     contamination,
     exact_dedup,
     fingerprints,
@@ -127,6 +128,47 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    """Rounds of exact nearest centroids, unrolled."""
+    parts = [
+        """v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)""",
+        """c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS cluster, w AS c
+  FROM (SELECT w, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT 40)
+)""",
+    ]
+    for i in range(6):
+        parts.append(f"""a{i} AS (
+  SELECT vec_id, w, unnest(best) FROM (
+    SELECT vec_id, any_value(w) AS w, min({{'distance': d, 'cluster': cluster}}) AS best FROM (
+      SELECT vec_id, w, cluster, CAST(list_sum(list_transform(list_zip(w, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+      FROM v, c{i}
+    ) GROUP BY vec_id
+  )
+)""")
+        if i < 5:
+            parts.append(f"""m{i} AS (
+  SELECT cluster, list(t ORDER BY p) AS c FROM (
+    SELECT cluster, p, CAST(sum(w[p]) AS BIGINT) AS s, count(*) AS n,
+           (s - ((s % n) + n) % n) // n AS t
+    FROM a{i}, unnest(range(1, 65)) AS u(p) GROUP BY cluster, p
+  ) GROUP BY cluster
+),
+c{i + 1} AS (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    return "WITH " + ",\n".join(parts) + """
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a5 JOIN c5 USING (cluster)
+"""
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_jaccard_join": op2_jaccard_join,
@@ -139,9 +181,11 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
     "op11_decontamination": op11_decontamination,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
 
 ORACLES = {
     "op7_exact_dedup": _OP7,
     "op11_decontamination": _OP11,
+    "op12_centroid_clustering": _op12_sql(),
 }
