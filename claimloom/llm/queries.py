@@ -10,6 +10,7 @@ from claimloom.llm import (
     contamination,
     exact_dedup,
     fingerprints,
+    hard_negatives,
     html_text,
     jaccard_join,
     language,
@@ -169,6 +170,37 @@ FROM a5 JOIN c5 USING (cluster)
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), label=moved, anchor=F.col("vec_id") % 50 == 0)
+
+
+_OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.w, r.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v AS a, v AS r WHERE a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id AND len(a.w) = len(r.w)
+),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, other_id AS negative_id,
+       positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER best <= 3
+"""
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_jaccard_join": op2_jaccard_join,
@@ -182,10 +214,12 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_decontamination": op11_decontamination,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES = {
     "op7_exact_dedup": _OP7,
     "op11_decontamination": _OP11,
     "op12_centroid_clustering": _op12_sql(),
+    "op13_hard_negatives": _OP13,
 }

@@ -5,8 +5,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from claimloom.llm import centroids as C
+from claimloom.llm import hard_negatives as H
 
 DIRTY = [None, [], [0.5] * 3, [0.5] * 7 + [None], [0.5] * 7 + [float("nan")], [0.5] * 7 + [float("inf")], [0.5] * 9]
 SCHEMA = "vec_id long, embedding array<float>, label int, cluster string, whole int, id int, distance int"
@@ -80,3 +82,51 @@ def test_walks_stop_early_and_keep_ties():
     every = ((x[:, None] - middles[None]) ** 2).sum(2)
     assert (who == every.argmin(1)).all() and (far == every.min(1)).all()
     assert met.mean() < 30
+
+
+def plain_negatives(rows, positives=5, negatives=3):
+    held = [(i, whole(v), label) for i, v, label in rows if None not in (i, v, label) and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (anchor, x, label) in enumerate(held):
+        if anchor % 50:
+            continue
+        scored = sorted((-sum(p * q for p, q in zip(x, y)), i, other == label) for b, (i, y, other) in enumerate(held) if b != a and len(x) == len(y))
+        for s, positive, _ in [r for r in scored if r[2]][:positives]:
+            band = [r for r in scored if not r[2] and 50 * -s <= 100 * -r[0] <= 95 * -s][:negatives]
+            out += [(anchor, positive, k, i, -s, -t) for k, (t, i, _) in enumerate(band, 1)]
+    return out
+
+
+@pytest.mark.parametrize("block, groups, count", [(4096, 2, 3), (3, 1, 1), (2, 5, 2)])
+def test_negatives_against_all_pairs(spark, monkeypatch, block, groups, count):
+    monkeypatch.setattr(H, "BLOCK", block)
+    monkeypatch.setattr(H, "GROUPS", groups)
+    rows = vectors(n=200) + [(50_000, [0.0] * 8, 1), (60_000, [-3.0] * 8, 1), (-100, [], 1), (-150, [], 2)]
+    got = H.mined(frame(spark, rows), anchor=F.col("vec_id") % 50 == 0, count=count)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(plain_negatives(rows))
+
+
+def test_negatives_of_empty_tables(spark):
+    docs = frame(spark, vectors())
+    assert H.mined(docs.limit(0)).collect() == []
+    assert H.mined(docs, anchor=F.lit(False)).collect() == []
+
+
+@pytest.mark.parametrize("count", [1, 2, 4])
+def test_intervals_hold_scores_and_spare_most(count):
+    pick = np.random.default_rng(3)
+    middles = pick.normal(0, 0.3, (10, 64))
+    label = pick.integers(0, 10, 3000)
+    x = np.floor(256 * (middles[label] + pick.normal(0, 0.1, (3000, 64)))).astype(np.int64)
+    x[:20] = 0
+    x[20:40] = x[60]
+    words, facts = H.codes(x, count)
+    low, high = H.Anchors(x[:100]).intervals(slice(0, 100), words, facts)
+    true = x[:100] @ x.T
+    assert (low <= true).all() and (true <= high).all()
+    own = {"row": np.arange(3000), "id": np.arange(3000), "label": np.arange(3000) % 2, "whole": x, "words": words, "facts": facts}
+    found = H.Positives(H.Rows(own), 5)
+    found.meet(H.Rows(own))
+    if count == 4:
+        assert found.scored < found.seen / 2
