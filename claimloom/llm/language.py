@@ -7,9 +7,11 @@ a sum of looked-up entries, taken with numpy over the grams that occur.
 
 The model learns from at most `per_language` rows of each language (those with the least hash of
 their id); every document is scored, over its whole text.  The broadcast matrix has a bound that
-does not grow with the rows: languages x 65 536 numbers of four bytes.
+does not grow with the rows: languages x 65 536 numbers of four bytes, of at most `MOST_LANGUAGES`
+languages (with more, ValueError).
 
-Defined cases: a null text, or one without letters, is `und` with score 0; rows with a null language
+Defined cases: very long texts are scored whole, cut between characters into slices; rows that repeat are
+scored alike; columns of any name are kept, those named as the results are replaced; a null text, or one without letters, is `und` with score 0; rows with a null language
 or text are not learned from; a null id is not held out; with nothing to learn from every document is
 `und`; ties go to the language that sorts first; an empty table gives an empty result.
 """
@@ -26,12 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from claimloom.llm.shared import SLICE_BYTES, slices, text_bytes
+from claimloom.llm.shared import slices, text_bytes
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 2000
+#: Bytes of text whose grams are looked up at once; of longer texts, as many at a time.
+SLICE_BYTES = 1 << 19
+#: More languages than a model may have: the matrix is built in the driver and broadcast.
+MOST_LANGUAGES = 512
 _UNIT = 1024.0
 _SPREAD = np.uint32(0x9E3779B1)
 
@@ -48,39 +54,34 @@ def _letters() -> np.ndarray:
     return out
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, first bucket of each document and the count of all, whether it has a letter)."""
-    docs = len(offsets) - 1
-    if not docs:
-        return [], [], np.zeros(0, bool)
+def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points in lower case, the first of each document and the last of all): a space opens every document,
+    ends the last one, and stands for each run of what is no letter."""
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     first = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    codes = _letters()[points]
     # a space before every document and one after the last, so that no gram spans two documents' letters
-    codes = np.insert(codes, first, np.uint32(32))
-    first = first + np.arange(docs + 1)
+    codes = np.insert(_letters()[points], first, np.uint32(32))
+    first = first + np.arange(len(offsets))
     keep = (codes != 32) | np.append(True, codes[:-1] != 32)
     keep[first] = True
-    place = np.concatenate([[0], np.cumsum(keep)])
-    codes, first = codes[keep], place[first]
-    letters = np.concatenate([[0], np.cumsum(codes != 32)])[first]
-    owner = np.repeat(np.arange(docs), np.diff(first))
-    out, owners = [], []
+    return codes[keep], np.concatenate([[0], np.cumsum(keep)])[first]
+
+
+def grams(codes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Order by order: (buckets, first bucket of each document and the count of all)."""
     with np.errstate(over="ignore"):
         for n in ORDERS:
-            count = len(codes) - n + 1
-            if count <= 0:
-                continue
-            h = np.full(count, n, np.uint32)
+            h = np.full(max(len(codes) - n + 1, 0), n, np.uint32)
             for j in range(n):
-                h = (h ^ codes[j : j + count]) * _SPREAD
+                h = (h ^ codes[j : j + len(h)]) * _SPREAD
                 h ^= h >> np.uint32(15)
-            # a gram may end on the space that opens the next document, and no further
-            own = owner[:count] if count <= len(owner) else np.append(owner, docs - 1)
-            inside = np.arange(count) + n - 1 <= first[own + 1]
-            out.append((h[inside] & np.uint32(BUCKETS - 1)).astype(np.int32))
-            owners.append(own[inside])
-    return out, owners, np.diff(letters) > 0
+            h &= np.uint32(BUCKETS - 1)
+            # a gram may end on the space that opens the next document, and no further; in each document
+            # so many places begin one
+            n_own = np.maximum(first[1:] - max(n - 2, 0) - first[:-1], 0)
+            at = np.concatenate([[0], np.cumsum(n_own)])
+            inside = np.arange(at[-1]) + np.repeat(first[:-1] - at[:-1], n_own)
+            yield h[inside], at
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +112,10 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, id_col="doc_id", te
     # rows per language first: then about per_language rows of each pass a limit on their id's hash, so that
     # the exact limit behind it ranks a number of rows that does not grow with the table
     rates = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.25 * per_language + 200) / F.count(F.lit(1))).alias("rate"))
-    rates = rows.sparkSession.createDataFrame(rates.collect(), rates.schema)  # a row per language
+    found = rates.limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    rates = rows.sparkSession.createDataFrame(found, rates.schema)
     chance = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     some = known.join(F.broadcast(rates), "lang").where(chance < F.col("rate")).drop("rate")
     order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
@@ -127,7 +131,7 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, id_col="doc_id", te
                 total = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 cuts, _ = pieces(part, np.array([0, len(part)]))
                 for a, z in zip(cuts[:-1], cuts[1:]):
-                    for b in grams(part[a:z], np.array([0, z - a]))[0]:
+                    for b, _ in grams(*letters(part[a:z], np.array([0, z - a]))):
                         total += np.bincount(b, minlength=BUCKETS)
         for lang, total in totals.items():
             at = np.flatnonzero(total)
@@ -161,14 +165,13 @@ def classify(docs: DataFrame, model, text_col: str = "text", with_text: bool = T
             total = np.repeat(priors[:, None], batch.num_rows, 1)
             has = np.zeros(batch.num_rows, bool)
             cuts, owner = pieces(data, offsets)
-            for i, j in slices(cuts):
-                buckets, owners, letter = grams(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i])
-                np.logical_or.at(has, owner[i:j], letter)
-                for b, own in zip(buckets, owners):
-                    at = np.searchsorted(own, np.arange(j - i))
-                    full = np.diff(np.append(at, len(own))) > 0
+            for i, j in slices(cuts, SLICE_BYTES):
+                codes, first = letters(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i])
+                np.logical_or.at(has, owner[i:j], np.diff(np.concatenate([[0], np.cumsum(codes != 32)])[first]) > 0)
+                for b, at in grams(codes, first):
+                    full = np.diff(at) > 0
                     for k in range(len(langs) if full.any() else 0):
-                        np.add.at(total[k], owner[i:j][full], np.add.reduceat(matrix[k][b].astype(np.int64), at[full]))
+                        np.add.at(total[k], owner[i:j][full], np.add.reduceat(matrix[k][b], at[:-1][full], dtype=np.int64))
             if langs:
                 best = total.argmax(0)
                 odds = np.exp((total - total.max(0)) / _UNIT).sum(0)
