@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from claimloom.session import checkpoint_root
 
 #: Bytes of text that one numpy step looks at; longer documents are looked at alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
 _POLY = 0x9E3779B97F4A7C15 | 1

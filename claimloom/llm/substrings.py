@@ -10,21 +10,24 @@ would cost shards x corpus, so text is sent to the shards that can hold a match,
   corpus rule out all their windows.
 * Shards.  For each anchor that recurs, the piece of text that its windows span goes to a shard chosen
   by the anchor; there the pieces stream, in order of (document, start), through the shard's automaton.
-  Of equal pieces in one batch of documents only the first is sent.
-* Hot anchors (more than one in `HOT_KEYS` of all) have windows sent one by one, to a shard chosen by
-  the window's words.  By their definition there are at most `HOT_KEYS`, and only these are broadcast.
+  A shard has about `SHARD_PLACES` places of anchors, however large the corpus is.
+* Hot anchors (of `HOT_PLACES` and more) have windows sent one by one, to a shard chosen by the window's
+  words, so that no shard holds all that one anchor leads to.
+* A piece, or a window of a hot anchor, that is equal to an earlier one of the same Arrow batch of documents
+  is a repeat for sure: only its range travels, and only the first is sent.  A shard's rows are sorted before
+  they stream, and equal text adds no states, so what a task holds does not grow with the copies.
 
 Windows are judged on the input, not on what is left.
 
-Defined cases: null texts have no words; texts shorter than a window lose nothing; a null id sorts
-first; rows that repeat an id are documents of their own, ordered by text; an empty table gives an
-empty result; `stripped` keeps all other columns.
+Defined cases: null texts have no words; texts shorter than a window lose nothing; very long texts are read
+whole; a null id sorts first; rows that repeat an id are documents of their own, ordered by text; an empty
+table gives an empty result; `stripped` keeps all other columns, of any name.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm import shared as S
-from claimloom.session import cut_lineage
 
 WINDOW = 20
 GRAM = 6
-HOT_KEYS = 10_000
-#: An anchor of fewer occurrences is never hot.
-HOT_LEAST = 1_000
-#: Shards for each shuffle task; an automaton holds one shard at a time.
-SHARDS = 16
+#: An anchor of so many places and more is hot.
+HOT_PLACES = 1_000
+#: Places of anchors for each shard; an automaton holds one shard at a time.
+SHARD_PLACES = 1_500
 
 
 class SuffixAutomaton:
@@ -114,7 +115,7 @@ def anchors(hashes: np.ndarray, first: np.ndarray, window: int, gram: int) -> tu
 
 
 _FRAGMENT = "bucket int, kind int, keys binary, docs binary, places binary"
-_FLAG = "doc long, place long, key long, n long"
+_FLAG = "doc long, place long, hot boolean"
 
 
 def _find_anchors(window: int, gram: int, buckets: int):
@@ -162,22 +163,17 @@ def _dealt(kind: int, keys: np.ndarray, docs: np.ndarray, places: np.ndarray, bu
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(document, place) of anchors that recur; (key, n) of those that may be hot, with a null document."""
+    """(document, place, whether it is hot) of anchors that recur."""
 
     def met(rows: dict[int, list]) -> Iterator[pa.RecordBatch]:
         keys, docs, places = ([np.concatenate([r[x] for r in rows.get(k, [])] or [np.zeros(0, t)]) for k in (1, 2, 3)] for x, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
         every, inverse = np.unique(np.concatenate([keys[0], keys[2]]), return_inverse=True)
         n = np.bincount(inverse, np.concatenate([np.ones(len(keys[0])), places[2]])).astype(np.int64) if len(inverse) else np.zeros(0, np.int64)
-        again = n[inverse[: len(keys[0])]] > 1
-        doc = np.concatenate([docs[0][again], docs[1]])
-        place = np.concatenate([places[0][again], places[1]])
-        if len(doc):
-            none = pa.nulls(len(doc), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), none, none], ["doc", "place", "key", "n"])
-        often = n >= HOT_LEAST
-        if often.any():
-            none = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(every[often].view(np.int64)), pa.array(n[often])], ["doc", "place", "key", "n"])
+        once = n[inverse[: len(keys[0])]]
+        many = np.concatenate([once[once > 1], n[np.searchsorted(every, keys[1])]])
+        if len(many):
+            doc, place = np.concatenate([docs[0][once > 1], docs[1]]), np.concatenate([places[0][once > 1], places[1]])
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(many >= HOT_PLACES)], ["doc", "place", "hot"])
 
     bucket, rows = None, {}
     for batch in batches:
@@ -191,146 +187,124 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---- pieces and shards -----------------------------------------------------------------
 
-_PIECE = "shard long, pieces binary"
+_PIECE = "shard long, doc long, start long, windows long, piece binary"
 _RANGE = "doc long, low long, high long"
-
-
-def _cut_pieces(window: int, gram: int, shards: int, hot):
-    """Pieces of the windows whose anchors recur, packed by shard; of equal pieces in a batch of documents
-    all but the first are empty."""
+#: Rows of a batch that a task gives.
+_ROWS = 4096
+
+
+def _given(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    names, types = zip(*(f.split() for f in schema.split(", ")))
+    arrow = [pa.binary() if t == "binary" else pa.int64() for t in types]
+    while some := list(itertools.islice(rows, _ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), arrow)], list(names))
+
+
+def _cut_pieces(window: int, gram: int, shards: int):
+    """Pieces of the windows whose anchors recur, a row each; windows known to be repeats have no piece."""
+
+    def named(piece: bytes) -> bytes:
+        return hashlib.blake2b(piece, digest_size=16).digest()
+
+    def of_document(doc: int, part: np.ndarray, flagged: list, seen: set[bytes]) -> Iterator[tuple]:
+        starts, ends, first = S.words(part, np.array([0, len(part)]))
+        keys, start, place = anchors(S.word_hashes(part, starts, ends), first, window, gram)
+        # one space between words, so that white space plays no part
+        words = part.tobytes().split()
+        hot = {f["place"]: f["hot"] for f in flagged}
+        at = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else place
+        spread = doc % shards
+        for low, high in zip(at.tolist(), np.append(at[1:], len(place)).tolist()):
+            one_by_one = hot.get(int(place[low]))
+            if one_by_one is None:
+                continue
+            if not one_by_one:
+                piece = b" ".join(words[start[low] : start[high - 1] + window])
+                known = (name := b"p" + named(piece)) in seen
+                seen.add(name)
+                yield (spread if known else int(keys[place[low]]) % shards, doc, int(start[low]), high - low, None if known else piece)
+                continue
+            run = low  # windows [run, w) are known
+            for w in range(low, high):
+                piece = b" ".join(words[start[w] : start[w] + window])
+                if (name := named(piece)) not in seen:
+                    seen.add(name)
+                    if run < w:
+                        yield (spread, doc, int(start[run]), w - run, None)
+                    run = w + 1
+                    yield (int.from_bytes(name[:8], "little") % shards, doc, int(start[w]), 1, piece)
+            if run < high:
+                yield (spread, doc, int(start[run]), high - run, None)
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[tuple]:
+        ids, flags = batch.column("doc_id").to_numpy(), batch.column("places")
+        data, offsets = S.text_bytes(batch.column("text"))
+        seen: set[bytes] = set()
+        for d in np.argsort(ids, kind="stable").tolist():
+            yield from of_document(int(ids[d]), data[offsets[d] : offsets[d + 1]], flags[d].as_py(), seen)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_keys = hot.value
         for batch in batches:
-            flagged = batch.column("places").is_valid().to_numpy(zero_copy_only=False)
-            if not flagged.any():
-                continue
-            batch = batch.filter(pa.array(flagged))
-            ids, all_places = batch.column("doc_id").to_numpy(), batch.column("places").to_pylist()
-            data, offsets = S.text_bytes(batch.column("text"))
-            order = np.argsort(ids, kind="stable")
-            seen: set[tuple[int, bytes]] = set()
-            held: dict[int, list[tuple[int, int, int, bytes]]] = {}
-            for d in order.tolist():
-                part = data[offsets[d] : offsets[d + 1]]
-                starts, ends, first = S.words(part, np.array([0, len(part)]))
-                keys, start, place = anchors(S.word_hashes(part, starts, ends), first, window, gram)
-                # one space between words, so that white space plays no part
-                text = part.tobytes()
-                words = text.split()
-                at = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else place
-                wanted = np.isin(place[at], np.array(all_places[d]))
-                for low, high in zip(at[wanted].tolist(), np.append(at[1:], len(place))[wanted].tolist()):
-                    key = int(keys[place[low]])
-                    if key in hot_keys:
-                        cuts = [(w, w + 1) for w in range(low, high)]
-                    else:
-                        cuts = [(low, high)]
-                    for a, b in cuts:
-                        piece = b" ".join(words[start[a] : start[b - 1] + window])
-                        if key in hot_keys:
-                            shard = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little") % shards
-                        else:
-                            shard = key % shards
-                        same = (shard, hashlib.blake2b(piece, digest_size=16).digest())
-                        known = same in seen
-                        seen.add(same)
-                        held.setdefault(shard, []).append((int(ids[d]), int(start[a]), b - a, b"" if known else piece))
-            packed = [_packed(rows) for rows in held.values()]
-            for at in range(0, len(packed), 256):
-                columns = [pa.array(list(held)[at : at + 256], pa.int64()), pa.array(packed[at : at + 256], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "pieces"])
+            flagged = batch.column("places").is_valid()
+            if flagged.true_count:
+                yield from _given(pieces(batch.filter(flagged)), _PIECE)
 
     return cut
 
 
-def _packed(rows: list[tuple[int, int, int, bytes]]) -> bytes:
-    """(document, start, windows, piece) rows; pieces hold no line ends."""
-    *numbers, texts = zip(*rows)
-    planes = [S.pack(np.array(n, np.int64)) for n in numbers]
-    return zlib.compress(b"".join([len(rows).to_bytes(8, "little"), *planes, b"\n".join(texts)]), 1)
-
-
-def _unpacked(data: bytes) -> tuple[np.ndarray, list[bytes]]:
-    data = zlib.decompress(data)
-    n = int.from_bytes(data[:8], "little")
-    numbers = [S.unpack(data[8 + 8 * n * i : 8 + 8 * n * (i + 1)], np.int64) for i in range(3)]
-    return np.stack(numbers, 1), data[8 + 24 * n :].split(b"\n")
-
-
 def _match(window: int):
-    """Ranges of windows that occur earlier, shard by shard, pieces in order of (document, start)."""
-
-    def found(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        numbers, texts = [], []
-        for part in parts:
-            n, t = _unpacked(part)
-            numbers.append(n)
-            texts += t
-        numbers = np.concatenate(numbers)
-        automaton, out = SuffixAutomaton(), []
-        add = automaton.add
-        for k in np.lexsort((numbers[:, 1], numbers[:, 0])).tolist():
-            doc, start, windows = numbers[k].tolist()
-            if not texts[k]:  # equal to an earlier piece of its batch
-                out.append((doc, start, start + windows))
-                continue
-            automaton.restart()
-            low = None
-            for i, word in enumerate(texts[k].split(b" "), start - window + 1):
-                if add(word) >= window:
-                    low = i if low is None else low
-                elif low is not None:
-                    out.append((doc, low, i))
-                    low = None
-            if low is not None:
-                out.append((doc, low, start + windows))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc", "low", "high"])
+    """Ranges of windows that occur earlier; rows come shard by shard, in order of (document, start)."""
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, parts = None, []
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        shard, automaton = None, SuffixAutomaton()
         for batch in batches:
-            for s, part in zip(*(c.to_pylist() for c in batch.columns)):
-                if s != shard:
-                    if parts:
-                        yield from found(parts)
-                    shard, parts = s, []
-                parts.append(part)
-        if parts:
-            yield from found(parts)
+            for own, doc, start, windows, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                if piece is None:
+                    yield doc, start, start + windows
+                    continue
+                if own != shard:
+                    shard, automaton = own, SuffixAutomaton()
+                automaton.restart()
+                add, low = automaton.add, None
+                for i, word in enumerate(piece.split(b" "), start - window + 1):
+                    if add(word) >= window:
+                        low = i if low is None else low
+                    elif low is not None:
+                        yield doc, low, i
+                        low = None
+                if low is not None:
+                    yield doc, low, start + windows
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _given(ranges(batches), _RANGE)
 
     return match
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with `__key`, a whole number in order of the id: the id itself where it serves."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """docs with `key`, a whole number in order of the id: the id itself where it serves."""
     twice = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
     if twice.isEmpty():
-        return docs.withColumn("__key", F.col(id_col).cast("long"))
+        return docs.withColumn(key, F.col(id_col).cast("long"))
     ranged = docs.repartitionByRange(S.tasks(docs.sparkSession), F.col(id_col).asc_nulls_first())
     ordered = ranged.sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
-    return S.written(ordered.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    return S.written(ordered.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
-def repeats(keyed: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """(doc, ranges): per document with repeats, the ranges [low, high) of windows that occur earlier."""
+def repeats(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc, ranges): per document of keyed (doc_id, text and others) with repeats, the ranges [low, high) of
+    windows that occur earlier."""
     spark = keyed.sparkSession
     buckets = S.tasks(spark)
-    texts = keyed.select(F.col("__key").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = texts.mapInArrow(_find_anchors(window, gram, buckets), _FRAGMENT)
+    parts = keyed.select("doc_id", "text").mapInArrow(_find_anchors(window, gram, buckets), _FRAGMENT)
     met = parts.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_recurring, _FLAG)
-    met = S.written(met, "anchors")
-    flags = met.where("doc is not null")
-    often = met.where("doc is null")
-    total = flags.count()
-    # more than a share of 1 / hot_keys each, so at most hot_keys of them
-    hot = {r["key"] & (1 << 64) - 1 for r in often.where(F.col("n") > total / hot_keys).select("key").collect()}
-    shared_hot = spark.sparkContext.broadcast(hot)
-    places = flags.groupBy("doc").agg(F.collect_list("place").alias("places"))  # of one document
-    asked = texts.join(places, texts["doc_id"] == places["doc"], "left").select("doc_id", "text", "places")
-    pieces = asked.mapInArrow(_cut_pieces(window, gram, buckets * SHARDS, shared_hot), _PIECE)
-    dealt = pieces.repartition(buckets * 2, "shard").sortWithinPartitions("shard")
+    flags = S.written(met, "anchors")
+    shards = max(1, -(-flags.count() // SHARD_PLACES))
+    places = flags.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("place", "hot")).alias("places"))  # of one document
+    # all columns go along: the text is then dealt by document once, for this join and that of the ranges
+    asked = keyed.join(places, keyed["doc_id"] == places["of"], "left")
+    pieces = asked.mapInArrow(_cut_pieces(window, gram, shards), _PIECE)
+    dealt = pieces.repartition(buckets * 2, "shard").sortWithinPartitions("shard", "doc", "start")
     found = dealt.mapInArrow(_match(window), _RANGE)
     return found.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
@@ -346,44 +320,42 @@ def _kept(text: str | None, ranges, window: int) -> tuple[int, int, str]:
     return len(words), int(covered.sum()), b" ".join(w for w, c in zip(words, covered.tolist()) if not c).decode("utf-8")
 
 
-def _with_ranges(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
-    keyed = _keyed(docs, id_col, text_col)
-    found = repeats(keyed, text_col, **how)
-    found = found.withColumnsRenamed({"doc": "__doc", "ranges": "__ranges"})
-    return keyed.join(found, keyed["__key"] == found["__doc"], "left").drop("__doc", "__key")
-
-
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **how) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_kept(t.as_py(), r, window) for t, r in zip(batch.column("text"), batch.column("__ranges").to_pylist())]
+            rows = [_kept(t.as_py(), r, window) for t, r in zip(batch.column("text"), batch.column("ranges").to_pylist())]
             n, gone, kept = zip(*rows) if rows else ([], [], [])
             sha = [hashlib.sha256(k.encode("utf-8")).hexdigest() for k in kept]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())],
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    rows = _with_ranges(slim, "doc_id", "text", window=window, **how).select("doc_id", "text", "__ranges")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    keyed = _keyed(slim, "id", "text", "doc_id").select("doc_id", "id", "text")
+    found = repeats(keyed, window, **how)
+    rows = keyed.join(found, keyed["doc_id"] == found["doc"], "left").select("id", "text", "ranges")
     return rows.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def stripped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **how) -> DataFrame:
     """docs with repeats removed from their texts; texts without repeats stay as they are."""
     names = docs.columns
+    key, of, ranges = S.free(docs, "key", "of", "ranges")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = [
                 t.as_py() if r is None else _kept(t.as_py(), r, window)[2]
-                for t, r in zip(batch.column(text_col), batch.column("__ranges").to_pylist())
+                for t, r in zip(batch.column(text_col), batch.column(ranges).to_pylist())
             ]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(new, pa.string()) if c == text_col else batch.column(c) for c in names], names
             )
 
-    rows = _with_ranges(docs, id_col, text_col, window=window, **how)
-    return rows.select(*names, "__ranges").mapInArrow(apply, docs.schema)
+    keyed = _keyed(docs, id_col, text_col, key)
+    texts = keyed.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text"))
+    found = repeats(texts, window, **how).withColumnsRenamed({"doc": of, "ranges": ranges})
+    return keyed.join(found, keyed[key] == found[of], "left").select(*names, ranges).mapInArrow(apply, docs.schema)

@@ -101,14 +101,30 @@ def test_shingles_of_bytes():
     assert [len(s) for s in got] == [len(brute.shingles(t, 3)) for t in raw]
 
 
-@pytest.mark.parametrize("how", [{}, {"hot_keys": 1}])
-def test_digests_against_all_windows(spark, how, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_LEAST", 2)  # the large share of one anchor then makes it hot
-    got = substrings.digests(frame(spark, PAIRS), window=10, gram=4, **how)
+@pytest.mark.parametrize("hot, places", [(1000, 1500), (2, 1500), (5, 7)])
+def test_digests_against_all_windows(spark, hot, places, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_PLACES", hot)
+    monkeypatch.setattr(substrings, "SHARD_PLACES", places)
+    got = substrings.digests(frame(spark, PAIRS), window=10, gram=4)
     want = [(i, n, gone, brute.sha(kept)) for i, n, gone, kept in brute.stripped(PAIRS, 10)]
     assert listed(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=str)
 
 
+def test_pieces_do_not_grow_with_partitions(spark):
+    """A row per piece, however many shards and tasks there are."""
+    import pyarrow as pa
+
+    rng = __import__("random").Random(1)
+    passage = " ".join(f"w{rng.randrange(50)}" for _ in range(40))
+    texts_ = [f"a{i} {passage} b{i}" for i in range(50)]
+    places = [[{"place": p, "hot": hot} for p in range(60)] for hot in (True, False) for _ in range(25)]
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": list(range(50)), "text": texts_, "places": pa.array(places, pa.list_(pa.struct([("place", pa.int64()), ("hot", pa.bool_())])))}
+    )
+    rows = [sum(b.num_rows for b in substrings._cut_pieces(20, 6, shards)(iter([batch]))) for shards in (8, 64, 4096)]
+    assert rows[0] == rows[1] == rows[2] < 50 * 40
+
+
 def test_stripped_texts(spark):
     docs = frame(spark, texts())
     got = substrings.stripped(docs)
