@@ -34,12 +34,14 @@ def verify(
     sources: DataFrame,
     origin_key: str = "item",
     materialize: bool = True,
+    tokens: DataFrame | None = None,
 ) -> Verification:
     """submissions(submission_id, text, ...) against documents(doc_id, body, title, source, url,
     canonical_url, published_at, created_at) and sources(source, source_name, source_type,
     is_primary).
 
-    The corpus is read twice: for tokens, and for the documents chosen.  With materialize=True the
+    The corpus is read twice: for tokens, and for the documents chosen; with `tokens` (doc_id, tokens), as a
+    kept index has them, the first reading and the cutting into tokens fall away.  With materialize=True the
     claims, the chosen pairs and the chosen documents, all read several times, are checkpointed once to
     the shared folder.
     """
@@ -47,7 +49,7 @@ def verify(
     claims = C.claim_queries(C.extract_claims(spoken))
     if materialize:
         claims = cut_lineage(claims)
-    tokened = X.with_tokens(documents.select("doc_id", "body"), "body", "tokens").drop("body")
+    tokened = X.with_tokens(documents.select("doc_id", "body"), "body", "tokens").drop("body") if tokens is None else tokens
     candidates = R.documents_to_read(
         R.relevance(claims, tokened, V.CANDIDATE_MIN_SCORE).withColumn("provider_no", F.lit(0))
     ).drop("provider_no")
