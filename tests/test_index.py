@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from claimloom.operators import declared as D
+from claimloom.operators import vector_index as VI
 from claimloom.operators.corpus_index import CorpusIndex, build
 from claimloom.session import run_folder
 
@@ -120,3 +122,41 @@ def test_faults_and_empty_index(spark):
             index.add(frame(spark, rows))
     index.add(frame(spark, []))
     assert index.count() == 0 and index.keyword_leg(queries).collect() == []
+
+
+# ---- vectors ---------------------------------------------------------------------------
+
+
+def vectors(n=1500, dims=16, seed=2):
+    pick = np.random.default_rng(seed)
+    middles = pick.normal(0, 1, (12, dims))
+    rows = [(i, (middles[i % 12 if i % 3 else 0] + pick.normal(0, 0.05, dims)).tolist()) for i in range(n)]
+    rows += [(10_000 + i, rows[7][1]) for i in range(30)]  # ties
+    rows += [(20_000, None), (20_001, [0.0] * dims), (20_002, [1.0] * 3), (20_003, [float("nan")] * dims), (None, rows[5][1])]
+    return rows
+
+
+@pytest.mark.parametrize("block, part, k", [(2048, 16_384, 10), (3, 50, 10), (2048, 16_384, 700)])
+def test_cells_find_what_all_rows_give(spark, monkeypatch, block, part, k):
+    monkeypatch.setattr(VI, "BLOCK", block)
+    monkeypatch.setattr(VI, "PART", part)
+    rows = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = asked.unionByName(spark.createDataFrame([(-1, [0.0] * 16), (-2, [1.0, -1.0] * 8), (-3, None)], "query_id long, embedding array<double>"))
+    index = VI.VectorIndex(spark, run_folder(spark, "vx")).build(rows.where("vec_id < 1000"))
+    index.add(rows.where("vec_id >= 1000 OR vec_id IS NULL"), number=1)
+    seen: dict = {}
+    fine = rows.where("vec_id IS NOT NULL AND vec_id <> 20003")
+    got = index.topk(asked, k, trace=seen).where("vec_id IS NOT NULL")
+    want = D.vector_topk(asked, fine.unionByName(rows.where("vec_id IS NULL").withColumn("vec_id", F.lit(1 << 60))), k)
+    columns = ["query_id", "vec_id", "similarity", "rank"]
+    assert same(got.select(columns), want.where(F.col("vec_id") < 1 << 60).select(columns), 8)
+    if k == 10:
+        assert seen["scored"] < 0.5 * seen["pairs"] and seen["rounds"] >= 1
+
+
+def test_vector_index_of_nothing(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    index = VI.VectorIndex(spark, run_folder(spark, "vx")).build(none, dims=4)
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "query_id long, embedding array<double>")
+    assert index.topk(asked).collect() == []

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimloom.operators.corpus_index import CorpusIndex, build
+from claimloom.operators.vector_index import VectorIndex
 from claimloom.plans.verify import verify
 from claimloom.session import run_folder
 from workload import corpus, logs
@@ -61,8 +62,19 @@ def claim_verdicts_indexed(spark, sf):
     )
 
 
+def vector_topk_indexed(spark, sf):
+    """The ten nearest vectors of every vector whose id is divisible by 50, through cells filled in two additions."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    late = F.pmod(F.xxhash64("vec_id"), F.lit(10)) == 0
+    index = VectorIndex(spark, run_folder(spark, "vectors")).build(vectors.where(~late))
+    index.add(vectors.where(late), number=1)
+    asked = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return index.topk(asked).withColumn("similarity", F.round("similarity", 6))
+
+
 QUERIES = {f.__name__: f for f in (
     corpus_index_terms, corpus_index_postings, keyword_leg_indexed, token_search_indexed, claim_verdicts_indexed,
+    vector_topk_indexed,
 )}
 
 _TERMS = f"SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM documents"
@@ -74,5 +86,9 @@ ORACLES = {
     "keyword_leg_indexed": logs.ORACLES["keyword_leg"],
     "token_search_indexed": f"""WITH {logs._TF} SELECT doc_id, round(sum(floor(tf * idf * 1e6 + 0.5)::BIGINT)::DOUBLE / 1e6, 4) AS score
       FROM tf JOIN idf USING (term) WHERE term IN ('the', 'and') GROUP BY doc_id HAVING count(*) = 2""",
+    "vector_topk_indexed": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+      SELECT q.vec_id AS query_id, v.vec_id, round(round(list_cosine_similarity(v.v, q.v), 9), 6) AS similarity,
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.v, q.v), 9) DESC, v.vec_id) AS rank
+      FROM v q, v WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10""",
     "claim_verdicts_indexed": corpus.ORACLES["claim_verdicts_flagship"],
 }
