@@ -55,6 +55,16 @@ def verify(
     ).drop("provider_no")
     if materialize:
         candidates = cut_lineage(candidates)
+    evidence, scores = judge(claims, candidates, documents, sources, origin_key, materialize)
+    runs = submissions.select(F.col("submission_id").alias("verification_id"), F.lit(False).alias("degraded"))
+    overall = S.score_overall(scores.withColumnRenamed("submission_id", "verification_id"), runs)
+    return Verification(claims, candidates, evidence, scores, overall)
+
+
+def judge(
+    claims: DataFrame, candidates: DataFrame, documents: DataFrame, sources: DataFrame, origin_key: str = "item", materialize: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(evidence, claim scores) of claims on the documents chosen for them, candidates(claim_id, doc_id, score)."""
     chosen = documents.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = chosen.withColumn("content_hash", X.body_hash(F.col("body")))
     if materialize:
@@ -74,6 +84,4 @@ def verify(
         signals,
         origin_key=origin_key,
     )
-    runs = submissions.select(F.col("submission_id").alias("verification_id"), F.lit(False).alias("degraded"))
-    overall = S.score_overall(scores.withColumnRenamed("submission_id", "verification_id"), runs)
-    return Verification(claims, candidates, evidence, scores, overall)
+    return evidence, scores

@@ -15,8 +15,9 @@ from claimloom.operators import media as M
 from claimloom.operators import report as P
 from claimloom.operators import retrieve as R
 from claimloom.operators.skew import salted_join
+from claimloom.plans.verify import judge
 from claimloom.sources import files, registry
-from claimloom.streaming import incremental
+from claimloom.streaming import incremental, standing
 from claimloom.streaming import logs as L
 
 
@@ -230,6 +231,37 @@ def test_submissions_are_verified_as_they_arrive(spark, tmp_path):
     assert [v["verdict"] for v in verdicts] == ["PARTLY_TRUE"]
 
 
+def test_standing_claims_end_as_one_run_over_all(spark, tmp_path):
+    docs = _docs(spark).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "body", F.lit("src").alias("source"), F.lit(None).cast("string").alias("title"),
+        F.concat(F.lit("u"), "doc_id").alias("url"), F.lit(None).cast("string").alias("canonical_url"),
+        F.lit(None).cast("timestamp").alias("published_at"), F.lit(None).cast("timestamp").alias("created_at"),
+    )
+    src = spark.createDataFrame([("src", "Src", "NEWS_AGENCY", False)], "source string, source_name string, source_type string, is_primary boolean")
+    claims = _claims(spark)
+    waiting = standing.StandingClaims(spark, str(tmp_path / "claims"), src)
+    waiting.register(claims, docs)
+    for part in range(3):
+        docs.where(F.col("doc_id") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    waiting.start(arriving, str(tmp_path / "ck")).awaitTermination()
+    tokened = X.with_tokens(docs.select("doc_id", "body"), "body", "tokens").drop("body")
+    best = R.documents_to_read(R.relevance(claims, tokened, 0.12).withColumn("provider_no", F.lit(0))).drop("provider_no")
+    want = judge(claims, best, docs, src)[1]
+    assert rows(waiting.latest().select(want.columns)) == rows(want)
+    # a claim that no document touches keeps its first revision, and its shelf row is not asked for
+    revisions = {r["claim_id"]: r["n"] for r in waiting.revisions().groupBy("claim_id").agg(F.max("revision").alias("n")).collect()}
+    assert revisions["2#0"] == 1 and revisions["0#0"] > 1
+    one = tokened.where("doc_id = 5")
+    assert {r["claim_id"] for r in waiting.touched(one).collect()} == {"1#0"}
+    # a batch that is run again leaves one copy
+    before = rows(waiting.revisions())
+    last = max(r["epoch"] for r in waiting.revisions().select("epoch").distinct().collect())
+    again = spark.read.parquet(str(tmp_path / "claims/documents")).where(F.col("epoch") == last).select(docs.columns)
+    waiting.meet(again, last)
+    assert rows(waiting.revisions()) == before
+
+
 def test_vector_topk_is_exact_in_any_width(spark):
     import numpy as np
 

@@ -1,6 +1,6 @@
-"""Registered queries over the kept corpus index.
+"""Registered queries over what is kept: the corpus index, vector cells, standing claims.
 
-The index is built once for each session and table folder: four fifths of the documents, then other texts
+The corpus index is built once for each session and table folder: four fifths of the documents, then other texts
 for a tenth of these, then that tenth as it is with all that was missing.  What the queries return is
 therefore that of the whole table, read through three generations with replaced documents.
 """
@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimloom.operators import claims as C
+from claimloom.operators import intake as I
 from claimloom.operators.corpus_index import CorpusIndex, build
 from claimloom.operators.vector_index import VectorIndex
 from claimloom.plans.verify import verify
 from claimloom.session import run_folder
+from claimloom.streaming.standing import StandingClaims
 from workload import corpus, logs
 from workload.base import TOKEN, table
 
@@ -51,15 +54,33 @@ def token_search_indexed(spark, sf):
     return _index(spark, sf).search(["THE", "and"]).withColumn("score", F.round("score", 4))
 
 
+def _verdicts(scores):
+    return scores.select(
+        "claim_id", "claim_text", "verdict", "decision_rule", "independent_origins", "evidence_count", "confidence_band",
+        *[F.round(c, 6).alias(c) for c in ("support_score", "contradiction_score", "confidence_score")],
+    )
+
+
 def claim_verdicts_indexed(spark, sf):
     """The flagship with the tokens of the index."""
     found = verify(
         corpus.submissions(spark, sf), corpus.documents(spark, sf), corpus.sources(spark, sf), tokens=_index(spark, sf).tokens()
-    ).claim_scores
-    return found.select(
-        "claim_id", "claim_text", "verdict", "decision_rule", "independent_origins", "evidence_count", "confidence_band",
-        *[F.round(c, 6).alias(c) for c in ("support_score", "contradiction_score", "confidence_score")],
     )
+    return _verdicts(found.claim_scores)
+
+
+def standing_claims(spark, sf):
+    """The claims of the flagship wait, the documents arrive in three micro-batches."""
+    docs = corpus.documents(spark, sf)
+    spoken = I.texts_by_origin(I.with_language(corpus.submissions(spark, sf)))
+    waiting = StandingClaims(spark, run_folder(spark, "standing"), corpus.sources(spark, sf))
+    waiting.register(C.claim_queries(C.extract_claims(spoken)), docs)
+    landed = run_folder(spark, "landed")
+    for part in range(3):
+        docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(landed)
+    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    waiting.start(arriving, run_folder(spark, "standing-offsets")).awaitTermination()
+    return _verdicts(waiting.latest())
 
 
 def vector_topk_indexed(spark, sf):
@@ -74,7 +95,7 @@ def vector_topk_indexed(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     corpus_index_terms, corpus_index_postings, keyword_leg_indexed, token_search_indexed, claim_verdicts_indexed,
-    vector_topk_indexed,
+    vector_topk_indexed, standing_claims,
 )}
 
 _TERMS = f"SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM documents"
@@ -91,4 +112,5 @@ ORACLES = {
         row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.v, q.v), 9) DESC, v.vec_id) AS rank
       FROM v q, v WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10""",
     "claim_verdicts_indexed": corpus.ORACLES["claim_verdicts_flagship"],
+    "standing_claims": corpus.ORACLES["claim_verdicts_flagship"],
 }
