@@ -12,7 +12,9 @@ from claimloom.operators import corpus as K
 from claimloom.operators import declared as D
 from claimloom.operators import media as M
 from claimloom.operators import report as P
+from claimloom.session import cut_lineage, run_folder
 from claimloom.streaming import logs as L
+from claimloom.streaming import machines
 from workload import scoring as W
 from workload.base import quoted, table
 from workload.corpus import CLAIMS, SOURCES, claims as benchmark_claims, documents, sources, tokened
@@ -95,6 +97,47 @@ def job_dedup(spark, sf):
     return L.first_deliveries(_redelivered(spark, sf)).select("job_id", "event_id", "event_type")
 
 
+def _streamed(rows: DataFrame, key: str, machine) -> DataFrame:
+    """What a state machine emits for rows(ts, event_id, ...) that land in three files whose times overlap, and one
+    row far in the future that lets the watermark pass all others."""
+    spark, home = rows.sparkSession, run_folder(rows.sparkSession, "landed")
+    rows = cut_lineage(rows)
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    for part in range(3):
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(home)
+    clock = rows.limit(1).withColumns({key: F.lit("clock"), "ts": F.lit(last).cast("timestamp") + F.expr("INTERVAL 90 DAYS")})
+    clock.coalesce(1).write.mode("append").parquet(home)
+    late = f"{int((last - first).total_seconds()) + 3600} seconds"  # a file may hold any time of all
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(home)
+    return L.run_available(machine(stream, late=late), "append").drop("epoch").where(F.col(key) != "clock")
+
+
+def job_dedup_stream(spark, sf):
+    """First deliveries by the state machine, over a stream of the same deliveries."""
+    return _streamed(_redelivered(spark, sf), "job_id", machines.deliveries).select("job_id", "event_id", "event_type")
+
+
+def lease_expiries_stream(spark, sf):
+    log = table(spark, sf, "events").select(
+        F.concat_ws("-", F.col("user_id"), _k()).alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+        _mapped("event_type", _QUEUE).alias("event"), (_k() % 3 + 1).cast("int").alias("attempt"), F.lit(V.JOB_TTL_SECONDS).alias("lease_seconds"),
+    )
+    return _stamp(_streamed(log, "job_id", machines.lease_expiries), "reserved_at", "lease_expires_at")
+
+
+def stage_state_stream(spark, sf):
+    """The last change of each run."""
+    log = _stage_log(spark, sf).join(_stage_runs(spark, sf), "verification_id").drop("user_id")
+
+    def changes(stream, late):
+        return machines.stage_changes(stream, late=late, idle_seconds=400 * 86_400)
+
+    last = _streamed(log, "verification_id", changes).groupBy("verification_id").agg(
+        F.max_by(F.struct("status", "degradation_reasons", "degraded"), "change").alias("s")
+    )
+    return last.select("verification_id", "s.*", (F.col("s.status") != "COMPLETED").alias("verdict_is_null"))
+
+
 def _failures(spark, sf) -> DataFrame:
     e = table(spark, sf, "events").where(F.col("event_type") == "error")
     return e.select("event_id", F.col("user_id").alias("job_id"), (_k() % 4 + 1).alias("attempt"), (F.col("user_id") % 4 != 0).alias("retryable"))
@@ -436,7 +479,7 @@ QUERIES = {f.__name__: f for f in (
     revision_numbers, verdict_changes, label_distribution, report_counters, evidence_listing, unresolved_claims,
     top_publishers, public_id_check, url_audit, url_audit_summary, media_signature, media_signals, keyword_leg,
     vector_topk, rrf_merge, simhash_neardup, phash_near, trigram_titles, stale_media, penalty_producer,
-    sources_checked, calibration_matrix, token_search,
+    sources_checked, calibration_matrix, token_search, job_dedup_stream, lease_expiries_stream, stage_state_stream,
 )}
 
 _FP = "substr(sha256('{salt}:'||{who}), 1, 32)"
@@ -611,3 +654,9 @@ def _sources_checked_sql() -> str:
 
 
 ORACLES["sources_checked"] = _sources_checked_sql()
+ORACLES["job_dedup_stream"] = ORACLES["job_dedup"]
+ORACLES["stage_state_stream"] = ORACLES["stage_state"]
+ORACLES["lease_expiries_stream"] = f"""WITH l AS (SELECT user_id||'-'||{_SQL_K} AS job_id, ts, event_id, {_sql_mapped(_QUEUE)} AS ev, {_SQL_K} % 3 + 1 AS attempt FROM events),
+  n AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS next_ts FROM l WHERE ev IN ('reserve', 'complete', 'fail'))
+  SELECT job_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS reserved_at, strftime(ts + INTERVAL 900 SECOND, '%Y-%m-%d %H:%M:%S') AS lease_expires_at, (attempt + 1)::INT AS next_attempt
+  FROM n WHERE ev = 'reserve' AND (next_ts IS NULL OR next_ts > ts + INTERVAL 900 SECOND)"""
