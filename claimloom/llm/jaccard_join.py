@@ -13,6 +13,10 @@
   a passage which very many documents share does not chain them together; sets with little else have
   cells of all their shingles too.  Any choice of common shingles gives the same links.  Documents that
   share cells form a region (connected components over distinct links to a cell's smallest id).
+* A region of more than `LOOSE` shingles is parted again, as passages of middling frequency may have chained
+  it: of each document the shingles that fewest documents of the region hold, as many as it can lack in a
+  partner and one more, are its cells (two linked sets share one of these, in whatever order shingles are
+  ranked).  A document with that many shingles of its own has no partner.
 * Within a region, pivots make Voronoi cells by true distances; a document is copied to every other
   cell whose pivot is at most twice the threshold farther than its own (triangle inequality), and
   cells are joined recursively until they are small or no longer shrink, then pair by pair.  Pairs
@@ -21,7 +25,7 @@
   rounds, until each document outside its largest component has been a pivot.
 
 Defined cases: null or blank texts have empty sets and no links; texts of fewer words than a shingle
-are one shingle; rows that repeat an id are one node and come back one by one; rows with a null id
+are one shingle; very long texts are read whole; rows that repeat an id are one node and come back one by one; rows with a null id
 come back with a null component and no links; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -43,6 +47,8 @@ from claimloom.session import cut_lineage
 
 #: Shingles of a region that one task takes; larger regions are compared in blocks.
 REGION_SHINGLES = 6_000_000
+#: Shingles of a region that is parted again by its rarest ones.
+LOOSE = 500_000
 #: Pivots of a block.
 BLOCK = 512
 #: Shingles that count as common, and in how many documents of a batch one has to occur.
@@ -384,6 +390,50 @@ def _by_region(members: DataFrame, texts: DataFrame, words: int, num: int, den:
     return dealt.mapInArrow(_compare(words, num, den), "a long, b long")
 
 
+def _shingles_of(words: int):
+    """(doc, shingle) rows."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = S.text_bytes(batch.column("text"))
+            ids = batch.column("doc").to_numpy()
+            for i, j in S.slices(offsets):
+                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                docs = np.repeat(ids[i:j], [len(s) for s in sets])
+                if len(docs):
+                    every = np.concatenate(sets).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(every)], ["doc", "shingle"])
+
+    return spread
+
+
+def _parted_again(members: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """members (region, doc, n) of large regions in regions of rarest shingles; those without any are left out."""
+    # an id of several texts is one node: all that its texts share with others are its cells
+    nodes = cut_lineage(members.groupBy("region", "doc").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("texts")))
+    rows = texts.join(nodes, texts["doc_id"] == nodes["doc"]).select("doc", "text")
+    spread = rows.mapInArrow(_shingles_of(words), "doc long, shingle long")
+    tokens = S.written(spread.join(nodes.select("doc", "region"), "doc"), "shingles")
+    often = dealt_anew(tokens.groupBy("region", "shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shingle")
+    shared = S.written(tokens.join(often, ["region", "shingle"]), "shared")
+    # a linked partner lacks at most n - ceil(num n / den) of n shingles; one's own are lacked by all
+    held = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("shared")).join(nodes, "doc")
+    needs = F.col("shared") - F.ceil(F.col("n") * num / F.lit(den)) + 1
+    needs = held.select("doc", F.when(F.col("texts") > 1, F.col("shared")).otherwise(needs).alias("needs")).where("needs > 0")
+    rank = F.row_number().over(W.partitionBy("doc").orderBy("df", "shingle"))  # of one document's shingles
+    keys = S.written(shared.join(needs, "doc").withColumn("rank", rank).where("rank <= needs").select("region", "shingle", "doc"), "rarest")
+    first = dealt_anew(keys.groupBy("region", "shingle").agg(F.min("doc").alias("first")), "shingle")
+    edges = keys.join(first, ["region", "shingle"]).select(F.col("doc").alias("a"), F.col("first").alias("b"))
+    labels = components(edges)
+    return members.select("doc", "n").join(labels, F.col("doc") == labels["node"]).select(F.col("component").alias("region"), "doc", "n")
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """members with the shingles and documents of their regions, where there are two documents or more."""
+    sizes = members.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    return cut_lineage(members.join(dealt_anew(sizes, "region"), "region"))
+
+
 def links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
           region_shingles: int = REGION_SHINGLES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, edges): (doc, rep, n) per row with an id, rep the smallest id with the same set; edges
@@ -401,9 +451,11 @@ def links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col
         F.col("component").alias("region"), "doc", "n"
     )
     members = cut_lineage(members)
-    sizes = members.groupBy("region").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    sizes = dealt_anew(sizes, "region")
-    sized = cut_lineage(members.join(sizes, "region"))
+    sized = _sized(members)
+    loose = sized.where(F.col("total") > min(LOOSE, region_shingles))
+    if not loose.isEmpty():
+        again = _sized(_parted_again(loose.select("region", "doc", "n"), texts, words, num, den))
+        sized = sized.where(F.col("total") <= min(LOOSE, region_shingles)).unionByName(again)
     small = sized.where(F.col("total") <= region_shingles).select("region", F.lit(0).alias("block"), F.lit(1).alias("role"), "doc")
     edges = cut_lineage(_by_region(small, texts, words, num, den))
     large = sized.where(F.col("total") > region_shingles).select(

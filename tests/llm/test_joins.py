@@ -19,6 +19,25 @@ def test_linked_against_all_pairs(spark, how):
     assert listed(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(PAIRS, 3, 70, 100), key=str)
 
 
+def test_passages_of_middling_frequency_do_not_chain(spark, monkeypatch):
+    """Documents that share a passage with others, and copies among them: parted by rarest shingles, nothing is lost."""
+    import random
+
+    pick = random.Random(6)
+    passages = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(8)]
+    pairs = []
+    for i in range(120):
+        own = [f"u{i}y{j}" for j in range(40)] if i % 4 else pairs[pick.randrange(len(pairs))][1].split() if pairs else ["a"]
+        if i % 4:
+            own[pick.randrange(40)] += " " + passages[i % 8] + " " + passages[pick.randrange(8)]
+        else:
+            own[pick.randrange(len(own))] = f"changed{i}"
+        pairs.append((i, " ".join(own)))
+    monkeypatch.setattr(jaccard_join, "LOOSE", 100)
+    got = jaccard_join.linked(frame(spark, pairs), words=3, num=80, den=100)
+    assert listed(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(pairs, 3, 80, 100), key=str)
+
+
 def test_one_of_each_keeps_columns(spark):
     docs = frame(spark, texts())
     kept = jaccard_join.one_of_each(docs)
