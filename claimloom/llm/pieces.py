@@ -7,9 +7,11 @@ dropout rate, else its two parts are joined and their new neighbours become cand
 of 0 this is the model's own segmentation.
 
 Every occurrence of a word has draws of its own.  Only what no draw decides is remembered: the
-candidates that come up in a word without a skip, and those that come up after given skips (a tree, as
-skips lead to other candidates).  The draws of many occurrences are then made at once over these lists;
-an occurrence with a skip that is not in the tree yet, and every long word, is worked out on its own.
+candidates that come up in a word without a skip, in their order.  The draws of many occurrences are made
+at once over these lists; those without a skip have the remembered ids.  For the others, and for words that are
+not remembered yet, the agenda is processed for many words at a time in numpy: a row per word with a
+rank for each pair of neighbours, of which every step takes the best of each row.  Very long words are
+worked out one by one with a heap.
 
 Characters without a piece become bytes, so decoding gives back every text.
 
@@ -41,14 +43,21 @@ MARK = "▁"
 _OWN_MARK = "\ud800"
 DROPOUT = 0.1
 SEED = 1
-#: Lists of candidates that a worker remembers, over all its tasks; when there are more, it begins anew.
-REMEMBERED = 400_000
+#: Words that a worker remembers, over all its tasks; when there are more, it begins anew.
+REMEMBERED = 600_000
+#: Characters up to which words share a table of rows; the last is `SHORT`.
+_WIDTHS = (4, 6, 8, 12, 16, 24, 32, 48)
+#: Numbers from here on stand for pieces of several characters, those below for characters.
+_PIECE = 0x110000
 #: Characters of a word whose agenda is a list; longer ones take a heap, and are not remembered.
 SHORT = 48
 #: Words whose draws are made at once.
 _SLICE = 1 << 16
 _MASK = (1 << 64) - 1
 _NONE = 1 << 62
+#: Rows of a table, and the rank of what is no candidate.
+_ROWS = 1 << 14
+_NO = np.int32(np.iinfo(np.int32).max)
 _WORD = re.compile("▁*[^▁]+|▁+")
 
 
@@ -81,6 +90,17 @@ def _draw(key: int, code: int) -> int:
     return (h ^ h >> 31) >> 32
 
 
+def _laid(kinds: list[bytes], which: np.ndarray, row: np.ndarray, rows: int) -> list[bytes]:
+    """Kinds of bytes end to end, cut by row."""
+    many = np.array([len(k) for k in kinds], np.int64)
+    table, start = np.frombuffer(b"".join(kinds), np.uint8), np.cumsum(many) - many
+    n = many[which]
+    ends = np.cumsum(n)
+    data = table[np.repeat(start[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+    cuts = np.concatenate([[0], ends])[np.searchsorted(row, np.arange(rows + 1))].tolist()
+    return [data[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
+
+
 class Model:
     """Pieces, scores and byte pieces of a model file."""
 
@@ -105,9 +125,123 @@ class Model:
             self.raw[i] = names[i].replace(MARK, " ").encode()
         for value, i in self.bytes.items():
             self.raw[i] = bytes([value])
+        self._pairs(names, plain)
         # no piece has a mark after another character, so no merge crosses a word's start
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
 
+    def _pairs(self, names: list[str], plain: list[int]) -> None:
+        """Which pairs of parts make which piece: keys (left << 32 | right), sorted, with rank and piece of each."""
+        number = {names[i]: ord(names[i]) if len(names[i]) == 1 else _PIECE + i for i in plain}
+        order = {rank: k for k, rank in enumerate(sorted(self.ranks.values()))}
+        rows = []
+        for piece, rank in self.ranks.items():
+            for cut in range(1, len(piece)):
+                a, b = piece[:cut], piece[cut:]
+                if (len(a) == 1 or a in number) and (len(b) == 1 or b in number):
+                    left, right = ord(a) if len(a) == 1 else number[a], ord(b) if len(b) == 1 else number[b]
+                    rows.append((left << 32 | right, order[rank], self.ids[piece]))
+        rows.sort()
+        keys, ranks, pieces = zip(*rows) if rows else ((), (), ())
+        self.keys, self.pair_rank = np.array([*keys, _MASK], U64), np.array([*ranks, _NO], np.int32)
+        self.piece_of = np.zeros(len(order) + 1, np.int64)
+        self.piece_of[list(order.values())] = [rank & 0xFFFFFFFF for rank in order]
+        # ids and bytes of every part: a character without a piece is spelled in bytes
+        self.spelled: dict[int, list[int]] = {}
+
+    def paired(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the pieces that parts side by side would make."""
+        keys = left.astype(U64) << U64(32) | right.astype(U64)
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.pair_rank[at], _NO)
+
+    def many(self, words: list[str], keys: np.ndarray | None = None, limit: int = 0) -> tuple:
+        """(ids of each word as bytes, its bytes, all merges, first and count of each word's) of short words, with
+        draws by keys, or without any; merges are told of the latter only."""
+        size = np.array([len(w) for w in words], np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        first = np.cumsum(size) - size
+        ids: list[bytes] = [b""] * len(words)
+        back: list[bytes] = [b""] * len(words)
+        merges, begins, counts, used = [np.zeros(0, U64)], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+        low = 0
+        for width in _WIDTHS:
+            rows = np.flatnonzero((size > low) & (size <= width))
+            low = width
+            for at in range(0, len(rows), _ROWS):
+                some = rows[at : at + _ROWS]
+                parts = np.full((len(some), width + 1), -1, np.int64)
+                inside = np.arange(width)[None] < size[some, None]
+                parts[:, :width][inside] = points[(first[some, None] + np.arange(width))[inside]]
+                left, row, codes = self._agendas(parts, None if keys is None else keys[some], limit)
+                counts[some] = np.bincount(row, minlength=len(some))
+                begins[some] = used + np.cumsum(counts[some]) - counts[some]
+                merges.append(codes)
+                used += len(codes)
+                for i, own, text in zip(some.tolist(), *self._bytes(left)):
+                    ids[i], back[i] = own, text
+        return ids, back, np.concatenate(merges), begins, counts
+
+    def _agendas(self, parts: np.ndarray, keys: np.ndarray | None, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(parts left in each row, -1 between them; row and code of the merges, where there are no draws)."""
+        n, width = len(parts), parts.shape[1] - 1
+        # neighbours by place; the last column is beyond every row
+        after = np.minimum(np.tile(np.arange(1, width + 2), (n, 1)), width)
+        before = np.tile(np.arange(-1, width), (n, 1))
+        both = (parts[:, :-1] >= 0) & (parts[:, 1:] >= 0)
+        rank = np.full((n, width), _NO, np.int32)
+        rank[both] = self.paired(parts[:, :-1][both], parts[:, 1:][both])
+        rows = np.arange(n)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(rows):
+            i = rank[rows].argmin(1) if len(rows) < n else rank.argmin(1)
+            best = rank[rows, i]
+            go = best != _NO
+            rows, i, best = rows[go], i[go], best[go]
+            if not len(rows):
+                break
+            codes = i.astype(U64) << U64(32) | self.piece_of[best].astype(U64)
+            r = rows
+            if keys is not None:
+                skip = _draws(keys[rows], codes) < limit
+                rank[rows[skip], i[skip]] = _NO  # until a neighbour changes, the pair is not a candidate
+                r, i, best = rows[~skip], i[~skip], best[~skip]
+            else:
+                found.append((rows, codes))
+            j = after[r, i]
+            k = after[r, j]
+            parts[r, i] = self.piece_of[best] + _PIECE
+            parts[r, j] = -1
+            rank[r, j] = _NO
+            after[r, i], before[r, np.minimum(k, width)] = k, i
+            rank[r, i] = self._beside(parts, r, i, k)
+            h = before[r, i]
+            has = h >= 0
+            r, h, i = r[has], h[has], i[has]
+            rank[r, h] = self._beside(parts, r, h, i)
+        every = np.concatenate([np.zeros(0, np.int64), *[f[0] for f in found]])
+        codes = np.concatenate([np.zeros(0, U64), *[f[1] for f in found]])
+        order = np.argsort(every, kind="stable")
+        return parts[:, :width], every[order], codes[order]
+
+    def _beside(self, parts: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        b = parts[rows, right]
+        return np.where(b >= 0, self.paired(parts[rows, left], np.maximum(b, 0)), _NO)
+
+    def _bytes(self, parts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """The ids of each row's parts, and the bytes that these stand for."""
+        row, at = np.nonzero(parts >= 0)
+        known, inverse = np.unique(parts[row, at], return_inverse=True)
+        spelled = [self._spelled(p) for p in known.tolist()]
+        ids = _laid([np.array(s, "<u4").tobytes() for s in spelled], inverse, row, len(parts))
+        return ids, _laid([b"".join([self.raw[i] for i in s]) for s in spelled], inverse, row, len(parts))
+
+    def _spelled(self, part: int) -> list[int]:
+        if part >= _PIECE:
+            return [part - _PIECE]
+        if part not in self.spelled:
+            self.spelled[part] = self._ids([chr(part)])
+        return self.spelled[part]
+
     def words(self, text: str) -> list[str]:
         marked = MARK + text.replace(MARK, _OWN_MARK).replace(" ", MARK) if text else ""
         return _WORD.findall(marked) if self.splits else [marked] * bool(marked)
@@ -120,14 +254,8 @@ class Model:
         """Ids of one word with the draws of a key."""
         return self._ids(self._agenda(word)(word, key, limit))
 
-    def after(self, word: str, skipped: frozenset[int]) -> tuple[list[int], list[int]]:
-        """(ids, merges in their order) of a word in which exactly these candidates are skipped."""
-        merges: list[int] = []
-        parts = self._agenda(word)(word, 0, 0, skipped, merges)
-        return self._ids(parts), merges
-
     def _agenda(self, word: str):
-        return self._short if len(word) <= self.short and 2 * MARK not in word else self._long
+        return self._short if self.short_(word) else self._long
 
     def _ids(self, parts: list[str]) -> list[int]:
         out = []
@@ -139,8 +267,11 @@ class Model:
                 out += [self.bytes[b] for b in part.replace(_OWN_MARK, MARK).encode()]
         return out
 
-    def _short(self, word: str, key: int, limit: int, skipped: frozenset[int] = frozenset(), merges: list[int] | None = None) -> list[str]:
-        """Parts of a short word: the agenda is a list with a rank per pair of neighbours."""
+    def short_(self, word: str) -> bool:
+        return len(word) <= self.short and 2 * MARK not in word
+
+    def _short(self, word: str, key: int, limit: int) -> list[str]:
+        """Parts of a short word: the agenda is a list with a rank per pair of neighbours (`many`, plainly)."""
         parts, rank = list(word), self.ranks.get
         places = list(range(len(parts)))
         agenda = [rank(a + b, _NONE) for a, b in zip(parts, parts[1:])]
@@ -151,11 +282,9 @@ class Model:
             i = agenda.index(best)
             piece = parts[i] + parts[i + 1]
             code = places[i] << 32 | best & 0xFFFFFFFF
-            if code in skipped or limit and _draw(key, code) < limit:
+            if limit and _draw(key, code) < limit:
                 agenda[i] = _NONE  # until a neighbour changes, the pair is not a candidate
                 continue
-            if merges is not None:
-                merges.append(code)
             parts[i] = piece
             del parts[i + 1], places[i + 1], agenda[i]
             if i:
@@ -164,7 +293,7 @@ class Model:
                 agenda[i] = rank(piece + parts[i + 1], _NONE)
         return parts
 
-    def _long(self, word: str, key: int, limit: int, skipped: frozenset[int] = frozenset(), merges: list[int] | None = None) -> list[str]:
+    def _long(self, word: str, key: int, limit: int) -> list[str]:
         """Parts of a word of any length: the agenda is a heap."""
         parts: list[str | None] = list(word)
         left, right = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
@@ -185,10 +314,8 @@ class Model:
             if parts[a] is None or b < 0 or parts[a] + parts[b] != piece:
                 continue  # one of the two has been joined since
             code = a << 32 | self.ids[piece]
-            if code in skipped or limit and _draw(key, code) < limit:
+            if limit and _draw(key, code) < limit:
                 continue
-            if merges is not None:
-                merges.append(code)
             parts[a], parts[b] = piece, None
             right[a] = right[b]
             if right[a] >= 0:
@@ -208,9 +335,7 @@ def model(path: str) -> Model:
 
 
 class Remembered(dict):
-    """Words and their trees.  A node holds the ids and bytes of a word after given skips, and the merges
-    that come up after the last of them; `below` has, per such merge, the node in which it is skipped
-    too: -1 when it has been asked for once, 0 before."""
+    """Short words: a number each, with ids and bytes without a skip and the merges that come up."""
 
     def __init__(self, made: Model):
         self.made = made
@@ -218,74 +343,49 @@ class Remembered(dict):
 
     def begin(self) -> None:
         self.clear()
-        # node 0 is that of words which are not remembered
-        self.words, self.skips, self.ids, self.back = [""], [frozenset()], [b""], [b""]
-        self.first, self.count, self.depth = array("q", [0]), array("q", [0]), array("q", [0])
-        self.codes, self.below, self.used = np.zeros(1 << 16, U64), np.zeros(1 << 16, np.int32), 0
-
-    def packed(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return array("I", ids).tobytes(), b"".join([self.made.raw[i] for i in ids])
-
-    def add(self, word: str, skips: frozenset[int], depth: int) -> int:
-        ids, merges = self.made.after(word, skips)
-        merges = merges[depth:]
-        if self.used + len(merges) > len(self.codes):
+        self.ids, self.back = [b""], [b""]  # number 0 is that of words which are not remembered
+        self.first, self.count = array("q", [0]), array("q", [0])
+        self.codes, self.used = np.zeros(1 << 16, U64), 0
+
+    def bytes_of(self, ids: bytes) -> bytes:
+        return b"".join([self.made.raw[i] for i in array("I", ids)])
+
+    def learn(self, words: list[str]) -> None:
+        ids, back, codes, first, count = self.made.many(words)
+        while self.used + len(codes) > len(self.codes):
             self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
-            self.below = np.concatenate([self.below, np.zeros_like(self.below)])
-        self.codes[self.used : self.used + len(merges)] = merges
-        for held, one in zip((self.words, self.skips, self.first, self.count, self.depth), (word, skips, self.used, len(merges), depth)):
-            held.append(one)
-        self.used += len(merges)
-        for held, one in zip((self.ids, self.back), self.packed(ids)):
-            held.append(one)
-        return len(self.words) - 1
-
-    def __missing__(self, word: str) -> int:
-        if len(word) > SHORT:
-            return 0
-        self[word] = node = self.add(word, frozenset(), 0)
-        return node
-
-    def child(self, node: int, slot: int) -> int:
-        """The node in which the merge at a slot of `codes` is skipped, -1 if there is none yet."""
-        if self.below[slot] <= 0:
-            ask, self.below[slot] = self.below[slot] == 0, -1
-            if ask:
-                return -1
-            depth = self.depth[node] + slot - self.first[node]
-            made = self.add(self.words[node], self.skips[node] | {int(self.codes[slot])}, depth)
-            self.below[slot] = made
-        return int(self.below[slot])
+        self.codes[self.used : self.used + len(codes)] = codes
+        self.update(zip(words, range(len(self.ids), len(self.ids) + len(words))))
+        self.ids += ids
+        self.back += back
+        self.first.frombytes((first + self.used).tobytes())
+        self.count.frombytes(count.tobytes())
+        self.used += len(codes)
 
     def cut(self, words: list[str], keys: np.ndarray, limit: int) -> tuple[list[bytes], list[bytes]]:
         """(ids, bytes) of each word."""
-        if len(self.words) > REMEMBERED:
+        if len(self.ids) > REMEMBERED:
             self.begin()
+        new = {word for word in words if word not in self}
+        short = [word for word in new if self.made.short_(word)]
+        self.update(dict.fromkeys(new.difference(short), 0))
+        self.learn(short)
         nodes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        first, count = np.array(self.first, np.int64), np.array(self.count, np.int64)
-        alone, open_ = np.flatnonzero(nodes == 0).tolist(), np.flatnonzero(count[nodes])
-        while limit and len(open_):
-            at = nodes[open_]
-            many = count[at]
-            ends = np.cumsum(many)
-            slots = np.arange(ends[-1]) + np.repeat(first[at] - ends + many, many)
-            gone = np.flatnonzero(_draws(np.repeat(keys[open_], many), self.codes[slots]) < limit)
-            owner = np.searchsorted(ends, gone, "right")
-            new = np.diff(owner, prepend=-1) > 0
-            open_, slots = open_[owner[new]], slots[gone[new]]
-            found = self.below[slots].astype(np.int64)
-            for i in np.flatnonzero(found <= 0).tolist():
-                found[i] = self.child(int(nodes[open_[i]]), int(slots[i]))
-            alone += open_[found < 0].tolist()
-            open_, found = open_[found > 0], found[found > 0]
-            nodes[open_] = found
-            if len(self.words) > len(first):
-                first, count = np.array(self.first, np.int64), np.array(self.count, np.int64)
-            open_ = open_[count[found] > 0]
-        nodes = nodes.tolist()
-        ids, back = [self.ids[n] for n in nodes], [self.back[n] for n in nodes]
-        for i in alone:
-            ids[i], back[i] = self.packed(self.made.keyed(words[i], int(keys[i]), limit))
+        ids = [self.ids[n] for n in nodes.tolist()]
+        back = [self.back[n] for n in nodes.tolist()]
+        for i in np.flatnonzero(nodes == 0).tolist():
+            own = self.made.keyed(words[i], int(keys[i]), limit)
+            ids[i] = array("I", own).tobytes()
+            back[i] = self.bytes_of(ids[i])
+        if limit:
+            first, count = np.array(self.first, np.int64)[nodes], np.array(self.count, np.int64)[nodes]
+            ends = np.cumsum(count)
+            slots = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + count, count)
+            gone = _draws(np.repeat(keys, count), self.codes[slots]) < limit
+            skipped = np.unique(np.searchsorted(ends, np.flatnonzero(gone), "right"))
+            own = self.made.many([words[i] for i in skipped.tolist()], keys[skipped], limit)
+            for i, *both in zip(skipped.tolist(), *own[:2]):
+                ids[i], back[i] = both
         return ids, back
 
 

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from claimloom.llm import fingerprints, packing, tokens
+from claimloom.llm import fingerprints, packing, pieces, tokens
 from claimloom.llm.html_text import visible_text
 from claimloom.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
@@ -80,8 +80,14 @@ def test_op7(spark, home):
 
 
 def test_op8(spark, home):
-    want = [(i, brute.sha(t or ""), True) for i, t in PAIRS]
-    assert got(spark, home, "op8_piece_encoding", "doc_id", "decoded_sha256", "lossless") == sorted(want, key=str)
+    model = pieces.model(pieces.default_file())
+    want = []
+    for i, t in PAIRS:
+        words = model.words(t or "")
+        own = [x for w, n in zip(words, pieces.occurrences(i, len(words)).tolist()) for x in model.segment(w, n, pieces.SEED, pieces.DROPOUT)]
+        want.append((i, len(own), zlib.crc32(np.array(own, "<u4").tobytes()), brute.sha(t or ""), True))
+    columns = ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "lossless"]
+    assert got(spark, home, "op8_piece_encoding", *columns) == sorted(want, key=str)
 
 
 def test_op9(spark, home):
