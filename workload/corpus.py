@@ -10,8 +10,10 @@ from claimloom.functions import text as X
 from claimloom.functions import web as U
 from claimloom.operators import claims as C
 from claimloom.operators import corpus as K
+from claimloom.operators import declared as D
 from claimloom.operators import evidence as E
 from claimloom.operators import intake as I
+from claimloom.operators import links as N
 from claimloom.operators import report as P
 from claimloom.operators import retrieve as R
 from claimloom.operators import scores as S
@@ -216,6 +218,21 @@ def origin_clusters_by_title(spark, sf):
     return K.origin_clusters(docs).select("method", "member_count", "representative_id")
 
 
+def _linked(spark, sf) -> DataFrame:
+    """Documents with the keys of every kind of link; every tenth says where it was first printed."""
+    first = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("https://wire.example.org/"), F.floor(F.col("doc_id") / 30).cast("string"), F.lit("/")))
+    docs = documents(spark, sf).withColumns({"canonical_url": first, "content_hash": X.body_hash(F.col("body"))})
+    return docs.withColumn("simhash", D.simhash(D.plain_tokens(F.col("body"))))
+
+
+def origin_links_assignment(spark, sf):
+    return N.linked_origins(_linked(spark, sf))
+
+
+def origin_links_clusters(spark, sf):
+    return N.linked_clusters(_linked(spark, sf))
+
+
 def cluster_assignment(spark, sf):
     docs = documents(spark, sf).withColumn("content_hash", X.body_hash(F.col("body")))
     return K.cluster_assignment(docs)
@@ -405,7 +422,7 @@ QUERIES = {f.__name__: f for f in (
     origin_clusters_by_title, cluster_assignment, document_upsert, source_upsert, primary_suffix_join, feed_registry,
     feed_priority, relevance_score, relevance_score_shuffled, phrase_bonus, headline_gate, provider_union, top_candidates,
     candidate_dedup, documents_read, query_audit, run_totals, split_passages, evidence_for_claims,
-    claim_verdicts_flagship, submission_verdicts, report,
+    claim_verdicts_flagship, submission_verdicts, report, origin_links_assignment, origin_links_clusters,
 )}
 
 _WSP = "' '||chr(9)||chr(10)||chr(13)"
@@ -623,3 +640,27 @@ def _claims_parsed_sql() -> str:
 
 
 ORACLES["claims_parsed"] = _claims_parsed_sql()
+
+
+_TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_\\x{0980}-\\x{09ff}]+')"
+_LINKS = f"""WITH RECURSIVE {_BASE_DOCS},
+t AS (SELECT doc_id, unnest({_TOKENS}) AS w FROM documents), n AS (SELECT doc_id, ('0x'||substr(md5(w), 1, 15))::BIGINT AS h FROM t),
+bits AS (SELECT doc_id, count(*) AS c, {", ".join(f"count(*) FILTER ((h >> {i}) & 1 = 1) AS b{i}" for i in range(60))} FROM n GROUP BY 1),
+sim AS (SELECT doc_id, {" + ".join(f"(CASE WHEN 2 * b{i} > c THEN 1::BIGINT << {i} ELSE 0 END)" for i in range(60))} AS h FROM bits
+        UNION ALL SELECT doc_id, 0 FROM documents WHERE len({_TOKENS}) = 0),
+keyed AS (SELECT doc_id, 'url' AS kind, 'https://wire.example.org/'||(doc_id // 30) AS key FROM documents WHERE doc_id % 10 = 0
+  UNION ALL SELECT doc_id, 'hash', sha256(text) FROM documents
+  UNION ALL SELECT doc_id, 'simhash', h::VARCHAR FROM sim
+  UNION ALL SELECT doc_id, 'title', k FROM (SELECT doc_id, substr(trim(regexp_replace(lower(title), '\\s+', ' ', 'g')), 1, 120) AS k FROM bdocs) WHERE length(k) >= 20),
+stars AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY kind, key) AS b, kind FROM keyed),
+hv AS (SELECT h, min(doc_id) AS rep FROM sim GROUP BY 1),
+el AS (SELECT a, b, kind FROM stars WHERE a <> b
+  UNION ALL SELECT a.rep, z.rep, 'simhash' FROM hv a JOIN hv z ON a.h < z.h AND bit_count(xor(a.h, z.h)) <= 3),
+eb AS (SELECT a, b, kind FROM el UNION ALL SELECT b, a, kind FROM el),
+reach AS (SELECT DISTINCT a AS node, a AS got FROM eb UNION SELECT r.node, e.b FROM reach r JOIN eb e ON e.a = r.got),
+member AS (SELECT node AS doc_id, min(got) AS cluster_id FROM reach GROUP BY 1),
+kinds AS (SELECT a AS doc_id, arg_min(kind, list_position(['url', 'hash', 'simhash', 'title'], kind)) AS joined_by FROM eb GROUP BY 1)"""
+ORACLES["origin_links_assignment"] = f"{_LINKS} SELECT doc_id, cluster_id, joined_by FROM member JOIN kinds USING (doc_id)"
+ORACLES["origin_links_clusters"] = f"""{_LINKS} SELECT cluster_id, count(*) AS member_count, array_to_string(list_sort(list_distinct(list(joined_by))), ',') AS methods,
+  arg_min(doc_id, ROW(published_at IS NULL, coalesce(published_at, TIMESTAMP '2023-11-14 22:13:20' + INTERVAL 1 SECOND * created_no), doc_id)) AS representative_id
+  FROM member JOIN kinds USING (doc_id) JOIN bdocs USING (doc_id) GROUP BY 1"""
