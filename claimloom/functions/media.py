@@ -24,13 +24,13 @@ def detect_type(content: Column) -> Column:
     return F.when(F.octet_length(content) >= 12, out)
 
 
-def _as_latin(content: Column, size: int) -> Column:
-    return F.lower(F.decode(F.substring(content, 1, size), "ISO-8859-1"))
+def _as_latin(content: Column, size: int | None) -> Column:
+    return F.lower(F.decode(content if size is None else F.substring(content, 1, size), "ISO-8859-1"))
 
 
-def has_markup(content: Column) -> Column:
-    """Markup in the first 2048 bytes: the file also reads as a page or a script."""
-    head = _as_latin(content, 2048)
+def has_markup(content: Column, size: int | None = 2048) -> Column:
+    """Markup in the first `size` bytes, anywhere with None: the file also reads as a page or a script."""
+    head = _as_latin(content, size)
     test = F.lit(False)
     for marker in V.MARKUP_MARKERS:
         test = test | head.contains(marker)
@@ -67,9 +67,10 @@ def storage_key(media_id: Column, day: Column, mime: Column, prefix: str = "medi
     )
 
 
-def has_c2pa(content: Column) -> Column:
-    """A content-credentials manifest near the start of the file."""
-    return _as_latin(content, 200_000).contains("c2pa") | _as_latin(content, 8000).contains("jumb")
+def has_c2pa(content: Column, size: int | None = 200_000, box_size: int | None = 8000) -> Column:
+    """A content-credentials manifest near the start of the file: its name in `size` bytes or its box in `box_size`;
+    None looks at the whole file."""
+    return _as_latin(content, size).contains("c2pa") | _as_latin(content, box_size).contains("jumb")
 
 
 def generator(metadata: Column) -> Column:

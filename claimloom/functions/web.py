@@ -280,14 +280,14 @@ def article_columns(html: Column) -> dict[str, Column]:
     }
 
 
-def article_text(paragraphs: Column) -> Column:
-    """Paragraph texts longer than 40 characters, a blank line between them, cut to the cap."""
+def article_text(paragraphs: Column, max_chars: int | None = V.MAX_ARTICLE_CHARS) -> Column:
+    """Paragraph texts longer than 40 characters, a blank line between them, cut to max_chars; None cuts nothing."""
     split = F.transform(paragraphs, _pieces)
     texts = F.transform(
         F.filter(split, lambda t: F.length(F.array_join(t, "")) > 40), lambda t: F.array_join(t, " ")
     )
     body = F.array_join(texts, "\n\n")
-    return F.nullif(body.substr(1, V.MAX_ARTICLE_CHARS), F.lit(""))
+    return F.nullif(body if max_chars is None else body.substr(1, max_chars), F.lit(""))
 
 
 # Path words that mark navigation.

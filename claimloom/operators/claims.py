@@ -11,11 +11,11 @@ from claimloom.functions import text as X
 
 
 def extract_claims(
-    texts: DataFrame, max_claims: int = V.MAX_SENTENCES, parse: bool = True
+    texts: DataFrame, max_claims: int | None = V.MAX_SENTENCES, parse: bool = True
 ) -> DataFrame:
     """texts(submission_id, origin_no, origin, text[, language]) -> one row per claim.
 
-    The first max_claims sentences of each text are looked at; those under 15 characters are
+    The first max_claims sentences of each text are looked at, all of them with None; those under 15 characters are
     dropped.  Numbering runs over origins and then sentences.  With parse=False the parsed
     figures (money, percentages, numbers, dates, entities) are left out.
     """
@@ -24,7 +24,7 @@ def extract_claims(
         X.unnest(
             texts,
             ["submission_id", "origin_no", "origin", language.alias("language")],
-            F.slice(X.split_sentences(F.col("text")), 1, max_claims),
+            X.split_sentences(F.col("text")) if max_claims is None else F.slice(X.split_sentences(F.col("text")), 1, max_claims),
             "claim_text",
             "sentence_no",
         ).where(F.length("claim_text") >= V.MIN_SENTENCE)
@@ -49,7 +49,7 @@ def extract_claims(
             .withColumn("dates", G.extract_dates(sentence))
             .withColumn("entities", G.extract_entities(sentence))
         )
-    # at most max_claims rows per origin, so a partition of this window stays small
+    # the sentences of one submission
     order = Window.partitionBy("submission_id").orderBy("origin_no", "sentence_no")
     return claims.withColumn("sequence", F.row_number().over(order) - 1).withColumn(
         "claim_id", F.concat_ws("#", F.col("submission_id").cast("string"), F.col("sequence").cast("string"))

@@ -11,12 +11,13 @@ from claimloom.functions import web as U
 from claimloom.operators.skew import salted_join
 
 
-def articles(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> readable articles; pages without body text are left out."""
+def articles(pages: DataFrame, max_chars: int | None = V.MAX_ARTICLE_CHARS) -> DataFrame:
+    """pages(page_id, url, html) -> readable articles; pages without body text are left out.  Bodies are cut to
+    max_chars; None keeps them whole."""
     parts = U.article_columns(F.col("html"))
     return (
         pages.select("page_id", "url", *[c.alias(n) for n, c in parts.items()])
-        .withColumn("body", U.article_text(F.col("paragraphs")))
+        .withColumn("body", U.article_text(F.col("paragraphs"), max_chars))
         .drop("paragraphs")
         .where(F.col("body").isNotNull())
         .withColumn("content_hash", X.body_hash(F.col("body")))

@@ -16,16 +16,16 @@ from claimloom.operators.skew import fits_broadcast, salted_join
 BROADCAST_PAIRS = 500_000
 
 
-def split_passages(text: Column) -> Column:
+def split_passages(text: Column, shortest: int | None = V.PASSAGE_MIN, longest: int | None = V.PASSAGE_MAX) -> Column:
     """Sentences of each line packed into passages of 60 to 600 characters.
 
-    A sentence that does not fit starts the next passage, cut to 600 characters; a passage that
-    stays under 60 is dropped.
+    A sentence that does not fit starts the next passage, cut to `longest` characters; a passage that
+    stays under `shortest` is dropped.  None for either: longer sentences stay whole, short passages are kept.
     """
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
 
     def emit(acc: Column) -> Column:
-        return F.when(F.length(acc["cur"]) >= V.PASSAGE_MIN, F.array_append(acc["out"], acc["cur"])).otherwise(
+        return F.when(F.length(acc["cur"]) >= (1 if shortest is None else shortest), F.array_append(acc["out"], acc["cur"])).otherwise(
             acc["out"]
         )
 
@@ -38,7 +38,7 @@ def split_passages(text: Column) -> Column:
                 X.strip(F.concat(acc["cur"], F.lit(" "), sentence)).alias("cur"),
             ),
         ).otherwise(
-            F.struct(emit(acc).alias("out"), F.substring(sentence, 1, V.PASSAGE_MAX).alias("cur"))
+            F.struct(emit(acc).alias("out"), (sentence if longest is None else F.substring(sentence, 1, longest)).alias("cur"))
         )
 
     def line(block: Column) -> Column:
@@ -169,9 +169,9 @@ def label_passages(pairs: DataFrame, period_mode: str = "reference") -> DataFram
     )
 
 
-def passages_of(docs: DataFrame) -> DataFrame:
+def passages_of(docs: DataFrame, shortest: int | None = V.PASSAGE_MIN, longest: int | None = V.PASSAGE_MAX) -> DataFrame:
     """docs(doc_id, body) -> (doc_id, passage_no, passage, passage_tokens)."""
-    exploded = X.unnest(docs, ["doc_id"], split_passages(F.col("body")), "passage", "passage_no")
+    exploded = X.unnest(docs, ["doc_id"], split_passages(F.col("body"), shortest, longest), "passage", "passage_no")
     return X.with_tokens(exploded, "passage", "passage_tokens")
 
 
@@ -179,25 +179,25 @@ def evidence_for_claims(
     claims: DataFrame,
     chosen: DataFrame,
     docs: DataFrame,
-    k: int = V.PASSAGES_PER_DOCUMENT,
+    k: int | None = V.PASSAGES_PER_DOCUMENT,
     min_relevance: float = V.PASSAGE_MIN_RELEVANCE,
     period_mode: str = "reference",
     broadcast_pairs: int = BROADCAST_PAIRS,
+    shortest: int | None = V.PASSAGE_MIN,
+    longest: int | None = V.PASSAGE_MAX,
 ) -> DataFrame:
-    """Best k passages of every chosen (claim_id, doc_id), labelled.
+    """Best k passages of every chosen (claim_id, doc_id), labelled; all of them with k=None.
 
-    claims as built by ``claim_queries``; chosen holds at most DOCUMENTS_PER_CLAIM documents of
-    each claim; docs(doc_id, body).  Passages are cut and tokenised once per document that was chosen at all.  Few pairs are broadcast to the corpus scan; many
+    claims as built by ``claim_queries``; chosen(claim_id, doc_id); docs(doc_id, body).  Passages are cut and tokenised once per document that was chosen at all.  Few pairs are broadcast to the corpus scan; many
     meet it in a salted join, since one popular document may be chosen by very many claims.
     """
     pairs = chosen.select("claim_id", "doc_id")
     profiles = query_profiles(claims).drop("probes")
     facts = claims.select("claim_id", "claim_text", "claim_tokens", "language")
-    # `chosen` holds a bounded number of documents per claim, so counting claims bounds it
-    small = fits_broadcast(claims.select("claim_id"), broadcast_pairs // V.DOCUMENTS_PER_CLAIM)
+    small = fits_broadcast(pairs, broadcast_pairs)
     wanted = pairs.select("doc_id").distinct()
     read = docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi")
-    passages = passages_of(read)
+    passages = passages_of(read, shortest, longest)
     with_profile = passages.withColumn("terms", F.array_distinct("passage_tokens")).withColumn(
         "pairs", F.array_distinct(X.bigrams(F.col("passage_tokens")))
     )
@@ -208,7 +208,7 @@ def evidence_for_claims(
         met = salted_join(pairs, with_profile, "doc_id", ["claim_id"]).join(claim_side, "claim_id")
     relevant = scored(met, min_relevance).withColumnRenamed("score", "relevance")
     order = Window.partitionBy("claim_id", "doc_id").orderBy(F.desc("relevance"), "passage_no")
-    best = relevant.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
+    best = relevant.withColumn("_rank", F.row_number().over(order)).where(F.lit(True) if k is None else F.col("_rank") <= k).drop("_rank")
     labelled = label_passages(best, period_mode)
     display = Window.partitionBy("claim_id", "doc_id").orderBy(
         F.desc(F.col("relationship") == "CONTRADICTS"), F.desc("relevance"), "passage_no"

@@ -159,8 +159,9 @@ def recent(
     limit: int = 20,
     verdict: str | None = None,
     status: str | None = None,
+    excerpt_chars: int | None = 280,
 ) -> DataFrame:
-    """Newest verifications first, with an excerpt of what was submitted.
+    """Newest verifications first, with an excerpt of what was submitted (the whole of it with excerpt_chars=None).
 
     The limit is taken before the join, so only `limit` rows look their submission up.
     """
@@ -177,7 +178,7 @@ def recent(
         F.nullif(F.col("text"), empty), F.nullif(F.col("caption"), empty), F.nullif(F.col("url"), empty)
     )
     return (
-        submissions.select("submission_id", "content_type", "title", F.substring(excerpt, 1, 280).alias("excerpt"))
+        submissions.select("submission_id", "content_type", "title", (excerpt if excerpt_chars is None else F.substring(excerpt, 1, excerpt_chars)).alias("excerpt"))
         .join(F.broadcast(head), "submission_id")
         .orderBy(F.desc("created_at"), F.desc("verification_id"))
     )

@@ -220,14 +220,14 @@ def dedup_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def documents_to_read(
-    candidates: DataFrame, k: int = V.DOCUMENTS_PER_CLAIM, min_score: float = V.CANDIDATE_MIN_SCORE
+    candidates: DataFrame, k: int | None = V.DOCUMENTS_PER_CLAIM, min_score: float = V.CANDIDATE_MIN_SCORE
 ) -> DataFrame:
-    """The first k candidates of each claim at or above the minimum score."""
+    """The first k candidates of each claim at or above the minimum score, all of them with k=None."""
     order = Window.partitionBy("claim_id").orderBy(F.desc("score"), "provider_no", "doc_id")
     return (
         candidates.where(F.col("score") >= min_score)
         .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
+        .where(F.lit(True) if k is None else F.col("rank") <= k)
     )
 
 

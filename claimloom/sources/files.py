@@ -30,11 +30,11 @@ def _feed_time(raw):
     )
 
 
-def read_feeds(spark: SparkSession, path: str, feeds: DataFrame, kind: str = "rss") -> DataFrame:
+def read_feeds(spark: SparkSession, path: str, feeds: DataFrame, kind: str = "rss", entries_per_feed: int | None = V.ENTRIES_PER_FEED) -> DataFrame:
     """Entries of landed RSS ('item' rows) or Atom ('entry' rows) files.
 
-    A file is matched to its feed by name: ``<domain>.xml``.  The first 60 entries of a file
-    are read; an entry without link or title is skipped.
+    A file is matched to its feed by name: ``<domain>.xml``.  The first entries_per_feed entries of a file
+    are read, all of them with None; an entry without link or title is skipped.
     """
     tag, schema = ("item", _RSS) if kind == "rss" else ("entry", _ATOM)
     raw = (
@@ -53,7 +53,7 @@ def read_feeds(spark: SparkSession, path: str, feeds: DataFrame, kind: str = "rs
     summary = X.strip_markup(F.coalesce(body, F.lit("")))
     entries = (
         raw.withColumn("entry_no", F.row_number().over(order))
-        .where(F.col("entry_no") <= V.ENTRIES_PER_FEED)
+        .where(F.lit(True) if entries_per_feed is None else F.col("entry_no") <= entries_per_feed)
         .select(
             F.regexp_extract("_file", r"([^/]+)\.xml$", 1).alias("domain"),
             "entry_no",

@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from claimloom.functions import media as MF
 from claimloom.functions import text as X
 from claimloom.functions import web as U
 from claimloom.operators import claims as C
@@ -15,7 +16,7 @@ from claimloom.operators import media as M
 from claimloom.operators import report as P
 from claimloom.operators import retrieve as R
 from claimloom.operators.skew import salted_join
-from claimloom.plans.verify import judge
+from claimloom.plans.verify import WHOLE, judge, verify
 from claimloom.sources import files, registry
 from claimloom.streaming import incremental, standing
 from claimloom.streaming import logs as L
@@ -231,6 +232,32 @@ def test_submissions_are_verified_as_they_arrive(spark, tmp_path):
     assert [v["verdict"] for v in verdicts] == ["PARTLY_TRUE"]
 
 
+def test_no_cap_without_an_argument_that_lifts_it(spark):
+    long = "word " * 200 + "end."
+    got = spark.createDataFrame([(long + "\nshort one.",)], "t string").select(
+        E.split_passages(F.col("t")).alias("a"), E.split_passages(F.col("t"), None, None).alias("b")
+    ).first()
+    assert [len(x) for x in got["a"]] == [600] and got["b"] == [long, "short one."]
+    paragraphs = F.array(*[F.lit("p" * 9000)] * 3)
+    sizes = spark.range(1).select(F.length(U.article_text(paragraphs)), F.length(U.article_text(paragraphs, None))).first()
+    assert tuple(sizes) == (12_000, 27_004)
+    text = " ".join(f"Sentence number {i} says something here." for i in range(40))
+    spoken = spark.createDataFrame([(1, 0, "USER_TEXT", text)], "submission_id int, origin_no int, origin string, text string")
+    assert C.extract_claims(spoken, parse=False).count() == 25 and C.extract_claims(spoken, None, parse=False).count() == 40
+    head = F.lit("x" * 3000 + "<script").cast("binary")
+    assert tuple(spark.range(1).select(MF.has_markup(head), MF.has_markup(head, None)).first()) == (False, True)
+    # a whole run: no fewer documents, passages or claims than the usual one
+    docs = _docs(spark).select(
+        "doc_id", "body", F.lit("src").alias("source"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("u"), "doc_id").alias("url"),
+        F.lit(None).cast("string").alias("canonical_url"), F.lit(None).cast("timestamp").alias("published_at"), F.lit(None).cast("timestamp").alias("created_at"),
+    )
+    src = spark.createDataFrame([("src", "Src", "NEWS_AGENCY", False)], "source string, source_name string, source_type string, is_primary boolean")
+    sub = spark.createDataFrame([("s1", CLAIMS[0] + ". " + "Filler words of no use at all. " * 30 + CLAIMS[1] + ".")], "submission_id string, text string")
+    usual, whole = verify(sub, docs, src), verify(sub, docs, src, limits=WHOLE)
+    assert usual.claims.count() == 25 and whole.claims.count() == 32
+    assert {(r["claim_text"], r["doc_id"]) for r in usual.evidence.select("claim_text", "doc_id").collect()} < {(r["claim_text"], r["doc_id"]) for r in whole.evidence.select("claim_text", "doc_id").collect()}
+
+
 def test_standing_claims_end_as_one_run_over_all(spark, tmp_path):
     docs = _docs(spark).select(
         F.col("doc_id").cast("long").alias("doc_id"), "body", F.lit("src").alias("source"), F.lit(None).cast("string").alias("title"),

@@ -172,6 +172,13 @@ def claims_extract(spark, sf):
     return found.select("submission_id", "sequence", "origin", "language", "sentence_no", "claim_text", "claim_type", F.round("importance", 6).alias("importance"))
 
 
+def claims_extract_whole(spark, sf):
+    """Claims of all sentences of every document, no text cut short."""
+    spoken = documents(spark, sf).select(F.col("doc_id").alias("submission_id"), F.lit(0).alias("origin_no"), F.lit("USER_TEXT").alias("origin"), F.col("body").alias("text"))
+    found = C.extract_claims(spoken, max_claims=None, parse=False)
+    return found.select("submission_id", "sequence", "sentence_no", "claim_text")
+
+
 def claims_parsed(spark, sf):
     """Claims of benchmark items with all parsed parts counted."""
     found = C.extract_claims(I.texts_by_origin(I.with_language(submissions(spark, sf))))
@@ -186,6 +193,16 @@ def article_extract(spark, sf):
     return a.select("page_id", "title", "canonical_url", "body", "content_hash", "injection_detected")
 
 
+def article_extract_whole(spark, sf):
+    """Articles of any length: ten pages' bodies in one, so that the usual cap would cut."""
+    pages = table(spark, sf, "pages").select("page_id", "url", F.regexp_replace("html", "(?i)</?(html|body)[^>]*>", "").alias("html"))
+    many = pages.groupBy(F.floor(F.col("page_id") / 10).alias("page_id")).agg(
+        F.min("url").alias("url"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "html"))), lambda p: p["html"]), "\n").alias("html")
+    )
+    a = K.articles(many, max_chars=None)
+    return a.select("page_id", F.length("body").alias("n_chars"), "content_hash")
+
+
 def _linked_pages(spark, sf) -> DataFrame:
     """pages with their headline also linked, as on a publisher's result page."""
     p = table(spark, sf, "pages")
@@ -418,7 +435,7 @@ def report(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    submission_intake, texts_by_origin, claims_extract, claims_parsed, article_extract, link_extract, origin_clusters,
+    submission_intake, texts_by_origin, claims_extract, claims_extract_whole, claims_parsed, article_extract, article_extract_whole, link_extract, origin_clusters,
     origin_clusters_by_title, cluster_assignment, document_upsert, source_upsert, primary_suffix_join, feed_registry,
     feed_priority, relevance_score, relevance_score_shuffled, phrase_bonus, headline_gate, provider_union, top_candidates,
     candidate_dedup, documents_read, query_audit, run_totals, split_passages, evidence_for_claims,
@@ -559,6 +576,14 @@ ORACLES = {
       b AS (SELECT page_id, title, array_to_string(list_transform(list_filter(ps, lambda x: length({_sql_plain('x', "''")}) > 40), lambda x: {_sql_plain('x')}), chr(10)||chr(10)) AS body FROM c),
       k AS (SELECT page_id, title, substr(body, 1, 12000) AS body FROM b WHERE body <> '')
       SELECT page_id, nullif(title, '') AS title, NULL::VARCHAR AS canonical_url, body, sha256(body) AS content_hash, FALSE AS injection_detected FROM k""",
+    "article_extract_whole": f"""WITH many AS (SELECT page_id // 10 AS page_id, string_agg(regexp_replace(html, '(?i)</?(html|body)[^>]*>', '', 'g'), chr(10) ORDER BY page_id) AS html FROM pages GROUP BY 1),
+      c AS (SELECT page_id, {_sql_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
+        list_transform(string_split_regex(regexp_replace({_CHROME}, '(?is)</p\\s*>|</article\\s*>|</body\\s*>', chr(1), 'g'), '{_P}')[2:], lambda x: string_split(x, chr(1))[1]) AS ps FROM many),
+      b AS (SELECT page_id, title, array_to_string(list_transform(list_filter(ps, lambda x: length({_sql_plain('x', "''")}) > 40), lambda x: {_sql_plain('x')}), chr(10)||chr(10)) AS body FROM c),
+      k AS (SELECT page_id, title, body FROM b WHERE body <> '')
+      SELECT page_id, length(body) AS n_chars, sha256(body) AS content_hash FROM k""",
+    "claims_extract_whole": f"""WITH s AS (SELECT doc_id AS submission_id, unnest(range(len(ss))) AS sentence_no, unnest(ss) AS claim_text FROM (SELECT doc_id, {sql_sentences('text')} AS ss FROM documents))
+      SELECT submission_id, row_number() OVER (PARTITION BY submission_id ORDER BY sentence_no) - 1 AS sequence, sentence_no, claim_text FROM s WHERE length(claim_text) >= 15""",
     "link_extract": f"""WITH p AS (SELECT page_id, {_HOST} AS site, {_sql_decode("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS t FROM pages),
       l AS (SELECT page_id, site AS site_domain, 'https://www.'||site||'/story/'||page_id AS url, trim(t) AS headline, 0 AS n FROM p
         UNION ALL SELECT page_id, site, 'https://www.'||site||'/story/b'||page_id, t||' again', 1 FROM p),
