@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 
 from claimloom.functions.text import bind, unnest
 from claimloom.llm.graph import dealt_anew
-from claimloom.llm.shared import tasks, written
+from claimloom.llm.shared import free, tasks, written
 from claimloom.session import cut_lineage
 
 BLOCK_BYTES = 16384
@@ -135,12 +135,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one row of each set of equal texts, the one with the smallest id."""
     found = cut_lineage(copies(docs, id_col, text_col, **how))
-    kept = found.where("kept").select(F.col("id").alias("__id"), F.col("sha").alias("__sha"))
-    keyed = docs.withColumn("__key", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    stay = keyed.join(
-        kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")), "left_semi"
-    )
+    key, own_id, own_sha = free(docs, "key", "kept_id", "kept_sha")
+    kept = found.where("kept").select(F.col("id").alias(own_id), F.col("sha").alias(own_sha))
+    keyed = docs.withColumn(key, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    stay = keyed.join(kept, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_sha)), "left_semi")
     twins = found.groupBy("id", "sha").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     if not twins.isEmpty():
-        stay = stay.dropDuplicates([id_col, "__key"])
+        stay = stay.dropDuplicates([id_col, key])
     return stay.select(*docs.columns)

@@ -509,5 +509,6 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     """docs without those that have a linked document of smaller id in their component; all columns."""
     found = linked(docs, words, num, den, id_col, text_col, **how)
     # a written table has a known size, so that few ids are broadcast and the texts stay where they are
-    gone = S.written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    (name,) = S.free(docs, "gone")
+    gone = S.written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from claimloom.llm import packing, tokens
 from tests.llm import brute
@@ -25,8 +27,11 @@ def test_run(spark, tmp_path):
 
 
 def test_stages_keep_columns_and_stand_empty_tables(spark):
-    docs = frame(spark, texts(n=12))
+    clashing = {name: F.lit(i) for i, name in enumerate(["gone", "ranges", "of", "found", "kept_id", "kept_sha", "__key", "__id", "Key_", "sha"])}
+    docs = frame(spark, texts(n=12)).withColumns(clashing)
     for _, stage in P.STAGES[:-1]:
-        assert stage(spark, docs, "").columns == docs.columns
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns
+        assert {tuple(r[c] for c in clashing) for r in kept.collect()} == {tuple(range(10))}
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), "").collect() == []
