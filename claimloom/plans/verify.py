@@ -80,9 +80,10 @@ def verify(
 
 def judge(
     claims: DataFrame, candidates: DataFrame, documents: DataFrame, sources: DataFrame, origin_key: str = "item", materialize: bool = True,
-    limits: Limits = Limits(),
+    limits: Limits = Limits(), penalties: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(evidence, claim scores) of claims on the documents chosen for them, candidates(claim_id, doc_id, score)."""
+    """(evidence, claim scores) of claims on the documents chosen for them, candidates(claim_id, doc_id, score);
+    penalties(claim_id, penalty_type), as `operators.dates` gives them, weigh on the scores."""
     chosen = documents.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = chosen.withColumn("content_hash", X.body_hash(F.col("body")))
     if materialize:
@@ -103,6 +104,7 @@ def judge(
     scores = S.score_claims(
         claims.select("claim_id", "submission_id", "sequence", "claim_text", "claim_type", "importance"),
         signals,
+        penalties=penalties,
         origin_key=origin_key,
     )
     return evidence, scores

@@ -9,9 +9,11 @@ from claimloom import vocab as V
 from claimloom.functions import text as X
 from claimloom.functions import web as U
 from claimloom.operators import corpus as K
+from claimloom.operators import dates
 from claimloom.operators import declared as D
 from claimloom.operators import media as M
 from claimloom.operators import report as P
+from claimloom.operators import scores as SC
 from claimloom.session import cut_lineage, run_folder
 from claimloom.streaming import logs as L
 from claimloom.streaming import machines
@@ -453,6 +455,40 @@ def penalty_producer(spark, sf):
     return out
 
 
+def _claimed_days(spark, sf) -> DataFrame:
+    """An order as a claim about an event: from its date for as many days as its key says."""
+    days = (F.col("o_orderkey") % 120).cast("int")
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("claim_id"), F.col("o_orderdate").cast("date").alias("first_day"), F.date_add(F.col("o_orderdate").cast("date"), days).alias("last_day")
+    )
+
+
+def _established_days(spark, sf) -> DataFrame:
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("claim_id"), F.col("l_shipdate").cast("date").alias("first_day"), F.date_add(F.col("l_shipdate").cast("date"), F.col("l_linenumber").cast("int")).alias("last_day")
+    )
+
+
+def date_penalties(spark, sf):
+    return dates.date_penalties(_claimed_days(spark, sf), _established_days(spark, sf))
+
+
+def window_overlaps(spark, sf):
+    """Claimed windows of all orders with the days on which each nation's customers ordered at first and at last, shifted
+    by nation: few windows of years meet many of days."""
+    wide = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_nationkey").alias("nation")).agg(
+        F.date_add(F.min("o_orderdate").cast("date"), F.col("nation") * 40).alias("first_day"), F.date_sub(F.max("o_orderdate").cast("date"), F.col("nation") * 50).alias("last_day")
+    )
+    found = dates.overlapping(wide, _claimed_days(spark, sf), "nation", "claim_id")
+    return found.groupBy("nation").agg(F.count(F.lit(1)).alias("claims"), F.sum("days").alias("days"))
+
+
+def date_penalty_values(spark, sf):
+    """Claims by the penalty that scoring takes for their dates."""
+    penalties = date_penalties(spark, sf)
+    return SC.max_penalties(penalties).groupBy(F.round("applied_penalty", 6).alias("applied_penalty")).agg(F.count(F.lit(1)).alias("claims"))
+
+
 def sources_checked(spark, sf):
     from claimloom.operators import retrieve as R
 
@@ -480,6 +516,7 @@ QUERIES = {f.__name__: f for f in (
     top_publishers, public_id_check, url_audit, url_audit_summary, media_signature, media_signals, keyword_leg,
     vector_topk, rrf_merge, simhash_neardup, phash_near, trigram_titles, stale_media, penalty_producer,
     sources_checked, calibration_matrix, token_search, job_dedup_stream, lease_expiries_stream, stage_state_stream,
+    date_penalties, window_overlaps, date_penalty_values,
 )}
 
 _FP = "substr(sha256('{salt}:'||{who}), 1, 32)"
@@ -660,3 +697,12 @@ ORACLES["lease_expiries_stream"] = f"""WITH l AS (SELECT user_id||'-'||{_SQL_K}
   n AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS next_ts FROM l WHERE ev IN ('reserve', 'complete', 'fail'))
   SELECT job_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS reserved_at, strftime(ts + INTERVAL 900 SECOND, '%Y-%m-%d %H:%M:%S') AS lease_expires_at, (attempt + 1)::INT AS next_attempt
   FROM n WHERE ev = 'reserve' AND (next_ts IS NULL OR next_ts > ts + INTERVAL 900 SECOND)"""
+
+_DATED = """c AS (SELECT o_orderkey AS claim_id, o_orderdate::DATE AS f, o_orderdate::DATE + (o_orderkey % 120)::INT AS l, o_custkey FROM orders),
+  e AS (SELECT l_orderkey AS claim_id, min(l_shipdate::DATE) AS f, max(l_shipdate::DATE + l_linenumber::INT) AS l,
+    bool_or(l_shipdate::DATE <= c.l + 1 AND l_shipdate::DATE + l_linenumber::INT >= c.f - 1) AS met FROM lineitem JOIN c ON c.claim_id = l_orderkey GROUP BY 1),
+  p AS (SELECT claim_id, CASE WHEN NOT met THEN 'DATE_MISMATCH' WHEN e.f >= c.f AND e.l <= c.l AND (c.l - c.f + 1) > 2.0 * (e.l - e.f + 1) THEN 'EXAGGERATION' END AS penalty_type FROM e JOIN c USING (claim_id))"""
+ORACLES["date_penalties"] = f"WITH {_DATED} SELECT * FROM p WHERE penalty_type IS NOT NULL"
+ORACLES["date_penalty_values"] = f"""WITH {_DATED} SELECT CASE penalty_type WHEN 'DATE_MISMATCH' THEN 0.35::DOUBLE ELSE 0.25::DOUBLE END AS applied_penalty, count(*) AS claims FROM p WHERE penalty_type IS NOT NULL GROUP BY 1"""
+ORACLES["window_overlaps"] = f"""WITH {_DATED}, w AS (SELECT c_nationkey AS nation, min(o_orderdate::DATE) + c_nationkey * 40 AS f, max(o_orderdate::DATE) - c_nationkey * 50 AS l FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_nationkey)
+  SELECT nation, count(*) AS claims, sum((least(c.l, w.l) - greatest(c.f, w.f) + 1)::BIGINT)::BIGINT AS days FROM w JOIN c ON c.f <= w.l AND c.l >= w.f AND w.f <= w.l GROUP BY 1"""
