@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimloom.operators import calibration as CA
 from claimloom.operators import claims as C
 from claimloom.operators import intake as I
 from claimloom.operators.corpus_index import CorpusIndex, build
 from claimloom.operators.vector_index import VectorIndex
 from claimloom.plans.verify import verify
-from claimloom.session import run_folder
+from claimloom.session import cut_lineage, run_folder
 from claimloom.streaming.standing import StandingClaims
 from workload import corpus, logs
 from workload.base import TOKEN, table
@@ -93,14 +94,44 @@ def vector_topk_indexed(spark, sf):
     return index.topk(asked).withColumn("similarity", F.round("similarity", 6))
 
 
+def _predictions(spark, sf):
+    """The engine's own verdicts and confidences, each with the quality of a labelled document that speaks for the claim."""
+    found = verify(corpus.submissions(spark, sf), corpus.documents(spark, sf), corpus.sources(spark, sf))
+    read = found.evidence.select("claim_id", "doc_id").join(table(spark, sf, "labels"), "doc_id")
+    scored = found.claim_scores.select("claim_id", "verdict", F.col("confidence_score").alias("score"))
+    return cut_lineage(read.join(scored, "claim_id").select("verdict", "score", F.col("quality").cast("long").alias("label")))
+
+
+def calibration_steps(spark, sf):
+    steps = CA.isotonic(_predictions(spark, sf))
+    return steps.select("low", "high", "n", F.round("rate", 6).alias("rate"))
+
+
+def calibration_bins(spark, sf):
+    bins = CA.reliability(_predictions(spark, sf))
+    return bins.select("verdict", "bin", "n", *[F.round(c, 6).alias(c) for c in ("mean_score", "rate", "gap")])
+
+
 QUERIES = {f.__name__: f for f in (
     corpus_index_terms, corpus_index_postings, keyword_leg_indexed, token_search_indexed, claim_verdicts_indexed,
-    vector_topk_indexed, standing_claims,
+    vector_topk_indexed, standing_claims, calibration_steps, calibration_bins,
 )}
 
 _TERMS = f"SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM documents"
 
+_PREDICTED = corpus._FLAG + """, told AS (SELECT claim_id, verdict, confidence_score FROM claim_scores),
+  pr AS (SELECT verdict, round(confidence_score, 6) AS score, quality::BIGINT AS label FROM ev JOIN labels ON labels.doc_id = document_id JOIN told USING (claim_id))"""
+
 ORACLES = {
+    # the fit at a score is the greatest, over starts below it, of the least mean up to ends above it
+    "calibration_steps": _PREDICTED + """, g AS (SELECT score, sum(label) AS p, count(*) AS n FROM pr GROUP BY 1),
+      c AS (SELECT score, p, n, sum(p) OVER w AS cp, sum(n) OVER w AS cn, row_number() OVER w AS i FROM g WINDOW w AS (ORDER BY score)),
+      m AS (SELECT a.i AS a, b.i AS b, (b.cp - a.cp + a.p)::DOUBLE / (b.cn - a.cn + a.n)::DOUBLE AS mean FROM c a JOIN c b ON a.i <= b.i),
+      lo AS (SELECT a, i, min(mean) AS least FROM m JOIN c ON c.i >= a AND b >= c.i GROUP BY a, i),
+      f AS (SELECT i, round(max(least), 9) AS rate FROM lo WHERE a <= i GROUP BY i)
+      SELECT min(score) AS low, max(score) AS high, sum(n)::BIGINT AS n, round(rate, 6) AS rate FROM f JOIN c USING (i) GROUP BY f.rate""",
+    "calibration_bins": _PREDICTED + """ SELECT verdict, least(floor(score * 10), 9)::INT AS bin, count(*) AS n, round(sum(score::DECIMAL(20,6))::DOUBLE / count(*), 6) AS mean_score,
+      round(sum(label)::DOUBLE / count(*), 6) AS rate, round(sum(label)::DOUBLE / count(*) - sum(score::DECIMAL(20,6))::DOUBLE / count(*), 6) AS gap FROM pr GROUP BY 1, 2""",
     "corpus_index_terms": f"SELECT term, count(DISTINCT doc_id) AS documents FROM ({_TERMS}) GROUP BY term",
     "corpus_index_postings": f"""SELECT d.doc_id, count(term) AS words, count(DISTINCT term) AS terms, count(term) AS length
       FROM documents d LEFT JOIN ({_TERMS}) t ON t.doc_id = d.doc_id GROUP BY 1""",
