@@ -35,7 +35,7 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 2000
 #: Bytes of text whose grams are looked up at once; of longer texts, as many at a time.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: More languages than a model may have: the matrix is built in the driver and broadcast.
 MOST_LANGUAGES = 512
 _UNIT = 1024.0
