@@ -44,7 +44,7 @@ _OWN_MARK = "\ud800"
 DROPOUT = 0.1
 SEED = 1
 #: Words that a worker remembers, over all its tasks; when there are more, it begins anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Characters up to which words share a table of rows; the last is `SHORT`.
 _WIDTHS = (4, 6, 8, 12, 16, 24, 32, 48)
 #: Numbers from here on stand for pieces of several characters, those below for characters.
@@ -366,13 +366,17 @@ class Remembered(dict):
         """(ids, bytes) of each word."""
         if len(self.ids) > REMEMBERED:
             self.begin()
-        new = {word for word in words if word not in self}
-        short = [word for word in new if self.made.short_(word)]
-        self.update(dict.fromkeys(new.difference(short), 0))
-        self.learn(short)
-        nodes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        ids = [self.ids[n] for n in nodes.tolist()]
-        back = [self.back[n] for n in nodes.tolist()]
+        known = self.get
+        nodes = np.fromiter([known(word, -1) for word in words], np.int64, len(words))
+        asked = np.flatnonzero(nodes < 0).tolist()
+        if asked:
+            new = dict.fromkeys([words[i] for i in asked])
+            short = [word for word in new if self.made.short_(word)]
+            self.update(dict.fromkeys(new, 0))
+            self.learn(short)
+            nodes[asked] = [self[words[i]] for i in asked]
+        at = nodes.tolist()
+        ids, back = list(map(self.ids.__getitem__, at)), list(map(self.back.__getitem__, at))
         for i in np.flatnonzero(nodes == 0).tolist():
             own = self.made.keyed(words[i], int(keys[i]), limit)
             ids[i] = array("I", own).tobytes()
