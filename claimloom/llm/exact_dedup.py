@@ -9,7 +9,10 @@ Blocks are ordered by a 64-bit digest first and by content where digests tie, so
 compared (one shuffle of the distinct blocks, merged map-side) but only digests travel on.
 A digest that stands for several contents is told apart by content (`_told_apart`).
 
-Defined cases: a null text counts as empty, and empty texts are equal; a null id sorts last; rows
+Texts of one block (nearly all of common corpora at this block size) have their identity at the first
+level; only longer ones are named in pairs.
+
+Defined cases: very long texts are cut into blocks and compared whole; a null text counts as empty, and empty texts are equal; a null id sorts last; rows
 that repeat an id are rows of their own, and of equal (id, text) rows one stays; an empty table
 gives an empty result; other columns are ignored by `identities` and kept by `deduplicated`.
 """

@@ -10,7 +10,7 @@ task, and emits the first and last document of each task apart; those few are jo
 
 Defined cases: a null text counts as empty; an empty text, or one under three bytes, has a digest of
 zero counts; a null id sorts first; rows that repeat an id follow one another by text; a table of
-one row follows itself; an empty table gives an empty result; other columns are ignored.
+one row follows itself; very long texts are counted whole, in steps; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ markers and indents, preformatted text as it is, and tables as columns padded to
 Defined cases: a null or blank page has an empty text; text without tags is one block; broken markup is
 read as far as it goes (an open comment or raw-text element runs to the end); elements may be nested to
 any depth, as neither the tree builder nor the layout recurses (lists in lists are indented at each
-level, so that lines grow with the depth); rows are treated one by one, so ids may repeat or be null;
-other columns are kept by `extracted`.
+level, so that lines grow with the depth); very long pages are laid out whole; rows are treated one by one, so ids may repeat or be null; an empty
+table gives an empty result; other columns are kept by `extracted`, but for one of its result's name, which it replaces.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ group of one file or the groups of a file.
 
 Defined cases: a null text is a document of no tokens; an empty file has no documents; tokens after
 the last separator are a document of their own (`open`); separators side by side are documents of no
-tokens; a block before the last of its file that does not hold a whole number of ids is an error; rows that repeat an id are documents of their own.
+tokens; a block before the last of its file that does not hold a whole number of ids is an error; an id that is too large
+for the file's width is an error; rows that repeat an id are documents of their own; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +44,13 @@ GROUP = 1024
 _FILE = "file string, block long, bytes binary, ordinal long, doc_id long"
 
 
+def _narrow(ids: np.ndarray, kind) -> np.ndarray:
+    """ids as numbers of a file's width."""
+    if len(ids) and int(ids.max()) > np.iinfo(kind).max:
+        raise ValueError(f"an id of {int(ids.max())} does not fit into {np.dtype(kind).itemsize} bytes")
+    return ids.astype(kind)
+
+
 def flat_files(docs: DataFrame, end_id: int = END_ID, width: int = WIDTH, block_bytes: int = BLOCK_BYTES,
                files: tuple[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents tokenised into one flat file a task, written to the shared folder: rows with bytes are
@@ -71,7 +80,7 @@ def flat_files(docs: DataFrame, end_id: int = END_ID, width: int = WIDTH, block_
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts, ids = part.column(1), part.column(0).to_pylist()
-                data = rest + b"".join(np.append(encode(t.as_py() or "", files), end_id).astype(kind).tobytes() for t in texts)
+                data = rest + b"".join(_narrow(np.append(encode(t.as_py() or "", files), end_id), kind).tobytes() for t in texts)
                 whole = len(data) // block_bytes
                 cut = [data[i * block_bytes : (i + 1) * block_bytes] for i in range(whole)]
                 rest = data[whole * block_bytes :]

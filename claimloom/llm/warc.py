@@ -15,7 +15,8 @@ pass are kept, and a gap between them has the member's place and the number of i
 
 Defined cases: a null payload is empty; a null url gets a urn; rows equal in id and payload are one
 capture, each written as a response; a null id revisits, or responds when no other id has its
-payload; an empty table writes no record.  A file is read by one task: the writer bounds its records.
+payload; an empty table writes no record; columns
+other than id, url and payload are ignored.  A file is read by one task: the writer bounds its records.
 """
 
 from __future__ import annotations
