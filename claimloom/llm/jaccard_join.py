@@ -13,8 +13,8 @@
   a passage which very many documents share does not chain them together; sets with little else have
   cells of all their shingles too.  Any choice of common shingles gives the same links.  Documents that
   share cells form a region (connected components over distinct links to a cell's smallest id).
-* A region of more than `LOOSE` shingles is parted again, as passages of middling frequency may have chained
-  it: of each document the shingles that fewest documents of the region hold, as many as it can lack in a
+* A region of more than `loose` shingles (by default one too large for a task) is parted again, as passages of
+  middling frequency may have chained it: of each document the shingles that fewest documents of the region hold, as many as it can lack in a
   partner and one more, are its cells (two linked sets share one of these, in whatever order shingles are
   ranked).  A document with that many shingles of its own has no partner.
 * Within a region, pivots make Voronoi cells by true distances; a document is copied to every other
@@ -47,8 +47,6 @@ from claimloom.session import cut_lineage
 
 #: Shingles of a region that one task takes; larger regions are compared in blocks.
 REGION_SHINGLES = 6_000_000
-#: Shingles of a region that is parted again by its rarest ones.
-LOOSE = 500_000
 #: Pivots of a block.
 BLOCK = 512
 #: Shingles that count as common, and in how many documents of a batch one has to occur.
@@ -435,7 +433,7 @@ def _sized(members: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
-          region_shingles: int = REGION_SHINGLES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+          region_shingles: int = REGION_SHINGLES, block: int = BLOCK, loose: int = REGION_SHINGLES) -> tuple[DataFrame, DataFrame]:
     """(rows, edges): (doc, rep, n) per row with an id, rep the smallest id with the same set; edges
     (a, b) between documents that are linked, enough of them to connect every component."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -452,10 +450,10 @@ def links(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col
     )
     members = cut_lineage(members)
     sized = _sized(members)
-    loose = sized.where(F.col("total") > min(LOOSE, region_shingles))
-    if not loose.isEmpty():
-        again = _sized(_parted_again(loose.select("region", "doc", "n"), texts, words, num, den))
-        sized = sized.where(F.col("total") <= min(LOOSE, region_shingles)).unionByName(again)
+    chained = F.col("total") > min(loose, region_shingles)
+    if not sized.where(chained).isEmpty():
+        again = _sized(_parted_again(sized.where(chained).select("region", "doc", "n"), texts, words, num, den))
+        sized = sized.where(~chained).unionByName(again)
     small = sized.where(F.col("total") <= region_shingles).select("region", F.lit(0).alias("block"), F.lit(1).alias("role"), "doc")
     edges = cut_lineage(_by_region(small, texts, words, num, den))
     large = sized.where(F.col("total") > region_shingles).select(

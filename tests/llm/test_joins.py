@@ -19,7 +19,7 @@ def test_linked_against_all_pairs(spark, how):
     assert listed(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(PAIRS, 3, 70, 100), key=str)
 
 
-def test_passages_of_middling_frequency_do_not_chain(spark, monkeypatch):
+def test_passages_of_middling_frequency_do_not_chain(spark):
     """Documents that share a passage with others, and copies among them: parted by rarest shingles, nothing is lost."""
     import random
 
@@ -33,8 +33,7 @@ def test_passages_of_middling_frequency_do_not_chain(spark, monkeypatch):
         else:
             own[pick.randrange(len(own))] = f"changed{i}"
         pairs.append((i, " ".join(own)))
-    monkeypatch.setattr(jaccard_join, "LOOSE", 100)
-    got = jaccard_join.linked(frame(spark, pairs), words=3, num=80, den=100)
+    got = jaccard_join.linked(frame(spark, pairs), words=3, num=80, den=100, loose=100)
     assert listed(got, "doc_id", "n_shingles", "component_id") == sorted(brute.components(pairs, 3, 80, 100), key=str)
 
 
