@@ -103,3 +103,14 @@ def test_stage_changes_end_in_the_batch_state(spark, tmp_path):
     want = P.stage_state(batch.select("verification_id", "has_media").distinct(), batch.drop("has_media"))
     assert sorted(map(tuple, last.select("verification_id", "s.*").collect())) == sorted(map(tuple, want.drop("verdict_is_null").collect()))
     assert states[-1] <= 4
+
+
+def test_many_keys_share_few_pieces_of_state(spark, tmp_path):
+    # every key's events, whole in any type, by two buckets
+    rows = [(f"k{k}", T0 + timedelta(seconds=600 * n), 2**53 + 10 * k + n if n else None, T0 + timedelta(microseconds=k)) for k in range(40) for n in range(3)]
+    schema = "job_id string, ts timestamp, event_id long, seen timestamp"
+    stream = machines.deliveries(landed(spark, tmp_path, rows, schema, 3, 7), 900, late="3 hours", buckets=2)
+    got, states = left_over(spark, stream, tmp_path, "out")
+    found = sorted(map(tuple, got.where("job_id <> 'clock'").select("job_id", "ts", "event_id", "seen").collect()), key=str)
+    assert found == sorted((r for r in rows if r[1] != T0 + timedelta(seconds=600)), key=str)
+    assert max(states) <= 2

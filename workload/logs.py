@@ -100,17 +100,18 @@ def job_dedup(spark, sf):
 
 
 def _streamed(rows: DataFrame, key: str, machine) -> DataFrame:
-    """What a state machine emits for rows(ts, event_id, ...) that land in three files whose times overlap, and one
-    row far in the future that lets the watermark pass all others."""
+    """What a state machine emits for rows(ts, event_id, ...) that land in three parts whose times overlap, each of a
+    file per core at most, and one row far in the future that lets the watermark pass all others."""
     spark, home = rows.sparkSession, run_folder(rows.sparkSession, "landed")
     rows = cut_lineage(rows)
     first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    files = spark.sparkContext.defaultParallelism
     for part in range(3):
-        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(home)
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).coalesce(files).write.mode("append").parquet(home)
     clock = rows.limit(1).withColumns({key: F.lit("clock"), "ts": F.lit(last).cast("timestamp") + F.expr("INTERVAL 90 DAYS")})
     clock.coalesce(1).write.mode("append").parquet(home)
     late = f"{int((last - first).total_seconds()) + 3600} seconds"  # a file may hold any time of all
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(home)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * files).parquet(home)
     return L.run_available(machine(stream, late=late), "append").drop("epoch").where(F.col(key) != "clock")
 
 
