@@ -320,3 +320,21 @@ def test_run_state_until_all_stages_end(spark):
         "open": ("RUNNING", True, False), "fatal": ("FAILED", True, False), "done": ("COMPLETED", False, False),
         "soft": ("COMPLETED", False, True), "media": ("QUEUED", True, False),
     }
+
+
+def test_texts_are_cut_down_to_what_claims_hold(spark):
+    """Scoring searches a text for the terms and pairs of claims only, however long it is."""
+    from claimloom.operators import retrieve as R
+
+    words = [f"word{n}xyz" for n in range(500)]
+    docs = spark.createDataFrame([(1, ["it's", "budget", "deficit", "2024", *words]), (2, words), (3, None)], "doc_id long, tokens array<string>")
+    tokens = ["budget", "deficit", "it's", "a\\b"]
+    claims = spark.createDataFrame([("c", [([*tokens],)])], "claim_id string, queries array<struct<tokens:array<string>>>")
+    profiles = R.query_profiles(claims)
+    cut = {r["doc_id"]: r for r in R.known_only(R.text_profiles(docs, ["doc_id"]), profiles).collect()}
+    assert cut[1]["terms"] == ["it's", "budget", "deficit"] and cut[1]["pairs"] == ["budget deficit"] and cut[1]["probes"] == ["budget", "deficit"]
+    assert cut[2]["terms"] == cut[2]["pairs"] == cut[2]["probes"] == []
+    whole = {r["doc_id"]: r for r in R.known_only(R.text_profiles(docs, ["doc_id"]), profiles, most=2).collect()}
+    assert len(whole[1]["terms"]) == 504
+    for most in (0, 20_000):  # by both paths
+        assert [tuple(r)[:2] for r in R.relevance(claims, docs, broadcast_claims=most).collect()] == [("c", 1)]
