@@ -160,3 +160,40 @@ def test_vector_index_of_nothing(spark):
     index = VI.VectorIndex(spark, run_folder(spark, "vx")).build(none, dims=4)
     asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "query_id long, embedding array<double>")
     assert index.topk(asked).collect() == []
+
+
+def test_term_counts_on_the_row(spark):
+    from claimloom.operators.corpus_index import term_counts
+
+    rows = [(0, ["b", "a", "b", "ক", "B", "b"]), (1, []), (2, ["x"]), (3, ["y"] * 300)]
+    got = spark.createDataFrame(rows, "id long, w array<string>").select("id", term_counts(F.col("w")).alias("t")).collect()
+    assert {r["id"]: [tuple(t) for t in r["t"]] for r in got} == {i: sorted((x, w.count(x)) for x in set(w)) for i, w in rows}
+
+
+def test_held_counts_without_replaced_documents(spark):
+    rows = texts()
+    index = build(spark, run_folder(spark, "index"), [plain(spark, rows[:120]), plain(spark, [(i, "other words here") for i in range(40)]), plain(spark, rows[:40] + rows[120:])])
+    want = index.postings().groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("words"))
+    assert same(index.held(), want)
+    words = {r["doc_id"]: r["words"] for r in index.held().collect()}
+    assert words == {r["doc_id"]: r["length"] for r in index.documents().collect() if r["length"]}
+
+
+def test_add_shuffles_texts_and_not_words(spark):
+    """Of an added text the words are counted on the row: no sorting or joining by document."""
+    index = CorpusIndex(spark, run_folder(spark, "index"))
+    plans = []
+    put = CorpusIndex._put
+
+    def noted(self, df, kind, gen, part=None):
+        plans.append((kind, df._jdf.queryExecution().executedPlan().toString()))
+        return put(self, df, kind, gen, part)
+
+    CorpusIndex._put = noted
+    try:
+        index.add(plain(spark, texts()))
+    finally:
+        CorpusIndex._put = put
+    written = dict(plans)["documents"]
+    assert "Join" not in written and "Aggregate" not in written
+    assert index.count() == len(texts())
