@@ -197,3 +197,15 @@ def test_add_shuffles_texts_and_not_words(spark):
     written = dict(plans)["documents"]
     assert "Join" not in written and "Aggregate" not in written
     assert index.count() == len(texts())
+
+
+def test_keyword_leg_sums_where_documents_are(spark):
+    docs = plain(spark, texts())
+    queries = spark.createDataFrame([(1, "w0 w1 w5"), (2, "w2 w119"), (3, None)], "query_id long, text string")
+    found = D.keyword_leg(queries, docs, k=5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and not any(
+        "query_id" in line and "doc_id" in line for line in plan.splitlines() if "hashpartitioning" in line
+    )
+    index = build(spark, run_folder(spark, "index"), [docs])
+    assert same(found.select("query_id", "doc_id", "score", "rank"), index.keyword_leg(queries, 5))
