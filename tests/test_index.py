@@ -209,3 +209,21 @@ def test_keyword_leg_sums_where_documents_are(spark):
     )
     index = build(spark, run_folder(spark, "index"), [docs])
     assert same(found.select("query_id", "doc_id", "score", "rank"), index.keyword_leg(queries, 5))
+
+
+def test_simhash_takes_few_lists_at_a_time(monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+
+    pick, sizes, whole = random.Random(2), [], D._hash_lists
+    monkeypatch.setattr(D, "HASHED_ROWS", 7)
+    monkeypatch.setattr(D, "_hash_lists", lambda t: (sizes.append(len(t)), whole(t))[1])
+    rows = [None, []] + [[pick.choice("abcdefg") for _ in range(pick.randrange(30))] for _ in range(40)] + [None]
+
+    def bits(words):
+        hashes = [int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in words or []]
+        return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(D.HASH_BITS))
+
+    assert D._simhash.func(pa.array(rows, pa.list_(pa.string()))).to_pylist() == [bits(r) for r in rows]
+    assert max(sizes) == 7 and sum(sizes) == len(rows)
