@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -158,6 +159,32 @@ def test_similar_titles_equal_brute_force(spark):
     assert {(r["left_id"], r["right_id"]) for r in got.collect()} == want
 
 
+def test_similar_titles_meet_without_a_shuffle(spark):
+    rng = random.Random(5)
+    words = ["bank", "banks", "rate", "rates", "flood", "floods", "central", "centre", "ñandú", "ción", "42", "of", "the"]
+    titles = [" ".join(rng.choices(words, k=rng.randint(1, 8))) for _ in range(160)] + ["", None, "\t.\n", "bank " * 300]
+    rows = [(i % 150 if i % 20 else None, t) for i, t in enumerate(titles)]
+    left = spark.createDataFrame([(i, t) for i, t in rows if i is None or i < 60], "id int, title string")
+    right = spark.createDataFrame(rows, "id int, title string")
+
+    def grams(t):
+        return {("  " + w + " ")[i : i + 3] for w in (t or "").split() if w != "." for i in range(len(w) + 1)}
+
+    def alike(a, b, least):
+        return bool(a and b) and len(a & b) / len(a | b) >= least
+
+    for least in (0.3, 0.5, 0.8, 1.0):
+        want = sorted((i, j) for i, a in rows if i is not None and i < 60 for j, b in rows if j is not None and alike(grams(a), grams(b), least))
+        got = D.similar_titles(left, right, least)
+        assert sorted((r["left_id"], r["right_id"]) for r in got.collect()) == want
+        assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    unique = right.where("id > 10").dropDuplicates(["id"])
+    shuffled = D.similar_titles(unique, unique, broadcast_titles=0)
+    assert "hashpartitioning" in shuffled._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, D.similar_titles(unique, unique).collect()))
+    assert D.similar_titles(left.limit(0), right).collect() == []
+
+
 def test_primary_suffixes(spark):
     df = spark.createDataFrame([("usgs.gov",), ("quake.usgs.gov",), ("notusgs.gov",), ("www.who.int",)], "domain string")
     got = {r["domain"]: r["is_primary"] for r in K.primary_flags(df, registry.primary_sources(spark)).collect()}
