@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import figures as G
 from claimloom.functions import text as X
+from claimloom.operators.skew import spread
 
 
 def values(spark, build, texts):
@@ -151,3 +152,29 @@ def test_numeric_conflict(spark):
     df = spark.createDataFrame(rows, "c array<double>, p array<double>")
     got = [r[0] for r in df.select(G.numeric_conflict(F.col("c"), F.col("p"))["conflict"]).collect()]
     assert got == [True, False, True, False, False, False, False, False]
+
+
+def test_figure_values_read_the_text_once_per_pattern(spark):
+    texts = [
+        "$5k 5K $1.5x 1.5x 12,abc 12, 3 USD2 USD 2000 usd 2,000.50 bn €3 7 millıon 8 MİLLION 9 thouſand 10K", None, "",
+        "1.2.3.4 5million 5 millions x5 _5 ५ लाख ৫০ lakh ৳৫০ crore", "2000 2000.0 1999 million $1999 2100. 5,,6 ,5 1,900",
+        "INR\n7\nbn İNR 5 k $ 5 . 6 5 % 7 per cent", "5 million\n6 bn\r7", "a𝟓 5𝐚 Ⅷ5 5²",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def listed(c):
+        return F.transform(c, lambda n: n["value"])
+
+    # numbers and money as the extractors give them
+    want = F.array_distinct(F.concat(listed(G.extract_numbers(F.col("t"), False)), listed(G.extract_money(F.col("t")))))
+    got = df.select(G.figure_values(F.col("t")).alias("got"), want.alias("want"))
+    assert [r["got"] for r in got.collect()] == [r["want"] for r in got.collect()]
+    plan = df.select(G.figure_values(F.col("t")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2
+
+
+def test_statements_are_dealt_by_number(spark):
+    rows = spark.range(0, 1000, 1, 1)
+    assert spread(rows, 50).rdd.getNumPartitions() == 20
+    assert spread(rows, 50).count() == 1000
+    assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

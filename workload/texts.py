@@ -21,6 +21,9 @@ from workload.base import (
     table,
 )
 
+# Orders are dealt to tasks of about so many at most, as their statements take long each.
+STATEMENTS_A_TASK = 250_000
+
 # Phrases that turn an order row into a statement with figures, dates, names and markers.
 _CURRENCY = ["$", "€", "£", "USD ", "৳", "₹"]
 _SCALE = [" million", " bn", " thousand", " crore", " lakh", "", " trillion"]
@@ -42,8 +45,8 @@ def _sql_pick(items: list[str]) -> str:
 
 
 def statements(spark, sf) -> DataFrame:
-    """(o_orderkey, text): one sentence per order."""
-    o = table(spark, sf, "orders")
+    """(o_orderkey, text): one sentence per order.  A small file holds very many orders, so they are dealt by number."""
+    o = table(spark, sf, "orders", STATEMENTS_A_TASK)
     day = (
         F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
         .when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "d MMMM yyyy"))
