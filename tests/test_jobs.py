@@ -185,6 +185,18 @@ def test_similar_titles_meet_without_a_shuffle(spark):
     assert D.similar_titles(left.limit(0), right).collect() == []
 
 
+def test_phrases_of_few_claims_go_to_every_task(spark):
+    claims = spark.createDataFrame([("a", ["x", "y", "x", "y", "z"]), ("b", ["y", "z"]), ("b", ["y", "z"]), (None, ["p", "q"]), ("c", None)], "claim_id string, tokens array<string>")
+    texts = spark.createDataFrame([(1, ["x", "y", "z"]), (1, ["p", "q"]), (2, ["y", "x", "y"]), (3, ["z"]), (None, ["y", "z"]), (4, None)], "text_id int, tokens array<string>")
+    want = {("a", 1, 3), ("b", 1, 2), (None, 1, 1), ("a", 2, 3), ("a", None, 1), ("b", None, 2)}
+    few, many = R.phrase_bonus(claims, texts), R.phrase_bonus(claims, texts, broadcast_phrases=0)
+    for got in (few, many):
+        assert {(r["claim_id"], r["text_id"], r["matches"]) for r in got.collect()} == want
+    # pairs of tokens of texts are not shuffled
+    assert few._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(pair") == 0
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 0
+
+
 def test_primary_suffixes(spark):
     df = spark.createDataFrame([("usgs.gov",), ("quake.usgs.gov",), ("notusgs.gov",), ("www.who.int",)], "domain string")
     got = {r["domain"]: r["is_primary"] for r in K.primary_flags(df, registry.primary_sources(spark)).collect()}

@@ -178,3 +178,22 @@ def test_statements_are_dealt_by_number(spark):
     assert spread(rows, 50).rdd.getNumPartitions() == 20
     assert spread(rows, 50).count() == 1000
     assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_stems_of_words_looked_back_at(spark):
+    text = (
+        "stories ties flies _ties ____ies abcdies abcies buildings sing abcding abcing abcdings 1234s 123s ñññños. classes buses "
+        "edited ided 𐐨𐐨𐐨𐐨ing 𐐨𐐨𐐨ing a𐐨𐐨𐐨es 𐐨𐐨𐐨𐐨ies studies's"
+    )
+    want = (
+        "story ties flie _tie ____y abcdy abci building sing abcd abcing abcding 1234 123s ñññño class buse "
+        "edit ided 𐐨𐐨𐐨𐐨 𐐨𐐨𐐨ing a𐐨𐐨𐐨 𐐨𐐨𐐨𐐨y study"
+    )
+    assert values(spark, X.tokenize(T("n")), [text]) == [want.split()]
+    # no pattern starts at every place by looking at what stands before it
+    assert not X._IES.startswith("(?<!") and not X._ENDING.startswith("(?<!")
+
+
+def test_ascii_text_is_not_searched_for_other_characters(spark):
+    df = spark.createDataFrame([("plain",), ("ﬁne",), (None,), ("",), ("é",), ("e\u0301",)], "t string")
+    assert [r["n"] for r in df.select(X.nfkc(F.col("t")).alias("n")).collect()] == ["plain", "fine", None, "", "é", "é"]
