@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.session import checkpoint_root
+from claimloom.session import checkpoint_root, swept
 
 #: Bytes of text that one numpy step looks at; longer documents are looked at alone.
 SLICE_BYTES = 1 << 19
@@ -32,6 +32,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, lost executors re-read files."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    swept(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

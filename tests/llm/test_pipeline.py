@@ -2,10 +2,13 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from claimloom import session
 from claimloom.llm import packing, tokens
+from claimloom.llm.shared import written
 from tests.llm import brute
 from tests.llm.fixtures import frame, texts
 
@@ -35,3 +38,18 @@ def test_stages_keep_columns_and_stand_empty_tables(spark):
         assert {tuple(r[c] for c in clashing) for r in kept.collect()} == {tuple(range(10))}
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), "").collect() == []
+
+
+@pytest.mark.parametrize("step", [session.cut_lineage, lambda df: written(df, "step")])
+def test_steps_collect_the_drivers_garbage(spark, step, monkeypatch):
+    """A driver whose heap has grown beyond its share is collected once a step is written, and else left alone."""
+
+    def collections() -> int:
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+
+    for share, more in [(2, 0), (0, 1)]:
+        monkeypatch.setattr(session, "SWEPT_SHARE", share, raising=False)
+        before = collections()
+        assert step(spark.range(3)).count() == 3
+        assert collections() - before == more
